@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("windows",)
+TOPICS = ("windows", "alignment", "cleaning")
 
 
 def load() -> None:

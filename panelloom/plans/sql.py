@@ -30,7 +30,7 @@ ASSET_RETURNS = ASSET_PRICES + """, asset_returns AS (
 
 STRATEGY = """strategy AS (
   SELECT l_returnflag AS portfolio, CAST(l_shipdate AS DATE) AS dt,
-         round((avg(l_extendedprice) / 48300 - 1) * 0.02, 9) AS ret
+         round((avg(l_extendedprice) / 53000 - 1) * 0.02, 9) AS ret
   FROM lineitem GROUP BY 1, 2)"""
 
 PROBS = """probs AS (
@@ -59,7 +59,7 @@ RELEASES = """releases AS (
          CASE WHEN (month(period) + v) % 3 <> 0 THEN CAST(period + v * 9 AS DATE) END AS release_date,
          round(value, 4) AS value
   FROM (SELECT l_returnflag AS series_id, last_day(l_shipdate) AS period, l_linenumber AS v,
-               avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3))"""
+               avg(l_extendedprice) / 7 AS value FROM lineitem GROUP BY 1, 2, 3))"""
 
 CURVE = """curve AS (
   SELECT CAST(l_shipdate AS DATE) AS dt, CAST(l_quantity AS BIGINT) * 8 AS tenor_days,

@@ -64,7 +64,7 @@ def asset_prices(t: Tables) -> DataFrame:
 
 def strategy(t: Tables) -> DataFrame:
     """(portfolio, dt, ret): small daily returns per return flag and ship day."""
-    level = F.avg("l_extendedprice") / 48300 - 1
+    level = F.avg("l_extendedprice") / 53000 - 1
     return (
         t.lineitem.groupBy(
             F.col("l_returnflag").alias("portfolio"),
@@ -120,7 +120,7 @@ def releases(t: Tables) -> DataFrame:
         t.lineitem.groupBy(
             F.col("l_returnflag").alias("series_id"), period.alias("period"), vintage.alias("v")
         )
-        .agg(F.avg("l_extendedprice").alias("value"))
+        .agg((F.avg("l_extendedprice") / 7).alias("value"))
     )
     dated = F.when(
         (F.month("period") + F.col("v")) % 3 != 0,
