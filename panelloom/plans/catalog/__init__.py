@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("windows", "alignment", "cleaning")
+TOPICS = ("windows", "alignment", "cleaning", "performance")
 
 
 def load() -> None:
