@@ -149,10 +149,10 @@ def a14(t):
 
 
 @query("a6_daily_net_sum", """
-SELECT o_orderpriority AS portfolio, CAST(o_orderdate AS DATE) AS dt, round(sum(o_totalprice / 700000 - 0.25), 6) AS ret FROM orders GROUP BY 1, 2""")
+SELECT o_orderpriority AS portfolio, CAST(o_orderdate AS DATE) AS dt, round(sum(o_totalprice / 700000 - 0.25), 9) AS ret FROM orders GROUP BY 1, 2""")
 def a6(t):
     return t.orders.groupBy(F.col("o_orderpriority").alias("portfolio"), F.col("o_orderdate").cast("date").alias("dt")).agg(
-        r(F.sum(F.col("o_totalprice") / 700000 - 0.25)).alias("ret")
+        r(F.sum(F.col("o_totalprice") / 700000 - 0.25), 9).alias("ret")
     )
 
 

@@ -20,7 +20,7 @@ returns AS (SELECT instrument, dt, px_t, px_t_1, px_t / px_t_1 - 1 AS ret FROM r
 
 ASSET_PRICES = """asset_prices AS (
   SELECT ['US10Y','US2Y','GOLD','USD_index','SP500','OIL','CARRY_ETF','TIPS'][(l_suppkey % 8) + 1] AS asset,
-         CAST(l_shipdate AS DATE) AS dt, avg(l_extendedprice / l_quantity) AS px
+         CAST(l_shipdate AS DATE) AS dt, 1000 + avg(l_extendedprice / l_quantity) / 100 AS px
   FROM lineitem GROUP BY 1, 2)"""
 
 ASSET_RETURNS = ASSET_PRICES + """, asset_returns AS (

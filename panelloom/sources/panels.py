@@ -58,7 +58,7 @@ def asset_prices(t: Tables) -> DataFrame:
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         )
         .groupBy("asset", "dt")
-        .agg(F.avg("unit_price").alias("px"))
+        .agg((F.avg("unit_price") / 100 + 1000).alias("px"))
     )
 
 
