@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("windows", "alignment", "cleaning", "performance", "allocation", "models")
+TOPICS = ("windows", "alignment", "cleaning", "performance", "allocation", "models", "storage")
 
 
 def load() -> None:

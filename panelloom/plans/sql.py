@@ -55,7 +55,7 @@ POSITIONS = """positions AS (
 
 RELEASES = """releases AS (
   SELECT series_id, period, 'v' || v AS vintage_id,
-         CAST(period + v * 11 AS DATE) AS dt_ingest,
+         last_day(CAST(period + v * 11 AS DATE)) AS dt_ingest,
          CASE WHEN (month(period) + v) % 3 <> 0 THEN CAST(period + v * 9 AS DATE) END AS release_date,
          round(value, 4) AS value
   FROM (SELECT l_returnflag AS series_id, last_day(l_shipdate) AS period, l_linenumber AS v,

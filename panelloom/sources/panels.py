@@ -129,7 +129,7 @@ def releases(t: Tables) -> DataFrame:
     return grouped.select(
         "series_id", "period",
         F.concat(F.lit("v"), F.col("v").cast("string")).alias("vintage_id"),
-        F.date_add("period", F.col("v") * 11).alias("dt_ingest"),
+        F.last_day(F.date_add("period", F.col("v") * 11)).alias("dt_ingest"),
         dated.alias("release_date"),
         F.round("value", 4).alias("value"),
     )
