@@ -115,7 +115,8 @@ class Lake:
         spec = dataset(name)
         frame = self.scan(name)
         derived = spec.partition not in spec.columns
-        kept = [c for c in frame.columns if c in spec.columns or (spec.open_schema and not (derived and c == spec.partition))]
+        others = [c for c in frame.columns if c not in spec.columns and not (derived and c == spec.partition)]
+        kept = spec.columns + (others if spec.open_schema else [])
         wanted = list(columns) if columns else kept
         time = F.col(spec.temporal)
         day = S.iso_week_monday(time) if spec.temporal == "week" else time
