@@ -13,6 +13,15 @@ EPSILON = 1e-12
 VARIANCE_FLOOR = 1e-6
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body` as a column.
+
+    An expression used several times, or inside a lambda over an array, would
+    otherwise be evaluated again at every use.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -38,8 +47,8 @@ def temper(p: Column, temperature: float | Column) -> Column:
         p,
         lambda x: F.exp(F.ln(F.least(F.greatest(x, F.lit(EPSILON)), F.lit(1.0))) / heat),
     )
-    total = array_sum(powered)
-    return F.when(heat > 1.0, F.transform(powered, lambda x: x / total)).otherwise(p)
+    shares = let(powered, lambda w: let(array_sum(w), lambda total: F.transform(w, lambda x: x / total)))
+    return F.when(heat > 1.0, shares).otherwise(p)
 
 
 def l1_distance(p: Column, q: Column) -> Column:
@@ -47,9 +56,7 @@ def l1_distance(p: Column, q: Column) -> Column:
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
-    middle = F.zip_with(p, q, lambda a, b: (a + b) * 0.5)
-
-    def divergence(a: Column) -> Column:
+    def divergence(a: Column, middle: Column) -> Column:
         terms = F.zip_with(
             a,
             middle,
@@ -57,7 +64,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         )
         return array_sum(terms)
 
-    return (divergence(p) + divergence(q)) * 0.5
+    middle = F.zip_with(p, q, lambda a, b: (a + b) * 0.5)
+    return let(middle, lambda m: (divergence(p, m) + divergence(q, m)) * 0.5)
 
 
 DISTANCES = {"l1": l1_distance, "jsd": jensen_shannon}
@@ -70,14 +78,17 @@ def distance(p: Column, q: Column, metric: str = "jsd") -> Column:
 
 
 def log_sum_exp(values: Column) -> Column:
-    peak = F.array_max(values)
-    shifted = F.transform(values, lambda x: F.exp(x - peak))
-    return peak + F.ln(array_sum(shifted))
+    def summed(v: Column, peak: Column) -> Column:
+        return peak + F.ln(array_sum(F.transform(v, lambda x: F.exp(x - peak))))
+
+    return let(values, lambda v: let(F.array_max(v), lambda peak: summed(v, peak)))
 
 
 def softmax(values: Column) -> Column:
-    total = log_sum_exp(values)
-    return F.transform(values, lambda x: F.exp(x - total))
+    return let(
+        values,
+        lambda v: let(log_sum_exp(v), lambda total: F.transform(v, lambda x: F.exp(x - total))),
+    )
 
 
 def vector(values: Sequence[float]) -> Column:

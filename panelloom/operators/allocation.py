@@ -7,15 +7,15 @@ shuffle; the only sequential part is the rebalance path of one portfolio.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.functions.probability import array_sum, argmax_state, distance, max_prob, vector
+from panelloom.functions.probability import array_sum, argmax_state, distance, let, max_prob, vector
 
 # Asset order, target weights per regime and the neutral weights.
 ASSETS = ("US10Y", "US2Y", "GOLD", "USD_index", "SP500", "OIL", "CARRY_ETF", "TIPS")
@@ -77,17 +77,26 @@ def cap_each(w: Column, max_weight: float, floor: float | None = None) -> Column
 
 
 def cap_gross(w: Column, max_leverage: float) -> Column:
-    total = gross(w)
-    return F.when(total > max_leverage, scale(w, max_leverage / total)).otherwise(w)
+    def capped(v: Column, total: Column) -> Column:
+        factor = F.when(total > max_leverage, F.lit(float(max_leverage)) / total).otherwise(F.lit(1.0))
+        return let(factor, lambda f: scale(v, f))
+
+    return let(w, lambda v: let(gross(v), lambda total: capped(v, total)))
 
 
 def cap_turnover(w: Column, previous: Column, cap: Column | float) -> Column:
     """Move only cap / turnover of the way when the full L1 move exceeds the cap."""
     limit = cap if isinstance(cap, Column) else F.lit(float(cap))
-    moved = array_sum(F.zip_with(w, previous, lambda a, b: F.abs(a - b)))
-    share = limit / moved
-    part = F.zip_with(w, previous, lambda a, b: b + share * (a - b))
-    return F.when(moved > limit, part).otherwise(w)
+
+    def moved(v: Column, before: Column, size: Column) -> Column:
+        part = F.zip_with(v, before, lambda a, b: b + limit / size * (a - b))
+        return F.when(size > limit, part).otherwise(v)
+
+    def sized(v: Column, before: Column) -> Column:
+        size = array_sum(F.zip_with(v, before, lambda a, b: F.abs(a - b)))
+        return let(size, lambda s: moved(v, before, s))
+
+    return let(w, lambda v: let(previous, lambda before: sized(v, before)))
 
 
 def constrain(w: Column, max_weight: float = 0.40, max_leverage: float = 2.0) -> Column:
@@ -96,7 +105,7 @@ def constrain(w: Column, max_weight: float = 0.40, max_leverage: float = 2.0) ->
 
 def volatility_target(w: Column, estimate: Column, target: float = 0.08) -> Column:
     factor = F.least(F.lit(target) / estimate, F.lit(MAX_VOL_SCALE))
-    return F.when(estimate > 0, scale(w, factor)).otherwise(w)
+    return let(F.when(estimate > 0, factor).otherwise(F.lit(1.0)), lambda f: scale(w, f))
 
 
 def exposure_policy(
@@ -107,8 +116,12 @@ def exposure_policy(
     if long_only:
         w = F.transform(w, lambda x: F.greatest(x, F.lit(0.0)))
     if target_net is not None:
-        net = array_sum(w)
-        w = F.when(F.abs(net) > 1e-9, scale(w, F.lit(float(target_net)) / net)).otherwise(w)
+        def to_net(v: Column, net: Column) -> Column:
+            factor = F.when(F.abs(net) > 1e-9, F.lit(float(target_net)) / net).otherwise(F.lit(1.0))
+            return let(factor, lambda f: scale(v, f))
+
+        floored = w
+        w = let(floored, lambda v: let(array_sum(v), lambda net: to_net(v, net)))
     return cap_gross(cap_each(w, max_weight, 0.0 if long_only else None), max_leverage)
 
 
@@ -140,14 +153,17 @@ def lag_signal(probs: DataFrame, key: Sequence[str], p: str = "p") -> DataFrame:
     return probs.withColumn("trade_p", before).where(F.col("trade_p").isNotNull())
 
 
-def _divergence(p: np.ndarray, q: np.ndarray, metric: str) -> float:
+def _divergence(p: list[float], q: list[float], metric: str) -> float:
+    """Distance of two short probability lists; plain floats beat tiny arrays here."""
     if metric == "l1":
-        return float(np.abs(p - q).sum())
-    middle = (p + q) / 2
+        return sum(abs(a - b) for a, b in zip(p, q))
     total = 0.0
-    for side in (p, q):
-        used = side > 1e-12
-        total += float((side[used] * np.log(side[used] / (middle[used] + 1e-12))).sum())
+    for a, b in zip(p, q):
+        middle = (a + b) / 2 + 1e-12
+        if a > 1e-12:
+            total += a * math.log(a / middle)
+        if b > 1e-12:
+            total += b * math.log(b / middle)
     return total / 2
 
 
@@ -167,17 +183,17 @@ def rebalance_path(
     if metric not in ("jsd", "l1"):
         raise ValueError(f"unknown metric {metric!r}")
     kept = list(key)
-    start = np.array(baseline, dtype=float)
+    start = [float(v) for v in baseline]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt", kind="stable")
         if pdf["dt"].duplicated().any():
             raise ValueError("rebalance_path needs one row per key and day")
-        signals = np.stack(pdf["trade_p"].to_numpy())
-        targets = np.stack(pdf["target"].to_numpy())
-        scores, forced = pdf["surprise"].to_numpy(), pdf["force"].to_numpy()
+        signals = [p.tolist() for p in pdf["trade_p"]]
+        targets = [w.tolist() for w in pdf["target"]]
+        scores, forced = pdf["surprise"].tolist(), pdf["force"].tolist()
         theta, cap = float(pdf["theta"].iloc[0]), pdf["turnover_cap"].iloc[0]
-        capped = cap is not None and not pd.isna(cap)
+        cap = math.inf if cap is None or pd.isna(cap) else float(cap)
         anchor, held = signals[0], start
         rows = []
         for p, target, score, force in zip(signals, targets, scores, forced):
@@ -188,10 +204,13 @@ def rebalance_path(
             trade = bool(force or gap > theta or surprised)
             before = held
             if trade:
-                move = np.abs(target - held).sum()
-                held = held + cap / move * (target - held) if capped and move > cap else target
+                move = sum(abs(t - h) for t, h in zip(target, held))
+                held = target
+                if move > cap:
+                    held = [h + cap / move * (t - h) for t, h in zip(target, before)]
                 anchor = p
-            rows.append((trade, gap, bool(surprised), float(p.max()), int(p.argmax()), held, before))
+            top = max(p)
+            rows.append((trade, gap, surprised, top, p.index(top), held, before))
         names = ["do_rebalance", "distance", "surprise_triggered", "max_prob", "dominant_state", "w", "w_before"]
         out = pd.DataFrame(rows, columns=names)
         for name in [*kept, "dt"]:

@@ -2,8 +2,7 @@
 
 The calendar (the distinct days of all inputs) is numbered once; an observation
 is then valid on the positions from its own up to the next observation or the
-fill limit, whichever comes first. Exploding that range and looking the days up
-gives the aligned rows without building a key x day grid: a cell that stays
+fill limit, whichever comes first. Exploding that range gives the aligned rows without building a key x day grid: a cell that stays
 empty is simply absent, which is the long form of NULL.
 """
 
@@ -47,6 +46,12 @@ def target_calendar(target: DataFrame) -> DataFrame:
     return numbered(calendar(target).withColumn("is_target", F.lit(True)))
 
 
+def looking_ahead(days: DataFrame, reach: int) -> DataFrame:
+    """Each day with the list of itself and the next `reach` days."""
+    ahead = Window.orderBy("dt").rowsBetween(0, reach)
+    return days.select("dt", "pos", F.collect_list(F.struct("dt", "is_target")).over(ahead).alias("ahead"))
+
+
 def fill_on(
     observed: DataFrame,
     days: DataFrame,
@@ -61,27 +66,25 @@ def fill_on(
     `tail` keeps that many further positions with a NULL value, for rolling
     windows that still reach back to the observation.
     """
-    placed = (
-        observed.where(F.col(value).isNotNull())
-        .select(*key, F.col(date).alias("dt"), value)
-        .join(days.select("dt", "pos", "n_days"), "dt")
-    )
+    seen = observed.where(F.col(value).isNotNull()).select(*key, F.col(date).alias("dt"), value)
     after = F.lead("pos").over(Window.partitionBy(*key).orderBy("pos"))
-    last = F.coalesce(after - 1, F.col("n_days").cast("int"))
-    if limit is not None:
-        last = F.least(last, F.col("pos") + limit + tail)
-    spread = placed.withColumn("last", last).select(
-        *key, value, F.col("pos").alias("from_pos"),
-        F.explode(F.sequence("pos", "last")).alias("pos"),
+    if limit is None:
+        placed = seen.join(days.select("dt", "pos", "n_days"), "dt")
+        last = F.coalesce(after - 1, F.col("n_days").cast("int"))
+        spread = placed.withColumn("last", last).select(
+            *key, value, F.explode(F.sequence("pos", "last")).alias("pos")
+        )
+        filled = spread.join(days.select("pos", "dt", "is_target"), "pos")
+        return filled.where("is_target").select(*key, "dt", "pos", value)
+    # A bounded reach needs one calendar lookup: the days ahead come along with it.
+    placed = seen.join(looking_ahead(days, limit + tail), "dt").drop("dt")
+    span = F.least(F.coalesce(after - F.col("pos"), F.size("ahead")), F.size("ahead"))
+    spread = placed.withColumn("span", span).select(
+        *key, value, "pos", F.posexplode(F.slice("ahead", F.lit(1), F.col("span"))).alias("offset", "day")
     )
-    kept = F.col(value)
-    if limit is not None:
-        kept = F.when(F.col("pos") - F.col("from_pos") <= limit, kept)
-    return (
-        spread.withColumn(value, kept)
-        .join(days.select("pos", "dt", "is_target"), "pos")
-        .where("is_target")
-        .select(*key, "dt", "pos", value)
+    return spread.where("day.is_target").select(
+        *key, F.col("day.dt").alias("dt"), (F.col("pos") + F.col("offset")).alias("pos"),
+        F.when(F.col("offset") <= limit, F.col(value)).alias(value),
     )
 
 

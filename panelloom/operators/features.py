@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import scalars as S
 from panelloom.operators import asof
 from panelloom.operators.curve import policy_columns
+from panelloom.session import stored
 
 # Spread features with their legs in order of preference.
 SPREADS = {
@@ -36,8 +37,7 @@ def mean_over(rows: int, minimum: int) -> Column:
 def return_features(returns: DataFrame) -> DataFrame:
     """ret_, ma5_ and ma20_ features of each instrument plus the spreads."""
     tagged = returns.withColumn("tag", S.instrument_tag(F.col("instrument")))
-    days = asof.union_calendar(tagged, tagged)
-    filled = asof.fill_on(tagged, days, ["tag"], "ret", RETURN_FILL, tail=19)
+    filled = asof.fill_on(tagged, asof.target_calendar(tagged), ["tag"], "ret", RETURN_FILL, tail=19)
     rolled = filled.withColumn("ma5", mean_over(5, 3)).withColumn("ma20", mean_over(20, 10))
     named = F.array(
         F.struct(S.prefixed("ret_", F.col("tag")).alias("feature"), F.col("ret").alias("value")),
@@ -45,7 +45,8 @@ def return_features(returns: DataFrame) -> DataFrame:
         F.struct(S.prefixed("ma20_", F.col("tag")).alias("feature"), F.col("ma20").alias("value")),
     )
     base = rolled.select("dt", F.inline(named)).where(F.col("value").isNotNull())
-    return base.unionByName(spread_features(base))
+    legs = filled.select("dt", S.prefixed("ret_", F.col("tag")).alias("feature"), F.col("ret").alias("value"))
+    return base.unionByName(spread_features(legs))
 
 
 def spread_features(features: DataFrame, spreads: dict | None = None) -> DataFrame:
@@ -128,8 +129,12 @@ def feature_panel(
     policy: DataFrame | None = None,
     macro: DataFrame | None = None,
 ) -> DataFrame:
-    """All feature blocks on the return calendar, as one long panel."""
-    target = asof.calendar(returns)
+    """All feature blocks on the return calendar, as one long panel.
+
+    The inputs are stored gold tables: each is read by several blocks, so pass
+    tables on disk rather than long unevaluated plans.
+    """
+    target = stored(asof.calendar(returns), "calendar")
     blocks = [return_features(returns)]
     if positioning is not None:
         blocks.append(positioning_features(positioning, target))

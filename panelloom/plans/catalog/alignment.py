@@ -6,6 +6,7 @@ from panelloom.functions import scalars as S
 from panelloom.operators import asof, curve, features, positioning
 from panelloom.operators.returns import simple_returns
 from panelloom.plans.registry import query
+from panelloom.session import stored
 from panelloom.plans.sql import ASSET_RETURNS, CURVE, POSITIONS, PRICES, RELEASES, RETURNS, with_
 from panelloom.sources import panels
 
@@ -34,7 +35,7 @@ SHIP_DAYS = "target AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM line
 @query("j3_asof_limited_fill", with_(PRICES, SHIP_DAYS) + fill_sql("prices", "target", "instrument", "px", 3, 4))
 def j3(t):
     target = t.lineitem.select(F.col("l_shipdate").cast("date").alias("dt"))
-    out = asof.align(panels.prices(t), target, ["instrument"], "px", 3)
+    out = asof.align(stored(panels.prices(t), "prices"), target, ["instrument"], "px", 3)
     return out.select("instrument", "dt", r("px", 4).alias("px"))
 
 
@@ -43,7 +44,7 @@ fed AS (SELECT CAST(tenor_days AS BIGINT) AS tenor_days, dt, implied_rate FROM c
        + fill_sql("fed", "target", "tenor_days", "implied_rate", None))
 def w4(t):
     target = t.lineitem.select(F.col("l_shipdate").cast("date").alias("dt"))
-    out = asof.align(panels.daily_curve(t), target, ["tenor_days"], "implied_rate", None)
+    out = asof.align(stored(panels.daily_curve(t), "curve"), target, ["tenor_days"], "implied_rate", None)
     return out.select("tenor_days", "dt", r("implied_rate").alias("implied_rate"))
 
 
@@ -72,7 +73,7 @@ KNOWN_SQL = RELEASES + KNOWN.format(eff=AS_REPORTED.format(lag=LAG))
 def known(t, cutoff=False):
     months = t.orders.select(F.last_day("o_orderdate").alias("month_end"))
     lags = {"A": "P2M", "N": "P1M"}
-    return asof.known_at_month_end(panels.releases(t), months, lags, vintage_cutoff=cutoff)
+    return asof.known_at_month_end(stored(panels.releases(t), "releases"), months, lags, vintage_cutoff=cutoff)
 
 
 @query("j4_bitemporal_asof", with_(KNOWN_SQL) + " SELECT * FROM known")
@@ -198,13 +199,13 @@ def returns_panel(t):
 SELECT dt, feature, round(value, 6) AS value FROM base WHERE value IS NOT NULL
 UNION ALL SELECT dt, feature, round(value, 6) FROM spreads WHERE value IS NOT NULL""")
 def return_block(t):
-    return features.return_features(returns_panel(t)).withColumn("value", r("value"))
+    return features.return_features(stored(returns_panel(t), "returns")).withColumn("value", r("value"))
 
 
 @query("n21_spread_features", with_(RETURN_BLOCK) + " SELECT dt, feature, round(value, 6) AS value FROM spreads WHERE value IS NOT NULL")
 def n21(t):
-    names = returns_panel(t).select("dt", S.prefixed("ret_", F.col("instrument")).alias("feature"), F.col("ret").alias("value"))
-    days = asof.union_calendar(names, names)
+    names = stored(returns_panel(t), "returns").select("dt", S.prefixed("ret_", F.col("instrument")).alias("feature"), F.col("ret").alias("value"))
+    days = asof.target_calendar(names)
     filled = asof.fill_on(names, days, ["feature"], "value", features.RETURN_FILL)
     return features.spread_features(filled).withColumn("value", r("value"))
 
@@ -231,7 +232,7 @@ def ship_days(t):
 @query("a2_n15_positioning_features", with_(COT_BLOCK, SHIP_DAYS, "cotv AS (SELECT * FROM cot WHERE value IS NOT NULL)")
        + fill_sql("cotv", "target", "feature", "value", 7))
 def a2(t):
-    out = features.positioning_features(cot_zscores(t), ship_days(t))
+    out = features.positioning_features(stored(cot_zscores(t), "positioning"), ship_days(t))
     return out.withColumn("value", r("value"))
 
 
@@ -246,7 +247,7 @@ def a2(t):
        + fill_sql("named", "target", "feature", "value", None))
 def n19(t):
     target = t.orders.select(F.col("o_orderdate").cast("date").alias("dt"))
-    out = features.policy_feature_rows(curve.policy_features(panels.daily_curve(t)), target)
+    out = features.policy_feature_rows(stored(curve.policy_features(panels.daily_curve(t)), "policy"), target)
     return out.withColumn("value", r("value"))
 
 
@@ -267,7 +268,7 @@ filled AS (SELECT s.dt, last_value(v.value IGNORE NULLS) OVER (ORDER BY s.dt ROW
 SELECT dt, 'surprise_score' AS feature, round(coalesce(value, 0), 6) AS value FROM filled
 WHERE dt IN (SELECT dt FROM target)""")
 def w6(t):
-    return features.surprise_score(known(t), ship_days(t)).withColumn("value", r("value"))
+    return features.surprise_score(stored(known(t), "macro"), ship_days(t)).withColumn("value", r("value"))
 
 
 WIDE = ["ret_SP500", "ma20_GOLD", "curve_slope", "cot_z_5-LOW", "fw_net_cut_bias", "surprise_score"]
@@ -275,7 +276,8 @@ WIDE = ["ret_SP500", "ma20_GOLD", "curve_slope", "cot_z_5-LOW", "fw_net_cut_bias
 
 def full_panel(t):
     return features.feature_panel(
-        returns_panel(t), cot_zscores(t), curve.policy_features(panels.daily_curve(t)), known(t)
+        stored(returns_panel(t), "returns"), stored(cot_zscores(t), "positioning"),
+        stored(curve.policy_features(panels.daily_curve(t)), "policy"), stored(known(t), "macro"),
     )
 
 

@@ -9,6 +9,7 @@ from panelloom.operators import performance as P
 from panelloom.operators.returns import by_date
 from panelloom.plans import backtest as B
 from panelloom.plans.registry import query
+from panelloom.session import stored
 from panelloom.plans.sql import ASSET_RETURNS, PROBS, SEQUENCES, STATES, STRATEGY, with_, with_recursive
 from panelloom.sources import panels
 
@@ -200,7 +201,7 @@ def surprise():
 
 
 def path(t, settings):
-    rows = B.trade_rows(panels.probabilities(t), KEY, settings, PLAN, surprise=surprise())
+    rows = B.trade_rows(stored(panels.probabilities(t), "probabilities"), KEY, settings, PLAN, surprise=surprise())
     return B.run_path(rows, KEY)
 
 
@@ -263,7 +264,7 @@ net AS (SELECT portfolio, setting, asset_ret - financing - cost AS ret FROM pnl)
 m AS (SELECT portfolio, setting, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, pow(product(1 + ret), 252 / count(*)) - 1 AS cagr FROM net GROUP BY 1, 2)
 SELECT portfolio, theta, cap AS turnover_cap, heat AS temperature, round(sharpe, 5) AS sharpe, round(cagr, 5) AS cagr FROM m JOIN grid USING (setting)""")
 def p17(t):
-    net = B.net_returns(path(t, B.SWEEP), panels.asset_returns(t), KEY)
+    net = stored(B.net_returns(path(t, B.SWEEP), panels.asset_returns(t), KEY), "net")
     metrics = P.return_metrics(net, ["portfolio", "setting"])
     ranked = B.rank_settings(metrics, B.SWEEP)
     return ranked.select("portfolio", "theta", "turnover_cap", "temperature", r("sharpe", 5).alias("sharpe"), r("cagr", 5).alias("cagr"))
@@ -300,7 +301,7 @@ lagged AS (SELECT portfolio, dt, lag(p) OVER (PARTITION BY portfolio ORDER BY dt
 SELECT portfolio, l.dt, CAST(floor((i - 756) / 63) AS INTEGER) AS fold, (i - 756) % 63 = 0 AS opens, round(q[1], 6) AS p_0, round(q[4], 6) AS p_3
 FROM lagged l JOIN days d ON d.dt = l.dt WHERE i >= 756 AND q IS NOT NULL""")
 def w15(t):
-    probs = panels.probabilities(t)
+    probs = stored(panels.probabilities(t), "probabilities")
     days = folds.test_days(folds.positions(probs), PLAN)
     out = A.lag_signal(probs, KEY).join(days, "dt")
     return out.select("portfolio", "dt", "fold", "opens", r(F.col("trade_p")[0]).alias("p_0"), r(F.col("trade_p")[3]).alias("p_3"))
@@ -310,7 +311,7 @@ def w15(t):
 SELECT portfolio, CAST(f AS INTEGER) AS fold, round(avg(ret), 8) AS mean, round(stddev_samp(ret), 8) AS sd
 FROM folds JOIN days ON i >= a AND i < b JOIN strategy USING (dt) GROUP BY 1, 2""")
 def a5(t):
-    base = panels.strategy(t)
+    base = stored(panels.strategy(t), "strategy")
     out = scaling.expanding_fit(base, folds.positions(base), PLAN, KEY, "ret")
     return out.select("portfolio", "fold", r("mean", 8).alias("mean"), r("sd", 8).alias("sd"))
 
@@ -320,7 +321,7 @@ st AS (SELECT portfolio, f, avg(ret) AS m, stddev_samp(ret) AS sd FROM folds JOI
 SELECT s.portfolio, s.dt, CAST(fo.f AS INTEGER) AS fold, round((ret - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS z
 FROM folds fo JOIN days d ON i >= b AND i < c JOIN strategy s ON s.dt = d.dt JOIN st ON st.f = fo.f AND st.portfolio = s.portfolio""")
 def m1(t):
-    base = panels.strategy(t)
+    base = stored(panels.strategy(t), "strategy")
     days = folds.positions(base)
     stats = scaling.expanding_fit(base, days, PLAN, KEY, "ret")
     tested = base.join(folds.test_days(days, PLAN).select("dt", "fold"), "dt")
@@ -336,7 +337,7 @@ SHOCKS = "shocks(scenario, feature, shock) AS (" + values(
 
 
 def scaled_assets(t):
-    long = panels.asset_returns(t).select(F.concat(F.lit("ret_"), "asset").alias("feature"), "dt", F.col("ret").alias("value"))
+    long = stored(panels.asset_returns(t), "returns").select(F.concat(F.lit("ret_"), "asset").alias("feature"), "dt", F.col("ret").alias("value"))
     return scaling.transform(long, scaling.fit(long, ["feature"]), ["feature"])
 
 
@@ -379,5 +380,6 @@ def p18(t):
     scored = scenario_states(t).withColumn("w", A.soft_weights(F.col("p"), REGIMES))
     packed = pnl.pack_returns(panels.asset_returns(t))
     returns = scored.join(packed, "dt").select("scenario", "dt", pnl.dot(F.col("w"), F.col("r")).alias("ret"))
+    returns = stored(returns, "scenario_returns")
     out = P.return_metrics(returns, ["scenario"])
     return out.select("scenario", "n_trading_days", r("sharpe", 5).alias("sharpe"), r("ann_vol", 5).alias("ann_vol"))

@@ -7,6 +7,7 @@ from panelloom.operators import performance as P
 from panelloom.operators.returns import simple_returns, transition_matrix
 from panelloom.plans.catalog.windows import ROLLING_RISK, TRANSITIONS
 from panelloom.plans.registry import query
+from panelloom.session import stored
 from panelloom.plans.sql import PROBS, RETURNS, STATES, STRATEGY, with_
 from panelloom.sources import panels
 
@@ -39,7 +40,7 @@ SELECT portfolio, n AS n_trading_days, round(total, 6) AS total_return, round(po
   round(q05, 6) AS var_95, round(cvar, 6) AS cvar_95, round(CASE WHEN q05 < 0 THEN q95 / abs(q05) ELSE 0 END, 6) AS tail_ratio
 FROM agg JOIN tail USING (portfolio)""")
 def a7_a9(t):
-    out = P.return_metrics(panels.strategy(t), KEY, risk_free=0.02)
+    out = P.return_metrics(stored(panels.strategy(t), "strategy"), KEY, risk_free=0.02)
     return rounded(out, *[c for c in out.columns if c not in ("portfolio", "n_trading_days")])
 
 
@@ -50,7 +51,8 @@ SELECT instrument, count(*) AS n_trading_days, round(product(1 + ret) - 1, 6) AS
   round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, round(stddev_samp(ret) * sqrt(252), 6) AS ann_vol,
   round(min(drawdown), 6) AS max_drawdown FROM dd GROUP BY instrument""")
 def a7(t):
-    out = P.return_metrics(simple_returns(panels.prices(t), ["instrument"]), ["instrument"])
+    daily = stored(simple_returns(panels.prices(t), ["instrument"]), "returns")
+    out = P.return_metrics(daily, ["instrument"])
     kept = out.select("instrument", "n_trading_days", "total_return", "sharpe", "ann_vol", "max_drawdown")
     return rounded(kept, "total_return", "sharpe", "ann_vol", "max_drawdown")
 
@@ -63,12 +65,12 @@ log AS (SELECT portfolio, dt, state, label, list_max(p) AS max_prob,
   FROM (SELECT *, lag(p) OVER (PARTITION BY portfolio ORDER BY dt) AS prev FROM states))"""
 
 
-def decision_log(t):
+def decision_log(t, states=None):
     """Decision rows from probability moves between consecutive days."""
     from panelloom.functions.probability import l1_distance, max_prob
     from panelloom.operators.returns import by_date
 
-    moved = panels.states(t).withColumn("prev", F.lag("p").over(by_date(KEY)))
+    moved = (states or panels.states(t)).withColumn("prev", F.lag("p").over(by_date(KEY)))
     scored = moved.withColumn("distance", F.coalesce(l1_distance(F.col("p"), F.col("prev")), F.lit(0.0)))
     confident = max_prob(F.col("p"))
     return scored.select(
@@ -143,7 +145,7 @@ agg AS (SELECT portfolio, count(*) AS n, product(1 + b) - 1 AS bt, product(1 + r
 SELECT portfolio, round(bt, 6) AS benchmark_total_return, round(pow(1 + bt, 252 / n) - 1, 6) AS benchmark_cagr,
   round(pow(1 + total, 252 / n) - pow(1 + bt, 252 / n), 6) AS alpha_cagr, round(m / sd * sqrt(252), 6) AS information_ratio FROM agg""")
 def a14(t):
-    base = panels.strategy(t)
+    base = stored(panels.strategy(t), "strategy")
     out = P.versus_benchmark(base, P.equal_weight_benchmark(base), KEY)
     return rounded(out, "benchmark_total_return", "benchmark_cagr", "alpha_cagr", "information_ratio")
 
@@ -176,7 +178,7 @@ l AS (SELECT portfolio, avg(max_prob) AS mp, count(*) FILTER (do_rebalance) AS n
 SELECT portfolio, mdd > -0.2 AS max_drawdown_ok, mp < 0.995 AS state_confidence_not_collapsed, n >= 5 AS enough_rebalances,
   mdd > -0.2 AND mp < 0.995 AND n >= 5 AS all_pass FROM m JOIN l USING (portfolio)""")
 def q13(t):
-    metrics = P.return_metrics(panels.strategy(t), KEY).join(P.rebalance_metrics(decision_log(t), KEY), KEY)
+    metrics = P.return_metrics(stored(panels.strategy(t), "strategy"), KEY).join(P.rebalance_metrics(decision_log(t), KEY), KEY)
     return quality.acceptance(metrics).select(
         "portfolio", "max_drawdown_ok", "state_confidence_not_collapsed", "enough_rebalances", "all_pass"
     )
@@ -196,7 +198,8 @@ SELECT m.portfolio, m.dt, round(nav - 1, 6) AS cumulative_return, round(nav, 6)
   round(m63, 6) AS mean_63, coalesce(changed, false) AS regime_change, coalesce(do_rebalance, false) AS trade
 FROM means m LEFT JOIN ch ON ch.portfolio = m.portfolio AND ch.dt = m.dt LEFT JOIN log l ON l.portfolio = m.portfolio AND l.dt = m.dt""")
 def r1(t):
-    out = marts.returns_nav_events(panels.strategy(t), panels.states(t), decision_log(t), KEY)
+    states = stored(panels.states(t), "states")
+    out = marts.returns_nav_events(panels.strategy(t), states, decision_log(t, states), KEY)
     return rounded(out, "cumulative_return", "nav", "signal", "mean_21", "mean_63")
 
 
@@ -254,7 +257,7 @@ edges AS (SELECT portfolio, min(ret) AS lo, max(ret) AS hi FROM strategy GROUP B
 SELECT portfolio, CAST(least(floor((ret - lo) / (hi - lo) * 60) + 1, 60) AS BIGINT) AS bin, count(*) AS n
 FROM strategy JOIN edges USING (portfolio) GROUP BY 1, 2""")
 def r7_hist(t):
-    return marts.histogram(panels.strategy(t), KEY)
+    return marts.histogram(stored(panels.strategy(t), "strategy"), KEY)
 
 
 @query("t1_output_sort", with_(RETURNS) + """

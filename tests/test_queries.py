@@ -16,7 +16,11 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = QUERIES[name](spark, FOLDER).toPandas()
+    frame = QUERIES[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan
+    got = frame.toPandas()
     if name in ORACLES:
         problem = compare(got, duck, ORACLES[name])
         assert problem is None, problem
