@@ -1,8 +1,8 @@
 """Gaussian hidden Markov models over many dated sequences.
 
-A sequence has one observation per day (checked), so a packed sequence is at
-most as long as the calendar. Sequences are packed once; every EM iteration is
-then a narrow pass over packed rows that emits parameter-sized sums, with all
+A sequence has one observation per day (checked), so a sequence is at most as
+long as the calendar. For fitting, sequences are packed once; every EM iteration
+is then a narrow pass over packed rows that emits parameter-sized sums, with all
 restarts and all groups (folds) sharing the pass.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,6 +64,19 @@ def pack(rows: DataFrame, series: str = "series_id", date: str = "dt", x: str =
     )
 
 
+@contextmanager
+def bounded_batches(packed: DataFrame, d: int):
+    """Let a batch hold as many packed sequences as fit the cell limit, by measured length."""
+    spark, name = packed.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    longest = packed.agg(F.max(F.size("xs"))).first()[0] or 1
+    spark.conf.set(name, str(max(1, min(int(before), BATCH_CELLS // (longest * d)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def starting_chain(means: np.ndarray, variance: np.ndarray) -> Chain:
     k = len(means)
     moves = np.full((k, k), LEAVE)
@@ -218,25 +232,26 @@ def improve(packed: DataFrame, chains: dict, iterations: int, tol: float = 1e-4)
     active = {g: dict(by) for g, by in chains.items()}
     level: dict[tuple[int, int], float] = {}
     ended: dict[tuple[int, int], tuple[int, bool]] = {}
-    for step in range(iterations):
-        live = packed if len(active) == len(current) else packed.where(F.col("grp").isin(list(active)))
-        sums = sum_slots(expectation(live, active, k, d), restarts * stride)
-        for g in list(active):
-            for r in list(active[g]):
-                held = sums[g][r * stride : (r + 1) * stride]
-                current[g][r] = maximise(held, active[g][r])
-                settled = bool(step > 0 and abs(held[-1] - level[g, r]) < tol)
-                level[g, r] = held[-1]
-                ended[g, r] = (step + 1, settled)
-                if settled:
-                    del active[g][r]
-                else:
-                    active[g][r] = current[g][r]
-            if not active[g]:
-                del active[g]
-        if not active:
-            break
-    final = sum_slots(expectation(packed, current, k, d), restarts * stride)
+    with bounded_batches(packed, d):
+        for step in range(iterations):
+            live = packed if len(active) == len(current) else packed.where(F.col("grp").isin(list(active)))
+            sums = sum_slots(expectation(live, active, k, d), restarts * stride)
+            for g in list(active):
+                for r in list(active[g]):
+                    held = sums[g][r * stride : (r + 1) * stride]
+                    current[g][r] = maximise(held, active[g][r])
+                    settled = bool(step > 0 and abs(held[-1] - level[g, r]) < tol)
+                    level[g, r] = held[-1]
+                    ended[g, r] = (step + 1, settled)
+                    if settled:
+                        del active[g][r]
+                    else:
+                        active[g][r] = current[g][r]
+                if not active[g]:
+                    del active[g]
+            if not active:
+                break
+        final = sum_slots(expectation(packed, current, k, d), restarts * stride)
     for g, by in current.items():
         for r, chain in by.items():
             chain.log_likelihood = float(final[g][(r + 1) * stride - 1])
@@ -284,39 +299,34 @@ def decode(
     """(grp, series, dt, p, state): smoothed, filtered, or smoothed with the best path.
 
     `posterior` uses the whole sequence, `filtered` only the days so far, and
-    `viterbi` reports the most likely path with the smoothed shares.
+    `viterbi` reports the most likely path with the smoothed shares. A group is
+    one sequence, at most a row per calendar day (checked).
     """
     if method not in ("posterior", "filtered", "viterbi"):
         raise ValueError(f"unknown method {method!r}")
     models = chains if isinstance(chains, dict) else {0: chains}
-    packed = pack(rows, series, date, x, group)
-    k = next(iter(models.values())).k
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for grp, part_rows in pdf.groupby("grp", sort=False):
-                chain = models[grp]
-                for part in chunks(part_rows, k * max(k, chain.means.shape[1])):
-                    values, mask = stack(part)
-                    log_b = emissions(values, chain)
-                    shares = forward(log_b, mask, chain)[0] if method == "filtered" else smooth(log_b, mask, chain)[0]
-                    states = best_path(log_b, mask, chain) if method == "viterbi" else shares.argmax(axis=2)
-                    yield pd.DataFrame({
-                        "grp": np.repeat(part["grp"].to_numpy(), mask.sum(axis=1)),
-                        series: np.repeat(part[series].to_numpy(), mask.sum(axis=1)),
-                        "dt": np.concatenate([np.asarray(days) for days in part["dts"]]),
-                        "p": list(shares[mask]),
-                        "state": states[mask].astype("int32"),
-                    })
+    flat = with_group(rows, group).select("grp", series, F.col(date).alias("dt"), x)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt", kind="stable")
+        if pdf["dt"].duplicated().any():
+            raise ValueError("a sequence holds the same day twice")
+        chain = models[pdf["grp"].iloc[0]]
+        values, mask = padded([np.stack(pdf[x].to_numpy()).astype(float)])
+        log_b = emissions(values, chain)
+        shares = forward(log_b, mask, chain)[0] if method == "filtered" else smooth(log_b, mask, chain)[0]
+        states = best_path(log_b, mask, chain) if method == "viterbi" else shares.argmax(axis=2)
+        out = pdf[["grp", series, "dt"]].copy()
+        out["p"] = list(shares[0])
+        out["state"] = states[0].astype("int32")
+        return out
 
     schema = T.StructType([
-        packed.schema["grp"],
-        packed.schema[series],
-        T.StructField("dt", packed.schema["dts"].dataType.elementType),
+        *[flat.schema[c] for c in ("grp", series, "dt")],
         T.StructField("p", T.ArrayType(T.DoubleType())),
         T.StructField("state", T.IntegerType()),
     ])
-    return packed.mapInPandas(label, schema)
+    return flat.groupBy("grp", series).applyInPandas(label, schema)
 
 
 def parameter_table(spark, chains: dict[int, Chain]) -> DataFrame:

@@ -289,8 +289,7 @@ def outer_block(name, source, limit):
 
 
 @query("j7_feature_matrix", with_(RETURN_BLOCK, COT_BLOCK, POLICY, SURPRISE, """
-low AS (SELECT dt, CASE WHEN feature = 'cot_z_5-LOW' THEN value END AS value FROM cot
-        WHERE feature = 'cot_z_5-LOW' OR dt NOT IN (SELECT dt FROM cot WHERE feature = 'cot_z_5-LOW')),
+low AS (SELECT dt, max(value) FILTER (feature = 'cot_z_5-LOW') AS value FROM cot GROUP BY dt),
 bias AS (SELECT dt, implied_cut_prob_3m - (1 - implied_cut_prob_3m) AS value FROM policy)""")
        + outer_block("a", "low", 7) + outer_block("b", "bias", None) + outer_block("c", "surprise", 5) + """
 SELECT d.dt, round(max(x.value) FILTER (x.feature = 'ret_SP500'), 6) AS "ret_SP500",
