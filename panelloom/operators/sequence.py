@@ -1,16 +1,17 @@
 """Gaussian hidden Markov models over many dated sequences.
 
-A sequence has one observation per day (checked), so a sequence is at most as
-long as the calendar. For fitting, sequences are packed once; every EM iteration
-is then a narrow pass over packed rows that emits parameter-sized sums, with all
-restarts and all groups (folds) sharing the pass.
+A sequence has one observation per day (checked), so it is at most as long as
+the calendar. Sequences are shuffled once into date-ordered partitions; every EM
+iteration is then a narrow pass over the ordered rows that emits parameter-sized
+sums, with all restarts and all groups (folds) sharing the pass. Rows stream
+through in Arrow batches and are regrouped into whole sequences, so a task holds
+one batch and the sequence at its end, never a whole partition.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,35 +47,60 @@ class Chain:
         return len(self.initial)
 
 
-def pack(rows: DataFrame, series: str = "series_id", date: str = "dt", x: str = "x", group: str | None = None) -> DataFrame:
-    """(grp, series, dts, xs): one row per sequence in date order.
-
-    A repeated day is an error rather than a longer sequence, which keeps the
-    packed row bounded by the calendar.
-    """
-    cells = F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), F.col(x).alias("v"))))
-    packed = with_group(rows, group).groupBy("grp", series).agg(
-        cells.alias("cells"), F.count_distinct(date).alias("n_days")
-    )
-    checked = F.when(F.size("cells") == F.col("n_days"), F.col("cells")).otherwise(
-        F.raise_error(F.lit("a sequence holds the same day twice"))
-    )
-    return packed.withColumn("cells", checked).select(
-        "grp", series, F.col("cells.d").alias("dts"), F.col("cells.v").alias("xs")
+def ordered(
+    rows: DataFrame, series: str = "series_id", date: str = "dt", x: str = "x", group: str | None = None
+) -> DataFrame:
+    """(grp, series_id, dt, x) with every sequence in one partition, in date order."""
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = with_group(rows, group).select(
+        "grp", F.col(series).alias("series_id"), F.col(date).alias("dt"), F.col(x).alias("x")
     )
+    return named.repartition(slots, "grp", "series_id").sortWithinPartitions("grp", "series_id", "dt")
 
 
-@contextmanager
-def bounded_batches(packed: DataFrame, d: int):
-    """Let a batch hold as many packed sequences as fit the cell limit, by measured length."""
-    spark, name = packed.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    longest = packed.agg(F.max(F.size("xs"))).first()[0] or 1
-    spark.conf.set(name, str(max(1, min(int(before), BATCH_CELLS // (longest * d)))))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def whole_sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroup a stream of ordered rows so that no sequence is cut between two frames."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        grp, name = pdf["grp"].iloc[-1], pdf["series_id"].iloc[-1]
+        open_end = ((pdf["grp"] == grp) & (pdf["series_id"] == name)).to_numpy()
+        rest = pdf[open_end]
+        if not open_end.all():
+            yield pdf[~open_end].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
+def blocks(pdf: pd.DataFrame, cells_per_row: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, padded values, mask, row numbers) of sequences of similar length.
+
+    A block's padded size stays within the cell limit (one sequence at least).
+    """
+    data = np.stack(pdf["x"].to_numpy()).astype(float)
+    grp, name = pdf["grp"].to_numpy(), pdf["series_id"].to_numpy()
+    opens = np.r_[True, (grp[1:] != grp[:-1]) | (name[1:] != name[:-1])]
+    days = pdf["dt"].to_numpy()
+    if (~opens[1:] & (days[1:] == days[:-1])).any():
+        raise ValueError("a sequence holds the same day twice")
+    starts = np.flatnonzero(opens)
+    lengths = np.diff(np.r_[starts, len(pdf)])
+    order = np.lexsort((lengths, grp[starts]))
+    first = 0
+    while first < len(order):
+        g, last = grp[starts[order[first]]], first + 1
+        while (
+            last < len(order)
+            and grp[starts[order[last]]] == g
+            and (last + 1 - first) * lengths[order[last]] * cells_per_row <= BATCH_CELLS
+        ):
+            last += 1
+        chosen = order[first:last]
+        at = [np.arange(starts[i], starts[i] + lengths[i]) for i in chosen]
+        values, mask = padded([data[i] for i in at])
+        yield int(g), values, mask, np.concatenate(at)
+        first = last
 
 
 def starting_chain(means: np.ndarray, variance: np.ndarray) -> Chain:
@@ -98,19 +124,6 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return values, mask
 
 
-def chunks(pdf: pd.DataFrame, cells_per_row: int) -> Iterator[pd.DataFrame]:
-    """Slices of similar sequence length whose padded size stays within the batch limit."""
-    ordered = pdf.iloc[np.argsort(pdf["xs"].map(len).to_numpy(), kind="stable")]
-    lengths = ordered["xs"].map(len).to_numpy()
-    start = 0
-    while start < len(ordered):
-        stop = start + 1
-        while stop < len(ordered) and (stop + 1 - start) * lengths[stop] * cells_per_row <= BATCH_CELLS:
-            stop += 1
-        yield ordered.iloc[start:stop]
-        start = stop
-
-
 def emissions(values: np.ndarray, chain: Chain) -> np.ndarray:
     """(s, t, k) log densities."""
     s2 = np.maximum(chain.variances, VARIANCE_FLOOR)
@@ -169,39 +182,33 @@ def best_path(log_b: np.ndarray, mask: np.ndarray, chain: Chain) -> np.ndarray:
     return states
 
 
-def stack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return padded([np.stack(list(xs)).astype(float) for xs in part["xs"]])
-
-
-def expectation(packed: DataFrame, chains: dict, k: int, d: int) -> DataFrame:
+def expectation(rows: DataFrame, chains: dict, k: int, d: int) -> DataFrame:
     """Partial sums per partition for every (group, restart)."""
     stride = k + k * k + k * (2 * d + 1) + 1
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            for grp, rows in pdf.groupby("grp", sort=False):
-                for part in chunks(rows, k * max(d, k)):
-                    values, mask = stack(part)
-                    for restart, chain in chains[grp].items():
-                        gamma, counts, level = smooth(emissions(values, chain), mask, chain)
-                        block = np.empty((k, 2 * d + 1))
-                        block[:, 0] = gamma.sum(axis=(0, 1))
-                        block[:, 1 : d + 1] = np.einsum("stk,std->kd", gamma, values)
-                        for j in range(k):
-                            gap = (values - chain.means[j]) ** 2
-                            block[j, d + 1 :] = np.einsum("st,std->d", gamma[:, :, j], gap)
-                        held = sums.setdefault((grp, restart), np.zeros(stride))
-                        held += np.concatenate(
-                            [gamma[:, 0].sum(axis=0), counts.ravel(), block.ravel(), [level.sum()]]
-                        )
+        for pdf in whole_sequences(batches):
+            for grp, values, mask, _ in blocks(pdf, k * max(d, k)):
+                for restart, chain in chains[grp].items():
+                    gamma, counts, level = smooth(emissions(values, chain), mask, chain)
+                    block = np.empty((k, 2 * d + 1))
+                    block[:, 0] = gamma.sum(axis=(0, 1))
+                    block[:, 1 : d + 1] = np.einsum("stk,std->kd", gamma, values)
+                    for j in range(k):
+                        gap = (values - chain.means[j]) ** 2
+                        block[j, d + 1 :] = np.einsum("st,std->d", gamma[:, :, j], gap)
+                    held = sums.setdefault((grp, restart), np.zeros(stride))
+                    held += np.concatenate(
+                        [gamma[:, 0].sum(axis=0), counts.ravel(), block.ravel(), [level.sum()]]
+                    )
         for (grp, restart), held in sums.items():
             slots = np.arange(stride) + restart * stride
             yield pd.DataFrame({"grp": grp, "slot": slots, "value": held}).astype(
                 {"grp": "int32", "slot": "int32"}
             )
 
-    return packed.select("grp", "xs").mapInPandas(add, SLOT_SCHEMA)
+    return rows.mapInPandas(add, SLOT_SCHEMA)
 
 
 def maximise(held: np.ndarray, old: Chain) -> Chain:
@@ -219,8 +226,8 @@ def maximise(held: np.ndarray, old: Chain) -> Chain:
     )
 
 
-def improve(packed: DataFrame, chains: dict, iterations: int, tol: float = 1e-4) -> dict:
-    """EM from given starts; each restart stops once its likelihood settles.
+def improve(rows: DataFrame, chains: dict, iterations: int, tol: float = 1e-4) -> dict:
+    """EM over ordered rows from given starts; each restart stops once its likelihood settles.
 
     Reports the likelihood of the parameters returned, from one last pass.
     """
@@ -232,26 +239,25 @@ def improve(packed: DataFrame, chains: dict, iterations: int, tol: float = 1e-4)
     active = {g: dict(by) for g, by in chains.items()}
     level: dict[tuple[int, int], float] = {}
     ended: dict[tuple[int, int], tuple[int, bool]] = {}
-    with bounded_batches(packed, d):
-        for step in range(iterations):
-            live = packed if len(active) == len(current) else packed.where(F.col("grp").isin(list(active)))
-            sums = sum_slots(expectation(live, active, k, d), restarts * stride)
-            for g in list(active):
-                for r in list(active[g]):
-                    held = sums[g][r * stride : (r + 1) * stride]
-                    current[g][r] = maximise(held, active[g][r])
-                    settled = bool(step > 0 and abs(held[-1] - level[g, r]) < tol)
-                    level[g, r] = held[-1]
-                    ended[g, r] = (step + 1, settled)
-                    if settled:
-                        del active[g][r]
-                    else:
-                        active[g][r] = current[g][r]
-                if not active[g]:
-                    del active[g]
-            if not active:
-                break
-        final = sum_slots(expectation(packed, current, k, d), restarts * stride)
+    for step in range(iterations):
+        live = rows if len(active) == len(current) else rows.where(F.col("grp").isin(list(active)))
+        sums = sum_slots(expectation(live, active, k, d), restarts * stride)
+        for g in list(active):
+            for r in list(active[g]):
+                held = sums[g][r * stride : (r + 1) * stride]
+                current[g][r] = maximise(held, active[g][r])
+                settled = bool(step > 0 and abs(held[-1] - level[g, r]) < tol)
+                level[g, r] = held[-1]
+                ended[g, r] = (step + 1, settled)
+                if settled:
+                    del active[g][r]
+                else:
+                    active[g][r] = current[g][r]
+            if not active[g]:
+                del active[g]
+        if not active:
+            break
+    final = sum_slots(expectation(rows, current, k, d), restarts * stride)
     for g, by in current.items():
         for r, chain in by.items():
             chain.log_likelihood = float(final[g][(r + 1) * stride - 1])
@@ -271,20 +277,18 @@ def fit_groups(
     restarts: int = 5, iterations: int = 200, tol: float = 1e-4, seed: int = 42, group: str | None = None,
 ) -> dict[int, Chain]:
     """Best of `restarts` fits per group; series of a group share its parameters."""
-    flat = with_group(rows, group).withColumn(
-        "row_id", F.concat_ws("/", F.col(series).cast("string"), F.col(date).cast("string"))
-    )
-    packed = pack(rows, series, date, x, group).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = ordered(rows, series, date, x, group).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        d = packed.select(F.size(F.col("xs")[0])).first()[0]
-        starts = starting_rows(flat, "row_id", x, k, restarts, seed)
-        var = spread(flat, x, d)
+        d = placed.select(F.size("x")).first()[0]
+        row_id = F.concat_ws("/", F.col("series_id").cast("string"), F.col("dt").cast("string"))
+        starts = starting_rows(placed.withColumn("row_id", row_id), "row_id", "x", k, restarts, seed)
+        var = spread(placed, "x", d)
         chains = {
             g: {r: starting_chain(starts[g][r], var[g]) for r in range(restarts)} for g in starts
         }
-        fitted = improve(packed, chains, iterations, tol)
+        fitted = improve(placed, chains, iterations, tol)
     finally:
-        packed.unpersist()
+        placed.unpersist()
     return {g: best_of(by) for g, by in fitted.items()}
 
 
@@ -299,34 +303,32 @@ def decode(
     """(grp, series, dt, p, state): smoothed, filtered, or smoothed with the best path.
 
     `posterior` uses the whole sequence, `filtered` only the days so far, and
-    `viterbi` reports the most likely path with the smoothed shares. A group is
-    one sequence, at most a row per calendar day (checked).
+    `viterbi` reports the most likely path with the smoothed shares.
     """
     if method not in ("posterior", "filtered", "viterbi"):
         raise ValueError(f"unknown method {method!r}")
     models = chains if isinstance(chains, dict) else {0: chains}
-    flat = with_group(rows, group).select("grp", series, F.col(date).alias("dt"), x)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt", kind="stable")
-        if pdf["dt"].duplicated().any():
-            raise ValueError("a sequence holds the same day twice")
-        chain = models[pdf["grp"].iloc[0]]
-        values, mask = padded([np.stack(pdf[x].to_numpy()).astype(float)])
-        log_b = emissions(values, chain)
-        shares = forward(log_b, mask, chain)[0] if method == "filtered" else smooth(log_b, mask, chain)[0]
-        states = best_path(log_b, mask, chain) if method == "viterbi" else shares.argmax(axis=2)
-        out = pdf[["grp", series, "dt"]].copy()
-        out["p"] = list(shares[0])
-        out["state"] = states[0].astype("int32")
-        return out
-
+    k, d = next(iter(models.values())).means.shape
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_sequences(batches):
+            for grp, values, mask, at in blocks(pdf, k * max(d, k)):
+                chain = models[grp]
+                log_b = emissions(values, chain)
+                shares = forward(log_b, mask, chain)[0] if method == "filtered" else smooth(log_b, mask, chain)[0]
+                states = best_path(log_b, mask, chain) if method == "viterbi" else shares.argmax(axis=2)
+                out = pdf.loc[at, ["grp", "series_id", "dt"]]
+                out["p"] = list(shares[mask])
+                out["state"] = states[mask].astype("int32")
+                yield out
+
+    placed = ordered(rows, series, date, x, group)
     schema = T.StructType([
-        *[flat.schema[c] for c in ("grp", series, "dt")],
+        *[placed.schema[c] for c in ("grp", "series_id", "dt")],
         T.StructField("p", T.ArrayType(T.DoubleType())),
         T.StructField("state", T.IntegerType()),
     ])
-    return flat.groupBy("grp", series).applyInPandas(label, schema)
+    return placed.mapInPandas(label, schema).withColumnRenamed("series_id", series)
 
 
 def parameter_table(spark, chains: dict[int, Chain]) -> DataFrame:

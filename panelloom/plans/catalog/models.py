@@ -194,8 +194,8 @@ SELECT 0 AS k, round(pi0, 6) AS pi, round((c00 + 0.01) / (c00 + c01 + 0.02), 6)
 UNION ALL SELECT 1, round(1 - pi0, 6), round((c10 + 0.01) / (c10 + c11 + 0.02), 6), round((c11 + 0.01) / (c10 + c11 + 0.02), 6),
   round(m10, 6), round(m11, 6), round(v10, 6), round(v11, 6) FROM tot, xi, mu, va""")
 def m7(t):
-    packed = sequence.pack(fixed_rows(t))
-    moved = sequence.improve(packed, {0: {0: CHAIN}}, 1)[0][0]
+    placed = sequence.ordered(fixed_rows(t))
+    moved = sequence.improve(placed, {0: {0: CHAIN}}, 1)[0][0]
     out = sequence.parameter_table(t.spark, {0: moved})
     return out.select(
         "k", r("pi").alias("pi"), *[r(F.col("a")[j]).alias(f"a_{j}") for j in range(2)],

@@ -87,7 +87,7 @@ def test_filtered_shares_use_the_past_only(spark):
 def test_one_step_matches_enumeration(spark):
     values = data()
     gammas, counts, level, _ = exact(values)
-    packed = sequence.pack(rows(spark, values))
+    packed = sequence.ordered(rows(spark, values))
     zero = sequence.improve(packed, {0: {0: sequence.Chain(**{k: getattr(CHAIN, k) for k in ("initial", "transition", "means", "variances")})}}, 0)
     assert zero[0][0].log_likelihood == pytest.approx(level)
     moved = sequence.improve(packed, {0: {0: CHAIN}}, 1)[0][0]
@@ -105,7 +105,7 @@ def test_one_step_matches_enumeration(spark):
 def test_likelihood_rises_and_restarts_are_independent(spark):
     rng = np.random.default_rng(8)
     values = {str(i): np.concatenate([rng.normal(0, 1, (15, 2)), rng.normal(4, 1, (15, 2))]) for i in range(6)}
-    packed = sequence.pack(rows(spark, values)).persist()
+    packed = sequence.ordered(rows(spark, values)).persist()
     variance = np.concatenate(list(values.values())).var(axis=0)
     start = lambda s: sequence.starting_chain(np.array([values["0"][s], values["1"][-1 - s]]), variance)
     levels = [sequence.improve(packed, {0: {0: start(0)}}, n)[0][0].log_likelihood for n in (0, 1, 3, 6)]
@@ -118,9 +118,9 @@ def test_likelihood_rises_and_restarts_are_independent(spark):
 
 
 def test_repeated_days_are_rejected(spark):
-    df = spark.createDataFrame([("a", day(0), [1.0]), ("a", day(0), [2.0])], "series_id string, dt date, x array<double>")
+    df = spark.createDataFrame([("a", day(0), [1.0, 1.0]), ("a", day(0), [2.0, 1.0])], "series_id string, dt date, x array<double>")
     with pytest.raises(PySparkException):
-        sequence.pack(df).collect()
+        sequence.decode(df, CHAIN).collect()
 
 
 def test_fit_finds_two_regimes_for_any_partitioning(spark):
@@ -174,3 +174,17 @@ def test_walk_forward_scores_every_test_day_once(spark, model):
     pdf = out.toPandas()
     assert len(pdf) == 4 * 10 and set(pdf["fold"]) == {0, 1}
     assert np.allclose([sum(p) for p in pdf["p"]], 1.0)
+
+
+def test_sequences_cut_by_batches_are_joined_again(spark):
+    values = data() | {"long": np.random.default_rng(3).normal(size=(90, 2))}
+    whole = sequence.decode(rows(spark, values), CHAIN, method="viterbi").orderBy("series_id", "dt").toPandas()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        cut = sequence.decode(rows(spark, values), CHAIN, method="viterbi").orderBy("series_id", "dt").toPandas()
+    finally:
+        spark.conf.set(name, before)
+    assert list(cut["state"]) == list(whole["state"])
+    np.testing.assert_allclose(np.stack(cut["p"]), np.stack(whole["p"]), rtol=1e-9)
