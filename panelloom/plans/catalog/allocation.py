@@ -115,12 +115,12 @@ moved AS (SELECT *, sum(abs(w - before)) OVER (PARTITION BY portfolio, dt) AS m
 
 
 @query("p5_j11_turnover_cap", with_(PROBS, WEIGHTS, TRIPLED) + TURNOVER + """
-SELECT portfolio, dt, asset, round(CASE WHEN m > 0.3 THEN before + 0.3 / m * (w - before) ELSE w END, 9) + 0.0 AS w FROM moved""")
+SELECT portfolio, dt, asset, round(CASE WHEN m > 0.3 THEN before + 0.3 / m * (w - before) ELSE w END, 11) + 0.0 AS w FROM moved""")
 def p5(t):
     none = PF.vector([0.0] * 8)
     before = tripled(t).withColumn("before", F.coalesce(F.lag("w").over(by_date(KEY)), none))
     out = before.withColumn("w", A.cap_turnover(F.col("w"), F.col("before"), 0.30))
-    return A.explode_weights(out, KEY).withColumn("w", r("w", 9) + 0.0)
+    return A.explode_weights(out, KEY).withColumn("w", r("w", 11) + 0.0)
 
 
 @query("p6_volatility_target", with_(PROBS, WEIGHTS, SOFT, STRATEGY) + """,
