@@ -29,10 +29,12 @@ def build_session(app: str = "panelloom", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    A machine-local folder is made only where the setting is absent (tests).
+    A machine-local folder is made only in local mode where nothing is set (tests).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
