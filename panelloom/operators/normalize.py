@@ -53,10 +53,10 @@ def map_tickers(
     size is below the threshold and shuffles otherwise.
     """
     exact = mapping.where("vendor is not null").groupBy("vendor", "ticker").agg(
-        F.first("internal_id").alias("_exact")
+        F.min("internal_id").alias("_exact")
     ).withColumnsRenamed({"vendor": vendor, "ticker": ticker})
     general = mapping.where("vendor is null").groupBy("ticker").agg(
-        F.first("internal_id").alias("_general")
+        F.min("internal_id").alias("_general")
     ).withColumnRenamed("ticker", ticker)
     joined = df.join(exact, [vendor, ticker], "left").join(general, ticker, "left")
     return joined.withColumn(out, F.coalesce("_exact", "_general", F.col(ticker))).drop("_exact", "_general")
