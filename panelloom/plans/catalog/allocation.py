@@ -88,8 +88,8 @@ def p2(t):
 
 
 @query("p3_hard_weights", with_(STATES, WEIGHTS) + """
-SELECT portfolio, dt, w.asset, w.w + 0.0 AS w FROM states JOIN weights w ON w.k = state WHERE list_max(p) >= 0.5
-UNION ALL SELECT portfolio, dt, b.asset, b.w + 0.0 FROM states, baseline b WHERE list_max(p) < 0.5""")
+SELECT portfolio, dt, w.asset, w.w::DOUBLE + 0.0 AS w FROM states JOIN weights w ON w.k = state WHERE list_max(p) >= 0.5
+UNION ALL SELECT portfolio, dt, b.asset, b.w::DOUBLE + 0.0 FROM states, baseline b WHERE list_max(p) < 0.5""")
 def p3(t):
     hard = panels.probabilities(t).withColumn("w", A.hard_weights(F.col("p"), REGIMES, 0.5))
     return A.explode_weights(hard, KEY).withColumn("w", F.col("w") + 0.0)
@@ -262,7 +262,7 @@ def p15(t):
 @query("p17_t5_parameter_sweep", with_recursive(PROBS, ASSET_RETURNS, path_sql(B.SWEEP)) + PNL + """,
 net AS (SELECT portfolio, setting, asset_ret - financing - cost AS ret FROM pnl),
 m AS (SELECT portfolio, setting, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, pow(product(1 + ret), 252 / count(*)) - 1 AS cagr FROM net GROUP BY 1, 2)
-SELECT portfolio, theta, cap AS turnover_cap, heat AS temperature, round(sharpe, 5) AS sharpe, round(cagr, 5) AS cagr FROM m JOIN grid USING (setting)""")
+SELECT portfolio, theta::DOUBLE AS theta, cap::DOUBLE AS turnover_cap, heat::DOUBLE AS temperature, round(sharpe, 5) AS sharpe, round(cagr, 5) AS cagr FROM m JOIN grid USING (setting)""")
 def p17(t):
     net = stored(B.net_returns(path(t, B.SWEEP), panels.asset_returns(t), KEY), "net")
     metrics = P.return_metrics(net, ["portfolio", "setting"])
