@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import sharding
+from panelloom.llm import decontaminate, lines, sharding
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,16 @@ def op10_weighted_tree_shards(t: Tables) -> DataFrame:
     return sharding.assign(t.documents, tree, grown).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.col("grown_shard").cast("int").alias("grown_shard"))
+
+
+@llm_query("op7_line_dedup", lines.SQL)
+def op7_line_dedup(t: Tables) -> DataFrame:
+    return lines.dedup_lines(t.documents).select("doc_id", "n_lines", "n_dropped", F.sha2(lines.joined(), 256).alias("kept_sha256"))
+
+
+@llm_query("op3_benchmark_decontamination", decontaminate.SQL)
+def op3_benchmark_decontamination(t: Tables) -> DataFrame:
+    ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return decontaminate.contamination(t.documents, t.benchmark).select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
