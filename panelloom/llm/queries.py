@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, sharding
+from panelloom.llm import decontaminate, lines, sharding, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,17 @@ def op3_benchmark_decontamination(t: Tables) -> DataFrame:
     return decontaminate.contamination(t.documents, t.benchmark).select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+@llm_query("op9_url_trust")
+def op9_url_trust(t: Tables) -> DataFrame:
+    return urls.judge(t.pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
