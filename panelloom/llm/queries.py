@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, sharding, urls
+from panelloom.llm import decontaminate, lines, quality, sharding, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,10 @@ URL_RULES = [
 @llm_query("op9_url_trust")
 def op9_url_trust(t: Tables) -> DataFrame:
     return urls.judge(t.pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@llm_query("op6_quality_rules")
+def op6_quality_rules(t: Tables) -> DataFrame:
+    model = quality.fit(t.documents, t.labels)
+    return quality.judge(t.documents.select("doc_id", "text"), model).select(
+        "doc_id", *quality.MEASURES, "base_failed", "kept", "probability")
