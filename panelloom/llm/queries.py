@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, quality, sharding, urls
+from panelloom.llm import decontaminate, lines, quality, sharding, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op6_quality_rules(t: Tables) -> DataFrame:
     model = quality.fit(t.documents, t.labels)
     return quality.judge(t.documents.select("doc_id", "text"), model).select(
         "doc_id", *quality.MEASURES, "base_failed", "kept", "probability")
+
+
+TOXIC_FROM = 0.3
+
+
+@llm_query("op8_toxicity_lexicon")
+def op8_toxicity_lexicon(t: Tables) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    lexicon = toxicity.learn(t.documents, t.labels, allowed=~held_out)
+    return toxicity.score(t.documents.select("doc_id", "text"), lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_matches")
