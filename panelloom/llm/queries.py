@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, quality, sharding, toxicity, urls
+from panelloom.llm import decontaminate, lines, pieces, quality, sharding, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,12 @@ def op8_toxicity_lexicon(t: Tables) -> DataFrame:
     lexicon = toxicity.learn(t.documents, t.labels, allowed=~held_out)
     return toxicity.score(t.documents.select("doc_id", "text"), lexicon).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_matches")
+
+
+# The vocabulary stays where its package installs it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@llm_query("op5_sentencepiece")
+def op5_sentencepiece(t: Tables) -> DataFrame:
+    return pieces.encode(t.documents, PIECE_MODEL)
