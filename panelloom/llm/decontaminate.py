@@ -13,12 +13,12 @@ from panelloom.session import stored
 WINDOW = 13
 # Beyond these row counts the small sides are shuffled instead of broadcast (about 32 MB each).
 MOST_TERMS, MOST_WINDOWS = 500_000, 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """Runs of digits, a-z and anything beyond ASCII, A-Z lower-cased first."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
 
 
 def row_key(key: str, text: str) -> list[Column]:
@@ -54,8 +54,9 @@ def build_index(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     windows = stored(item_windows(benchmark, size, item, item_text).withColumn("window", F.xxhash64("phrase")), "windows")
     terms = windows.select(F.explode("phrase").alias("term")).distinct()
     n_terms, n_windows = terms.count(), windows.count()
-    counted = documents.select(F.explode(words_of(text_of(text))).alias("term")) \
-        .join(broadcast_if_small(terms, n_terms, MOST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n"))
+    # Outer generators: for inner ones the optimiser adds a filter that splits every text a second time.
+    counted = stored(documents.select(F.explode_outer(words_of(text_of(text))).alias("term")) \
+        .join(broadcast_if_small(terms, n_terms, MOST_TERMS), "term").groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     spread = windows.select("window", "phrase", F.posexplode("phrase").alias("offset", "term"))
     ranked = spread.join(counted, "term", "left").groupBy("window", "phrase").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))), 1, 2).alias("rarest"))
@@ -63,7 +64,7 @@ def build_index(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     needed = ranked.select(F.explode("rarest.term").alias("term")).distinct()
     n_needed = needed.count()
     placed = documents.select(*row_key(key, text), words_of(text_of(text)).alias("words")).select(
-        "*", F.posexplode("words").alias("position", "term"))
+        "*", F.posexplode_outer("words").alias("position", "term"))
     around = placed.join(broadcast_if_small(needed, n_needed, MOST_TERMS), "term").select(
         "term", "id", "t1", "t2", "position",
         F.least("position", F.lit(size - 1)).alias("before"),

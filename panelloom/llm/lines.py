@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import SPACE, ascii_lower, digest_pair, text_of
+from panelloom.session import stored
 
 
 def line_key(line: Column) -> Column:
@@ -34,7 +35,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_documents: int =
     own = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(F.array_distinct(lines)).alias("line"))
     own = own.where(F.char_length(line_key(F.col("line"))) >= min_chars)
     held = own.select("id", *[c.alias(f"h{i}") for i, c in enumerate(digest_pair(line_key(F.col("line"))), 1)])
-    common = held.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents)
+    # Stored, so that both sides of the next join are dealt anew and a common line's pairs can be split over tasks.
+    common = stored(held.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents), "common-lines")
     lost = held.join(common, ["h1", "h2"]).where("id <> last").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost_keys"))
     given = documents.drop("kept_lines", "n_lines", "n_dropped", "lost_keys", "id")
     kept = F.when(F.col("lost_keys").isNull(), lines).otherwise(
