@@ -50,7 +50,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node is linked to the smallest of the node's neighbourhood.
         around = both(current)
-        low = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = around.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
         # Small star: smaller neighbours and the node itself are linked to the smallest of them.
         low = large.groupBy("b").agg(F.min("a").alias("low"))

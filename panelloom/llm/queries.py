@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, pieces, quality, sharding, substrings, toxicity, urls
+from panelloom.llm import decontaminate, lines, pieces, quality, sharding, sigtree, substrings, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op5_sentencepiece(t: Tables) -> DataFrame:
 @llm_query("op1_suffix_array_dedup")
 def op1_suffix_array_dedup(t: Tables) -> DataFrame:
     return substrings.dedup_substrings(t.documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@llm_query("op2_signature_tree_jaccard")
+def op2_signature_tree_jaccard(t: Tables) -> DataFrame:
+    return sigtree.near_duplicates(t.documents)
