@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, pieces, quality, sharding, sigtree, substrings, toxicity, urls
+from panelloom.llm import decontaminate, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op1_suffix_array_dedup(t: Tables) -> DataFrame:
 @llm_query("op2_signature_tree_jaccard")
 def op2_signature_tree_jaccard(t: Tables) -> DataFrame:
     return sigtree.near_duplicates(t.documents)
+
+
+@llm_query("op4_paragraph_minhash")
+def op4_paragraph_minhash(t: Tables) -> DataFrame:
+    return paragraphs.dedup_paragraphs(t.documents)
