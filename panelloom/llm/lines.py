@@ -38,9 +38,9 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_documents: int =
     # Stored, so that both sides of the next join are dealt anew and a common line's pairs can be split over tasks.
     common = stored(held.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents), "common-lines")
     lost = held.join(common, ["h1", "h2"]).where("id <> last").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost_keys"))
-    given = documents.drop("kept_lines", "n_lines", "n_dropped", "lost_keys", "id")
-    kept = F.when(F.col("lost_keys").isNull(), lines).otherwise(
-        F.filter(lines, lambda line: ~F.array_contains(F.col("lost_keys"), key_digest(line))))
+    given = documents.drop("kept_lines", "n_lines", "n_dropped")
+    kept = F.when(lost["lost_keys"].isNull(), lines).otherwise(
+        F.filter(lines, lambda line: ~F.array_contains(lost["lost_keys"], key_digest(line))))
     return given.join(lost, given[key] == lost["id"], "left").select(
         given["*"], kept.alias("kept_lines"), F.size(lines).cast("long").alias("n_lines")
     ).withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines"))
