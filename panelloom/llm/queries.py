@@ -29,9 +29,7 @@ SHARDS = 16
 
 @llm_query("op10_weighted_tree_shards")
 def op10_weighted_tree_shards(t: Tables) -> DataFrame:
-    tree = sharding.even_tree(SHARDS)
-    grown = sharding.grow(tree, sharding.Leaf(SHARDS // 4, 0, SHARDS))
-    return sharding.assign(t.documents, tree, grown).select(
+    return sharding.assign(t.documents, sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1)).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.col("grown_shard").cast("int").alias("grown_shard"))
 

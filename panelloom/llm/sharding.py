@@ -25,11 +25,10 @@ class Leaf:
     grant: int = 0
 
 
-def even_tree(shards: int, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
-    """Shards in racks and regions of fixed width. Each shard past the first full regions is a grant of its own,
-    as if it had been added to them one by one."""
+def even_tree(shards: int, racks: int = 2, per_rack: int = 2, first: int = 16) -> list[Leaf]:
+    """Shards in racks and regions of fixed width. The `first` shards were set up together; each later one is a grant of its
+    own, as if it had been added to them one by one, so that a tree of one more shard takes rows only into that shard."""
     width = racks * per_rack
-    first = shards - shards % width if shards >= width else 0
     return [Leaf(s // width, s % width // per_rack, s, 1.0, 0 if s < first else s + 1) for s in range(shards)]
 
 
