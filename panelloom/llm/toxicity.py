@@ -45,14 +45,15 @@ class _Folding(dict):
 
 
 _PLAIN = _Folding()
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!9](?=[^\W_])|(?<![^\W_])[0134578@$!9](?=[^\W\d_])|(?<=[^\W\d_])[0134578@9](?![^\W_])")
+# One or more digits or signs between letters, one or two in front of a word, and digits behind one.
+_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!9]+(?=[^\W\d_])|(?<![^\W_])[0134578@$9]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578@9]+(?![^\W_])")
 
 
 def fold(text: str) -> str:
     """Lower-case words between single blanks: accents, invisible characters and homoglyphs folded to plain letters,
     digits and signs next to letters read as the letters they stand for, every other sign a blank."""
     if _SUBSTITUTED.search(text):
-        text = _INSIDE.sub(lambda m: SUBSTITUTES[m[0]], text)
+        text = _INSIDE.sub(lambda m: "".join(SUBSTITUTES[c] for c in m[0]), text)
     return f" {' '.join(text.translate(_PLAIN).split())} "
 
 
