@@ -273,7 +273,8 @@ def dedup_paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     kind is "paragraph" (a line of at least `LEAST_WORDS` words whose 5-word shingle set has
     Jaccard 0.8 or more to another's; of each connected group the one in the smallest document
     stays) or "passage" (words [first_word, first_word + n_words) made of pieces that stand in
-    a document of smaller id). kept_doc_id is the document that keeps it. Words are runs without
+    a document of smaller id). kept_doc_id is the document that keeps it, for a passage the smallest that holds one of its
+    pieces. Words are runs without
     ASCII white space, A-Z lower-cased, counted from the start of the text. Null or empty text
     has none; rows with a null id take no part; rows sharing an id are one document for passages
     and keep one of equal paragraphs. Repeats within one document are removed as paragraphs only.
