@@ -153,7 +153,11 @@ def prefixed(prefix: str, name: Column) -> Column:
 
 
 def canonical_text(schema: T.StructType, columns: Sequence[str]) -> Column:
-    """One text per row: NULL token, 12 significant digits, ISO dates."""
+    """One text per row: NULL token, 12 significant digits, ISO dates.
+
+    A text field is preceded by its length, so that no two different rows share a text,
+    whatever commas or NULL tokens their fields hold.
+    """
     parts = []
     for name in columns:
         kind = schema[name].dataType
@@ -163,6 +167,8 @@ def canonical_text(schema: T.StructType, columns: Sequence[str]) -> Column:
             text = F.when(value.isNotNull(), text)
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             text = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+        elif isinstance(kind, T.StringType):
+            text = F.concat(F.char_length(value), F.lit(":"), value)
         else:
             text = value.cast("string")
         parts.append(F.coalesce(text, F.lit(NULL_TOKEN)))

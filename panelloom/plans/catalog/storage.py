@@ -200,7 +200,7 @@ def u2(t):
 
 # --- change detection -----------------------------------------------------------------
 
-ROW_TEXT = "concat_ws(',', o_custkey, o_orderkey, o_orderpriority, o_orderstatus, printf('%.11e', {price}))"
+ROW_TEXT = "concat_ws(',', o_custkey, o_orderkey, length(o_orderpriority) || ':' || o_orderpriority, length(o_orderstatus) || ':' || o_orderstatus, printf('%.11e', {price}))"
 LANES = """lanes_{n} AS (SELECT strftime(o_orderdate, '%Y-%m') AS partition, sha256({text}) AS h FROM orders {where}),
 fp_{n} AS (SELECT partition, count(*) AS row_count, sha256(count(*) || '|' || bit_xor(('0x' || substr(h, 1, 15))::BIGINT) || '|' || sum(('0x' || substr(h, 16, 15))::BIGINT)) AS fingerprint
   FROM lanes_{n} GROUP BY 1)"""
