@@ -54,6 +54,8 @@ def expired(partitions: DataFrame, cutoff: dt.date | None, keep_last: int | None
     """
     if cutoff is None and keep_last is None:
         raise ValueError("give a cut-off, a number of partitions to keep, or both")
+    if keep_last is not None and keep_last < 1:
+        raise ValueError("keep at least one partition")
     dropped = partitions
     if cutoff is not None:
         dropped = dropped.where(F.col("day") < F.lit(cutoff))
@@ -93,7 +95,7 @@ class Lake:
     def _schema(self, spec: DatasetSpec, path: str) -> T.StructType:
         kind = T.DateType() if spec.partition == "dt" else T.StringType()
         fields = list(spec.schema.fields)
-        if spec.open_schema:
+        if spec.open_schema and path_exists(self.spark, path):
             found = self.spark.read.option("mergeSchema", True).parquet(path).schema
             known = {f.name for f in fields} | {spec.partition}
             fields += [f for f in found.fields if f.name not in known]
@@ -104,9 +106,10 @@ class Lake:
     def scan(self, name: str, level: str | None = None) -> DataFrame:
         """All rows with the declared types; a missing dataset is empty."""
         spec, path = dataset(name), self.path(name, level)
+        schema = self._schema(spec, path)
         if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], spec.schema)
-        return self.spark.read.schema(self._schema(spec, path)).parquet(path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def load(
         self, name: str, start: str | None = None, end: str | None = None, columns: Sequence[str] | None = None
