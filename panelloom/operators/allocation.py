@@ -125,6 +125,17 @@ def exposure_policy(
     return cap_gross(cap_each(w, max_weight, 0.0 if long_only else None), max_leverage)
 
 
+# The texts of a decision, with the signs as they are recorded.
+FORCED = "Forced"
+SURPRISED = "Surprise-triggered (score=%.2f, dist=%.4f<Î¸)"
+SHIFTED = "Distribution shift {metric}=%.4f > Î¸=%.4f"
+QUIET = "No rebalance ({metric}=%.4f â‰¤ Î¸=%.4f)"
+
+
+def reason_formats(metric: str) -> tuple[str, str, str]:
+    return SURPRISED, SHIFTED.format(metric=metric), QUIET.format(metric=metric)
+
+
 def decide(
     df: DataFrame, previous: str, current: str, threshold: float = 0.10, metric: str = "jsd",
     surprise: Column | None = None, surprise_threshold: float = 1.5,
@@ -134,15 +145,11 @@ def decide(
     scored = df.withColumn("distance", distance(F.col(previous), F.col(current), metric))
     far = F.col("distance") > threshold
     scored = scored.withColumn("surprise_triggered", F.abs(score) >= surprise_threshold)
-    moved = F.format_string("%.4f", "distance")
-    bar = F.lit(f"{threshold:.4f}")
+    surprised, shifted, quiet = reason_formats(metric)
     reason = (
-        F.when(
-            F.col("surprise_triggered") & ~far,
-            F.concat(F.lit("surprise "), F.format_string("%.2f", score), F.lit(f" with {metric}="), moved),
-        )
-        .when(far, F.concat(F.lit(f"shift {metric}="), moved, F.lit(" > "), bar))
-        .otherwise(F.concat(F.lit(f"no rebalance, {metric}="), moved, F.lit(" <= "), bar))
+        F.when(F.col("surprise_triggered") & ~far, F.format_string(surprised, score, "distance"))
+        .when(far, F.format_string(shifted, "distance", F.lit(float(threshold))))
+        .otherwise(F.format_string(quiet, "distance", F.lit(float(threshold))))
     )
     return scored.withColumn("do_rebalance", far | F.col("surprise_triggered")).withColumn("reason", reason)
 
@@ -184,6 +191,8 @@ def rebalance_path(
         raise ValueError(f"unknown metric {metric!r}")
     kept = list(key)
     start = [float(v) for v in baseline]
+    forced_text = FORCED
+    surprise_text, shift_text, quiet_text = reason_formats(metric)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt", kind="stable")
@@ -197,10 +206,14 @@ def rebalance_path(
         anchor, held = signals[0], start
         rows = []
         for p, target, score, force in zip(signals, targets, scores, forced):
-            gap, surprised = 0.0, False
+            gap, surprised, reason = 0.0, False, forced_text
             if not force:
                 gap = _divergence(anchor, p, metric)
                 surprised = abs(score) >= surprise_threshold
+                if surprised and gap <= theta:
+                    reason = surprise_text % (score, gap)
+                else:
+                    reason = (shift_text if gap > theta else quiet_text) % (gap, theta)
             trade = bool(force or gap > theta or surprised)
             before = held
             if trade:
@@ -210,8 +223,8 @@ def rebalance_path(
                     held = [h + cap / move * (t - h) for t, h in zip(target, before)]
                 anchor = p
             top = max(p)
-            rows.append((trade, gap, surprised, top, p.index(top), held, before))
-        names = ["do_rebalance", "distance", "surprise_triggered", "max_prob", "dominant_state", "w", "w_before"]
+            rows.append((trade, reason, gap, surprised, top, p.index(top), held, before))
+        names = ["do_rebalance", "reason", "distance", "surprise_triggered", "max_prob", "dominant_state", "w", "w_before"]
         out = pd.DataFrame(rows, columns=names)
         for name in [*kept, "dt"]:
             out[name] = pdf[name].to_numpy()
@@ -221,6 +234,7 @@ def rebalance_path(
     schema = T.StructType([
         *fields,
         T.StructField("do_rebalance", T.BooleanType()),
+        T.StructField("reason", T.StringType()),
         T.StructField("distance", T.DoubleType()),
         T.StructField("surprise_triggered", T.BooleanType()),
         T.StructField("max_prob", T.DoubleType()),
@@ -229,12 +243,14 @@ def rebalance_path(
         T.StructField("w_before", T.ArrayType(T.DoubleType())),
     ])
     needed = [*kept, "dt", "trade_p", "target", "surprise", "force", "theta", "turnover_cap"]
-    return df.select(*needed).groupBy(*kept).applyInPandas(walk, schema)
+    # The lag before this deals rows by portfolio alone, which would also serve the grouping: deal by the whole key instead,
+    # so that the settings of one portfolio are walked by different tasks.
+    return df.select(*needed).repartition(*kept).groupBy(*kept).applyInPandas(walk, schema)
 
 
 def decision_log(path: DataFrame, key: Sequence[str]) -> DataFrame:
     return path.select(
-        *key, "dt", "do_rebalance", F.round("distance", 6).alias("distance"), "surprise_triggered",
+        *key, "dt", "do_rebalance", "reason", F.round("distance", 6).alias("distance"), "surprise_triggered",
         F.round("max_prob", 4).alias("max_prob"), "dominant_state",
     )
 

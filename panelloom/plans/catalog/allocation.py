@@ -151,11 +151,11 @@ def p7(t):
 @query("p8_rebalance_decision", with_(PREV) + f""", d AS (
 SELECT portfolio, dt, {jsd_sql('p', 'q')} AS distance, (p[1] - 0.25) * 6 AS s FROM prev)
 SELECT portfolio, dt, round(distance, 6) + 0.0 AS distance, abs(s) >= 1.5 AS surprise_triggered, distance > 0.1 OR abs(s) >= 1.5 AS do_rebalance,
-  CASE WHEN abs(s) >= 1.5 AND distance <= 0.1 THEN 'surprise' WHEN distance > 0.1 THEN 'shift' ELSE 'no' END AS reason FROM d""")
+  CASE WHEN abs(s) >= 1.5 AND distance <= 0.1 THEN printf('""" + A.SURPRISED + """', s, distance)
+    WHEN distance > 0.1 THEN printf('""" + A.SHIFTED.format(metric="jsd") + """', distance, 0.1) ELSE printf('""" + A.QUIET.format(metric="jsd") + """', distance, 0.1) END AS reason FROM d""")
 def p8(t):
     out = A.decide(with_previous(t), "q", "p", 0.10, "jsd", (F.col("p")[0] - 0.25) * 6, 1.5)
-    first_word = F.regexp_extract("reason", "^[a-z]+", 0)
-    return out.select("portfolio", "dt", (r("distance") + 0.0).alias("distance"), "surprise_triggered", "do_rebalance", first_word.alias("reason"))
+    return out.select("portfolio", "dt", (r("distance") + 0.0).alias("distance"), "surprise_triggered", "do_rebalance", "reason")
 
 
 # --- the path -------------------------------------------------------------------------
@@ -181,14 +181,14 @@ tested AS (SELECT l.*, g.*, (d.i - 756) % 63 = 0 AS force,
 seq AS MATERIALIZED (SELECT portfolio, setting, dt, theta, cap, force, score, p, [{weight_arrays}] AS target,
   row_number() OVER (PARTITION BY portfolio, setting ORDER BY dt) AS n FROM tested),
 path AS (
-  SELECT portfolio, setting, 0::BIGINT AS n, NULL::DATE AS dt, NULL::BOOLEAN AS trade, 0.0::DOUBLE AS distance, false AS surprised,
+  SELECT portfolio, setting, 0::BIGINT AS n, NULL::DATE AS dt, NULL::BOOLEAN AS trade, 0.0::DOUBLE AS distance, false AS surprised, NULL::BOOLEAN AS force, 0.0::DOUBLE AS score,
     NULL::DOUBLE[] AS p, p AS anchor, [{', '.join(repr(x) for x in A.BASELINE_WEIGHTS)}]::DOUBLE[] AS w, [{', '.join(repr(x) for x in A.BASELINE_WEIGHTS)}]::DOUBLE[] AS before
   FROM seq WHERE n = 1
   UNION ALL
-  SELECT portfolio, setting, n, dt, trade, distance, surprised, p, CASE WHEN trade THEN p ELSE anchor END,
+  SELECT portfolio, setting, n, dt, trade, distance, surprised, force, score, p, CASE WHEN trade THEN p ELSE anchor END,
     CASE WHEN NOT trade THEN w WHEN m > cap THEN [w[i] + cap / m * (target[i] - w[i]) FOR i IN {eight}] ELSE target END, w
   FROM (SELECT *, force OR distance > theta OR surprised AS trade, list_sum([abs(target[i] - w[i]) FOR i IN {eight}]) AS m FROM (
-    SELECT s.portfolio, s.setting, s.n, s.dt, s.theta, s.cap, s.force, s.p, s.target, x.anchor, x.w,
+    SELECT s.portfolio, s.setting, s.n, s.dt, s.theta, s.cap, s.force, s.score, s.p, s.target, x.anchor, x.w,
       CASE WHEN s.force THEN 0.0 ELSE {jsd_sql('x.anchor', 's.p')} END AS distance, NOT s.force AND abs(s.score) >= 1.5 AS surprised
     FROM path x JOIN seq s ON s.portfolio = x.portfolio AND s.setting = x.setting AND s.n = x.n + 1)))"""
 
@@ -207,11 +207,13 @@ def path(t, settings):
 
 @query("p9_p10_rebalance_path", with_recursive(PROBS, path_sql(ONE)) + """
 SELECT portfolio, dt, trade AS do_rebalance, round(distance, 6) + 0.0 AS distance, surprised AS surprise_triggered,
-  round(list_max(p), 4) AS max_prob, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS dominant_state,
-  round(w[1], 9) AS w_us10y, round(w[6], 9) AS w_oil FROM path WHERE n > 0""")
+  CASE WHEN force THEN '""" + A.FORCED + """' WHEN surprised AND distance <= 0.08 THEN printf('""" + A.SURPRISED + """', score, distance)
+    WHEN distance > 0.08 THEN printf('""" + A.SHIFTED.format(metric="jsd") + """', distance, 0.08) ELSE printf('""" + A.QUIET.format(metric="jsd") + """', distance, 0.08) END AS reason,
+  round(list_max(p), 4) AS max_prob, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS dominant_state, """ + ", ".join(
+    f'round(w[{i + 1}], 12) AS "w_{a}"' for i, a in enumerate(A.ASSETS)) + """ FROM path WHERE n > 0""")
 def p9(t):
-    out = path(t, ONE)
-    log = A.decision_log(out.withColumns({"w_us10y": r(F.col("w")[0], 9), "w_oil": r(F.col("w")[5], 9)}), ["portfolio", "w_us10y", "w_oil"])
+    weights = {f"w_{a}": r(F.col("w")[i], 12) for i, a in enumerate(A.ASSETS)}
+    log = A.decision_log(path(t, ONE).withColumns(weights), ["portfolio", *weights])
     return log.withColumn("distance", F.col("distance") + 0.0)
 
 
@@ -298,13 +300,14 @@ def w14_rolling(t):
 @query("w15_lagged_signal", with_(PROBS) + """,
 days AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DISTINCT dt FROM probs)),
 lagged AS (SELECT portfolio, dt, lag(p) OVER (PARTITION BY portfolio ORDER BY dt) AS q FROM probs)
-SELECT portfolio, l.dt, CAST(floor((i - 756) / 63) AS INTEGER) AS fold, (i - 756) % 63 = 0 AS opens, round(q[1], 6) AS p_0, round(q[4], 6) AS p_3
+SELECT portfolio, l.dt, CAST(floor((i - 756) / 63) AS INTEGER) AS fold, (i - 756) % 63 = 0 AS opens, round(q[1], 6) AS p_0, round(q[2], 6) AS p_1,
+  round(q[3], 6) AS p_2, round(q[4], 6) AS p_3
 FROM lagged l JOIN days d ON d.dt = l.dt WHERE i >= 756 AND q IS NOT NULL""")
 def w15(t):
     probs = stored(panels.probabilities(t), "probabilities")
     days = folds.test_days(folds.positions(probs), PLAN)
     out = A.lag_signal(probs, KEY).join(days, "dt")
-    return out.select("portfolio", "dt", "fold", "opens", r(F.col("trade_p")[0]).alias("p_0"), r(F.col("trade_p")[3]).alias("p_3"))
+    return out.select("portfolio", "dt", "fold", "opens", *[r(F.col("trade_p")[i]).alias(f"p_{i}") for i in range(4)])
 
 
 @query("a5_fold_scaler_statistics", with_(FOLD_DAYS.format(start="0")) + """
