@@ -304,15 +304,18 @@ def j7(t):
     return wide.select("dt", *[r(F.col(f"`{n}`")).alias(n) for n in WIDE])
 
 
+INSTRUMENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @query("a1_pivot_last", with_("""cells AS (
   SELECT o_orderpriority AS instrument, last_day(o_orderdate) AS month_end,
     max_by(px, dt) AS px FROM (SELECT o_orderpriority, o_orderdate, CAST(o_orderdate AS DATE) AS dt,
       round(avg(o_totalprice), 4) AS px FROM orders GROUP BY 1, 2, 3) GROUP BY 1, 2)""") + """
-SELECT month_end, max(px) FILTER (instrument = '1-URGENT') AS "1-URGENT", max(px) FILTER (instrument = '5-LOW') AS "5-LOW"
+SELECT month_end, """ + ", ".join(f"""max(px) FILTER (instrument = '{i}') AS "{i}\"""" for i in INSTRUMENTS) + """
 FROM cells GROUP BY month_end""")
 def a1(t):
     daily = panels.prices(t).withColumn("px", r("px", 4)).withColumn("month_end", F.last_day("dt"))
-    return features.pivot_last(daily, "month_end", "instrument", "px", "dt", ["1-URGENT", "5-LOW"])
+    return features.pivot_last(daily, "month_end", "instrument", "px", "dt", INSTRUMENTS)
 
 
 @query("a4_row_mean", with_(RETURNS) + " SELECT dt, round(avg(ret), 6) AS mean_ret FROM returns GROUP BY dt")

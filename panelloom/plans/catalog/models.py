@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import probability as PF
 from panelloom.operators import folds, labels, mixture, sequence
+from panelloom.operators.allocation import ASSETS
 from panelloom.operators.draws import starting_rows
 from panelloom.plans import scoring
 from panelloom.plans.catalog.allocation import Z_ASSETS, scaled_assets, values
@@ -23,7 +24,7 @@ def rounded(df, *names, digits=6):
 
 # --- mixture --------------------------------------------------------------------------
 
-DIMS, K, STEPS = 3, 3, 4
+DIMS, K, STEPS = 64, 3, 4
 VECTORS = """vecs AS (SELECT vec_id, """ + ", ".join(
     f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS)
 ) + " FROM embeddings)"
@@ -34,8 +35,8 @@ def vectors(t):
     return t.embeddings.select("vec_id", x.alias("x"))
 
 
-FIXED_MEANS = [[0.0, 0.05, -0.05], [0.1, -0.1, 0.1], [-0.15, 0.0, 0.05]]
-FIXED_VARS = [[0.01, 0.02, 0.015], [0.02, 0.01, 0.01], [0.015, 0.015, 0.02]]
+FIXED_MEANS = [[round(0.05 * ((i + 2 * k) % 5 - 2), 3) for i in range(DIMS)] for k in range(K)]
+FIXED_VARS = [[round(0.01 + 0.005 * ((i + k) % 3), 3) for i in range(DIMS)] for k in range(K)]
 
 
 def density_sql(k: int, xs, means, variances) -> str:
@@ -252,23 +253,31 @@ def m15(t):
     return out.select(*MKEY, *[(r(g) + 0.0).alias(g) for g in labels.FEATURE_GROUPS])
 
 
+def values_of(text) -> str:
+    return "[" + ", ".join("'" + text(n).replace("'", "''") + "'" for n in labels.LABEL_WEIGHTS) + "]"
+
+
 @query("m16_state_labels", with_(MEANS, GROUP_ROWS, WEIGHT_ROWS, SCORED) + """,
 ls AS (SELECT portfolio, state, i, label, sum(score * w) AS s FROM gs JOIN lw USING (g) GROUP BY ALL),
 best AS (SELECT portfolio, state, first(i ORDER BY s DESC, i) AS b FROM ls GROUP BY 1, 2)
 SELECT b.portfolio, b.state, ['Easing', 'Reacceleration', 'Stagflation', 'Risk-Off'][b + 1] AS label,
-  round(max(s) FILTER (i = 0), 3) AS aggressive_easing, round(max(s) FILTER (i = 3), 3) AS risk_off_deflation
+  """ + values_of(lambda n: labels.LABEL_TEXTS[n][1]) + """[b + 1] AS description, """ + ", ".join(
+    f"round(max(s) FILTER (i = {i}), 3) AS {n}" for i, n in enumerate(labels.LABEL_WEIGHTS)) + """
 FROM best b JOIN ls ON ls.portfolio = b.portfolio AND ls.state = b.state GROUP BY 1, 2, b""")
 def m16(t):
-    return labels.assign(means(t), MKEY).select(*MKEY, "label", "aggressive_easing", "risk_off_deflation")
+    return labels.assign(means(t), MKEY).drop("n_features")
+
+
+ASSET_FEATURES = [f"ret_{a}" for a in ASSETS]
 
 
 @query("m14_state_summary", with_(MEANS) + """,
 sh AS (SELECT portfolio, CAST(state AS INTEGER) AS state, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY portfolio) AS share FROM states GROUP BY 1, 2)
-SELECT sh.portfolio, sh.state, n, round(share, 6) AS share, round(max(mu) FILTER (feature = 'ret_GOLD'), 6) AS "ret_GOLD",
-  round(max(mu) FILTER (feature = 'ret_SP500'), 6) AS "ret_SP500" FROM sh LEFT JOIN means m ON m.portfolio = sh.portfolio AND m.state = sh.state GROUP BY ALL""")
+SELECT sh.portfolio, sh.state, n, round(share, 6) AS share, """ + ", ".join(
+    f"""round(max(mu) FILTER (feature = '{f}'), 6) AS "{f}\"""" for f in ASSET_FEATURES) + """ FROM sh LEFT JOIN means m ON m.portfolio = sh.portfolio AND m.state = sh.state GROUP BY ALL""")
 def m14(t):
-    out = labels.state_summary(panels.states(t), means(t), ["portfolio"], ["ret_GOLD", "ret_SP500"])
-    return rounded(out, "share", "ret_GOLD", "ret_SP500")
+    out = labels.state_summary(panels.states(t), means(t), ["portfolio"], ASSET_FEATURES)
+    return rounded(out, "share", *ASSET_FEATURES)
 
 
 @query("t2_supporting_features", with_(MEANS) + """
