@@ -56,6 +56,14 @@ def train_days(days: DataFrame, plan: FoldPlan) -> DataFrame:
     )
 
 
+def last_train_days(days: DataFrame, plan: FoldPlan) -> DataFrame:
+    """(dt, fold): the day before each refitted fold's test days."""
+    after = F.col("i") + 1 - plan.train
+    fold = F.floor(after / plan.step).cast("int")
+    opens = (after >= 0) & (after % plan.step == 0) & (F.col("i") + 1 < F.col("n_days"))
+    return days.where(opens).withColumn("fold", fold).where(F.col("fold") % plan.refit_folds == 0).select("dt", "fold")
+
+
 def fold_table(days: DataFrame, plan: FoldPlan) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end, refit)."""
     trained = train_days(days, plan).groupBy("fold").agg(

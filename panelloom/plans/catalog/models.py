@@ -206,7 +206,7 @@ def m7(t):
 
 @query("m9_m10_sequence_fit_best_of")
 def m9(t):
-    chain = sequence.fit(panels.sequences(t), k=3, restarts=3, iterations=25)
+    chain = sequence.fit(panels.sequences(t), k=3, restarts=5, iterations=200)
     out = sequence.parameter_table(t.spark, {0: chain})
     return out.select("k", r("pi", 4).alias("pi"), "a", "mu", "sigma2", r("log_likelihood", 3).alias("log_likelihood"), "iterations")
 
@@ -300,19 +300,19 @@ def t3(t):
 
 @query("m17_fit_all")
 def m17(t):
-    fitted = scoring.fit_all(panels.sequences(t), ["ret_GOLD", "ret_SP500"], k=2, restarts=2, iterations=15, mixture_restarts=2)
+    fitted = scoring.fit_all(panels.sequences(t), ["ret_GOLD", "ret_SP500"], k=2, restarts=5, iterations=200, mixture_restarts=10)
     return fitted.labels.select("state", "label", "description", "n_features")
 
 
 @query("p19_walk_forward_scores")
 def p19(t):
     plan = folds.FoldPlan(train=15, step=5, refit_every=5)
-    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=2, iterations=8, dims=2)
-    return out.select("series_id", "dt", "fold", r(F.col("p")[0], 4).alias("p_0"), "state")
+    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=3, iterations=200, dims=2)
+    return out.select("series_id", "dt", "fold", r(F.col("p")[0], 4).alias("p_0"), "state", r(F.col("trade_p")[0], 4).alias("trade_p_0"))
 
 
 @query("p19_walk_forward_mixture_scores")
 def p19_mixture(t):
     plan = folds.FoldPlan(train=15, step=5, refit_every=10, expanding=False)
-    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=2, iterations=8, dims=2, model="mixture")
+    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=3, iterations=200, dims=2, model="mixture")
     return out.select("series_id", "dt", "fold", "model_fold", r(F.col("p")[0], 4).alias("p_0"), "state")

@@ -120,14 +120,44 @@ def s8(t):
     }
     path = scratch_path(t.spark, "report")
     t.lineitem.select(*[filled.get(c, F.lit("0")).cast("string").alias(c) for c in files.REPORT_COLUMNS]).write.csv(path)
-    out = files.read_positions(t.spark, path)
+    return report_rows(files.read_positions(t.spark, path))
+
+
+def report_rows(out):
     return out.select(
         F.col("Market_and_Exchange_Names").alias("market"), F.col("`Report_Date_as_YYYY-MM-DD`").cast("date").alias("report_date"),
-        F.col("Noncommercial_Positions_Long_All").alias("long"), F.col("Noncommercial_Positions_Short_All").alias("short"),
-        F.col("Open_Interest_All").alias("open_interest"),
+        F.col("Noncommercial_Positions_Long_All").cast("double").alias("long"), F.col("Noncommercial_Positions_Short_All").cast("double").alias("short"),
+        F.col("Open_Interest_All").cast("double").alias("open_interest"),
     )
 
 
+@query("s8_mixed_layout_folder", """
+SELECT l_returnflag || '-' || l_linestatus || '-' || l_orderkey AS market, CAST(l_shipdate AS DATE) AS report_date,
+  CASE WHEN l_linestatus = 'O' THEN l_quantity + l_linenumber + l_suppkey ELSE l_quantity::DOUBLE END AS long,
+  CASE WHEN l_linestatus = 'O' THEN l_quantity + l_linenumber + l_partkey ELSE l_suppkey::DOUBLE END AS short, l_orderkey::DOUBLE AS open_interest FROM lineitem""")
+def s8_mixed(t):
+    """Headerless files, newer files with a header and older files with a header in one landing folder."""
+    keys = {
+        "Market_and_Exchange_Names": F.concat_ws("-", "l_returnflag", "l_linestatus", "l_orderkey"),
+        "Report_Date_as_YYYY-MM-DD": F.date_format("l_shipdate", "yyyy-MM-dd"), "Open_Interest_All": F.col("l_orderkey"),
+    }
+    newer = {
+        **keys, "Asset_Mgr_Positions_Long_All": F.col("l_quantity"), "Asset_Mgr_Positions_Short_All": F.col("l_quantity"),
+        "Lev_Money_Positions_Long_All": F.col("l_linenumber"), "Lev_Money_Positions_Short_All": F.col("l_linenumber"),
+        "Other_Rept_Positions_Long_All": F.col("l_suppkey"), "Other_Rept_Positions_Short_All": F.col("l_partkey"),
+    }
+    older = {**keys, "Noncommercial_Positions_Long_All": F.col("l_quantity"), "Noncommercial_Positions_Short_All": F.col("l_suppkey")}
+    path = scratch_path(t.spark, "reports")
+    text = lambda cells: [c.cast("string").alias(n) for n, c in cells.items()]
+    opened = F.col("l_linestatus") == "O"
+    flagged = F.col("l_returnflag") == "N"
+    positional = {c: newer.get(c, F.lit("0")) for c in files.REPORT_COLUMNS}
+    t.lineitem.where(opened & flagged).select(*text(positional)).write.csv(path)
+    t.lineitem.where(opened & ~flagged).select(*text(newer)).write.mode("append").option("header", True).csv(path)
+    t.lineitem.where(~opened).select(*text(older)).write.mode("append").option("header", True).csv(path)
+    return report_rows(files.read_positions(t.spark, path))
+
+
 @query("s9_f16_json_observations", """
 SELECT dt, ticker, px_last FROM (
   SELECT CAST(o_orderdate AS DATE) AS dt, o_orderpriority AS ticker, o_totalprice AS px_last FROM orders

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.probability import argmax_state
@@ -40,15 +40,25 @@ def fit_all(
     return Fitted(chain, baseline, named, quality.rare_states(decoded, ["grp"], "state", minimum_share))
 
 
+def filled(x):
+    """Missing and infinite entries count as zero."""
+    infinite = float("inf")
+    return F.transform(x, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == infinite), 0.0).otherwise(v))
+
+
 def walk_forward(
     rows: DataFrame, plan: folds.FoldPlan, k: int = 4, restarts: int = 3, iterations: int = 50,
     dims: int = 2, model: str = "sequence", filtered: bool = False,
 ) -> DataFrame:
-    """Fit on each fold's training days, score its test days; the fold is a key.
+    """Fit on each refitted fold's training days, score every fold's test days; the fold is a key.
 
-    Rows are (series_id, dt, x). Training rows repeat per refitted fold, as every
-    fold trains on its own window; scaling statistics come from one pass.
+    Rows are (series_id, dt, x). Each test block is decoded as a sequence of its own, so no
+    block sees a later one, also where several blocks share a model. `trade_p` is what a day
+    trades on: the day before, or on the first day after a refit the last training day under
+    the new model, whose states may be numbered differently. Training rows repeat per refitted
+    fold, as every fold trains on its own window; scaling statistics come from one pass.
     """
+    rows = rows.withColumn("x", filled(F.col("x")))
     days = folds.positions(rows)
     long = rows.select("series_id", "dt", F.posexplode("x").alias("feature", "value"))
     stats = (
@@ -56,30 +66,44 @@ def walk_forward(
         if plan.expanding
         else scaling.fit(long.join(folds.train_days(days, plan), "dt"), ["feature", "fold"])
     )
-    refit = folds.test_days(days, plan).select("model_fold").distinct()
     packed_stats = stats.groupBy("fold").agg(*[
         F.max(F.when(F.col("feature") == i, F.col(c))).alias(f"{c}{i}") for i in range(dims) for c in ("mean", "sd")
-    ])
+    ]).withColumnRenamed("fold", "model_fold")
     scaled_x = F.array(*[(F.col("x")[i] - F.col(f"mean{i}")) / F.col(f"sd{i}") for i in range(dims)])
 
     def scaled(frame: DataFrame) -> DataFrame:
-        return frame.join(packed_stats, "fold").select("series_id", "dt", "fold", scaled_x.alias("x"))
+        return frame.join(packed_stats, "model_fold").select("series_id", "dt", "fold", "model_fold", scaled_x.alias("x"))
 
-    windows = folds.train_days(days, plan).join(refit.withColumnRenamed("model_fold", "fold"), "fold", "left_semi")
-    train = scaled(rows.join(windows, "dt"))
     tested = folds.test_days(days, plan)
-    test = scaled(rows.join(tested.select("dt", F.col("model_fold").alias("fold")), "dt"))
+    blocks = {r["fold"]: r["model_fold"] for r in tested.select("fold", "model_fold").distinct().collect()}
+    refit = tested.select("model_fold").distinct()
+    windows = folds.train_days(days, plan).withColumn("model_fold", F.col("fold")).join(refit, "model_fold", "left_semi")
+    train = scaled(rows.join(windows, "dt"))
+    test = scaled(rows.join(tested.select("dt", "fold", "model_fold"), "dt"))
+    edge = scaled(rows.join(folds.last_train_days(days, plan).withColumn("model_fold", F.col("fold")), "dt"))
     if model == "mixture":
         flat = train.withColumn("row_id", F.concat_ws("/", "series_id", "dt"))
         models = mixture.fit_groups(
             flat, "row_id", "x", k=k, restarts=restarts, iterations=iterations, group="fold"
         )
         score = F.coalesce(*[
-            F.when(F.col("fold") == g, mixture.posterior(F.col("x"), m)) for g, m in models.items()
+            F.when(F.col("model_fold") == g, mixture.posterior(F.col("x"), m)) for g, m in models.items()
         ])
-        scored = test.withColumn("p", score).withColumn("state", argmax_state(F.col("p")))
-        scored = scored.select(F.col("fold").alias("grp"), "series_id", "dt", "p", "state")
+
+        def decoded(frame: DataFrame) -> DataFrame:
+            out = frame.withColumn("p", score).withColumn("state", argmax_state(F.col("p")))
+            return out.select("fold", "series_id", "dt", "p", "state")
     else:
         chains = sequence.fit_groups(train, k=k, restarts=restarts, iterations=iterations, group="fold")
-        scored = sequence.decode(test, chains, group="fold", method="filtered" if filtered else "posterior")
-    return scored.withColumnRenamed("grp", "model_fold").join(tested.select("dt", "fold"), "dt")
+        by_block = {fold: chains[owner] for fold, owner in blocks.items()}
+
+        def decoded(frame: DataFrame) -> DataFrame:
+            out = sequence.decode(frame, by_block, group="fold", method="filtered" if filtered else "posterior")
+            return out.withColumnRenamed("grp", "fold")
+
+    scored = decoded(test).join(tested.select("dt", "model_fold", "opens"), "dt")
+    before = F.lag("p").over(Window.partitionBy("series_id").orderBy("dt"))
+    fresh = decoded(edge).select("series_id", "fold", F.col("p").alias("edge_p"))
+    return scored.withColumn("before", before).join(fresh, ["series_id", "fold"], "left").withColumn(
+        "trade_p", F.when(F.col("opens") & (F.col("fold") == F.col("model_fold")), F.col("edge_p")).otherwise(F.col("before"))
+    ).drop("before", "edge_p", "opens")

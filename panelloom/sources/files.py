@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelloom.functions.scalars import epoch_millis_day, to_number
-from panelloom.operators.normalize import LEGACY_POSITION_NAMES, noncommercial
+from panelloom.operators.normalize import LEGACY_POSITION_NAMES, NONCOMMERCIAL_BUCKETS, noncommercial
 
 # The columns of the headerless positioning report, in file order.
 REPORT_COLUMNS = """
@@ -43,6 +45,10 @@ CFTC_SubGroup_Code FutOnly_or_Combined
 """.split()
 
 REQUIRED_REPORT_FIELDS = set(LEGACY_POSITION_NAMES)
+NEWER_REPORT_FIELDS = {
+    "Market_and_Exchange_Names", "Report_Date_as_YYYY-MM-DD", "Open_Interest_All",
+    *[f"{bucket}_Positions_{side}_All" for bucket in NONCOMMERCIAL_BUCKETS for side in ("Long", "Short")],
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
@@ -55,20 +61,40 @@ def _text_schema(names) -> T.StructType:
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Positioning report in its older layout, whichever layout the files have.
+    """Positioning reports in the older layout's columns; each file may have a layout of its own.
 
-    The first line tells a named header from the positional layout; an older
-    report passes through, a newer one is reduced to its non-commercial sums.
+    A file with a named header is read by that header, any other by position. Older reports
+    pass through, newer ones are reduced to their non-commercial sums. A file in neither
+    layout, or with another number of cells, is an error.
     """
-    first = [cell.strip().strip('"') for cell in spark.read.text(path).first()[0].split(",")]
-    named = "Market_and_Exchange_Names" in first
-    columns = first if named else REPORT_COLUMNS
-    frame = read_csv(spark, path, _text_schema(columns), header=named)
-    if REQUIRED_REPORT_FIELDS <= set(columns):
-        return frame
-    return noncommercial(frame.withColumns({
-        c: F.trim(F.col(f"`{c}`")) for c in ("Market_and_Exchange_Names", "Report_Date_as_YYYY-MM-DD")
-    }))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    lines = lines.withColumn("named", F.col("value").rlike('^\\s*"?Market_and_Exchange_Names'))
+    # Commas outside quotes separate cells. The number a line should have comes with its file, so that the optimiser
+    # cannot test lines of one file against the layout of another before they are told apart.
+    cells = F.size(F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    heads = lines.where("named").groupBy("file").agg(F.min("value").alias("head"), F.max(cells).alias("wanted"))
+    rows = lines.where("not named").withColumn("cells", cells).join(heads, "file", "left")
+    # One row per layout that occurs, of which a vendor has a few.
+    layouts = [r["head"] for r in heads.select("head").distinct().collect()]
+    parts = [_report_rows(rows.where(F.col("head").isNull()), REPORT_COLUMNS)]
+    for head in layouts:
+        names = [cell.strip().strip('"') for cell in head.split(",")]
+        parts.append(_report_rows(rows.where(F.col("head") == head), names))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _report_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    if not (REQUIRED_REPORT_FIELDS <= set(names) or NEWER_REPORT_FIELDS <= set(names)):
+        raise ValueError(f"unknown report layout: {names[:6]}")
+    message = F.concat(F.lit("report line with another number of cells: "), F.substring("value", 1, 80))
+    whole = F.col("cells") == F.coalesce("wanted", F.lit(len(names)))
+    line = F.when(whole, F.col("value")).otherwise(F.raise_error(message))
+    parsed = rows.select(F.from_csv(line, ", ".join(f"`{n}` STRING" for n in names)).alias("c"))
+    frame = parsed.select(*[F.trim(F.col("c")[n]).alias(n) for n in names])
+    if REQUIRED_REPORT_FIELDS <= set(names):
+        return frame.select(*[F.col(f"`{n}`") for n in LEGACY_POSITION_NAMES])
+    reduced = noncommercial(frame)
+    return reduced.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in LEGACY_POSITION_NAMES])
 
 
 OBSERVATION_SCHEMA = "ticker string, observations array<struct<date: string, value: string>>"
