@@ -52,6 +52,16 @@ def soft_weights(p: Column, regimes: Sequence[str], table: dict | None = None) -
     return same_length(p, len(rows), blended)
 
 
+def weights_by_label(p: Column, regimes: Column, table: dict | None = None) -> Column:
+    """As `soft_weights`, with the regimes of the row's own model in a column; a label may name several states."""
+    table = table or REGIME_WEIGHTS
+    vectors = F.create_map(*[x for name, row in table.items() for x in (F.lit(name), vector(row))])
+    size = len(next(iter(table.values())))
+    none = F.array_repeat(F.lit(0.0), size)
+    parts = F.zip_with(p, regimes, lambda share, name: F.transform(F.try_element_at(vectors, name), lambda w: w * share))
+    return F.aggregate(parts, none, lambda total, part: F.zip_with(total, part, lambda a, b: a + b))
+
+
 def hard_weights(
     p: Column, regimes: Sequence[str], threshold: float = 0.5, table: dict | None = None,
     baseline: Sequence[float] = BASELINE_WEIGHTS,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.probability import temper, vector
 from panelloom.operators import allocation as A
-from panelloom.operators import folds, pnl
+from panelloom.operators import folds, performance, pnl, quality
+from panelloom.plans import scoring
+from panelloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -51,11 +53,15 @@ class Rules:
 
 def trade_rows(
     probs: DataFrame, key: Sequence[str], settings: Sequence[Setting], plan: folds.FoldPlan,
-    rules: Rules = Rules(), surprise: Column | None = None,
+    rules: Rules = Rules(), surprise: Column | None = None, test_days: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per portfolio, setting and test day, with its target weights."""
-    lagged = A.lag_signal(probs, key)
-    days = folds.test_days(folds.positions(probs), plan)
+    """One row per portfolio, setting and test day, with its target weights.
+
+    A scored panel brings the signal to trade on (`trade_p`) and the labels of the model that
+    scored the day (`regimes`); otherwise the day before's probabilities stand for fixed regimes.
+    """
+    lagged = probs.where(F.col("trade_p").isNotNull()) if "trade_p" in probs.columns else A.lag_signal(probs, key)
+    days = test_days if test_days is not None else folds.test_days(folds.positions(probs), plan)
     grid = F.inline(F.array(*[
         F.struct(
             F.lit(i).alias("setting"), F.lit(float(s.theta)).alias("theta"),
@@ -63,11 +69,13 @@ def trade_rows(
         )
         for i, s in enumerate(settings)
     ]))
-    rows = lagged.join(days.select("dt", "fold", F.col("opens").alias("force")), "dt")
+    rows = lagged.drop("fold").join(days.select("dt", "fold", F.col("opens").alias("force")), "dt")
     score = surprise if surprise is not None else F.lit(0.0)
     rows = rows.withColumn("surprise", score).select("*", grid)
     rows = rows.withColumn("trade_p", temper(F.col("trade_p"), F.col("temperature")))
-    if rules.mode == "soft":
+    if "regimes" in rows.columns:
+        raw = A.weights_by_label(F.col("trade_p"), F.col("regimes"))
+    elif rules.mode == "soft":
         raw = A.soft_weights(F.col("trade_p"), rules.regimes)
     else:
         raw = A.hard_weights(F.col("trade_p"), rules.regimes, rules.confidence)
@@ -93,6 +101,27 @@ def net_returns(path: DataFrame, asset_returns: DataFrame, key: Sequence[str], r
     )
 
 
+def end_to_end(
+    rows: DataFrame, asset_returns: DataFrame, features: Sequence[str], plan: folds.FoldPlan, rules: Rules = Rules(),
+    setting: Setting = Setting(), k: int = 4, restarts: int = 5, iterations: int = 200,
+) -> tuple[DataFrame, DataFrame]:
+    """(daily net returns, metrics with acceptance gates) from feature rows (series_id, dt, x), one portfolio per series.
+
+    Fit per fold, label the states of each fit, blend weights by label, walk the rebalance path,
+    charge costs and financing, and measure.
+    """
+    scored = stored(scoring.walk_forward(rows, plan, k, restarts, iterations, len(features), features=features), "scored")
+    test_days = folds.test_days(folds.positions(rows), plan)
+    key = ["portfolio"]
+    probs = scored.select(F.col("series_id").alias("portfolio"), "dt", "trade_p", "regimes")
+    path = stored(run_path(trade_rows(probs, key, [setting], plan, rules, test_days=test_days), key, rules), "path")
+    daily = stored(net_returns(path, asset_returns, key, rules), "net-returns")
+    decisions = path.groupBy("portfolio").agg(
+        F.sum(F.col("do_rebalance").cast("long")).alias("n_rebalances"), F.avg("max_prob").alias("avg_max_regime_prob"))
+    metrics = performance.return_metrics(daily, key, risk_free=rules.risk_free).join(decisions, "portfolio")
+    return daily, quality.acceptance(metrics)
+
+
 def rank_settings(metrics: DataFrame, settings: Sequence[Setting], top: int | None = None) -> DataFrame:
     """Settings by Sharpe ratio, then growth."""
     named = F.array(*[

@@ -7,10 +7,11 @@ from panelloom.functions import probability as PF
 from panelloom.operators import folds, labels, mixture, sequence
 from panelloom.operators.allocation import ASSETS
 from panelloom.operators.draws import starting_rows
-from panelloom.plans import scoring
+from panelloom.plans import backtest, scoring
 from panelloom.plans.catalog.allocation import Z_ASSETS, scaled_assets, values
 from panelloom.plans.registry import query
 from panelloom.plans.sql import SEQUENCES, STATES, with_, with_recursive
+from panelloom.session import stored
 from panelloom.sources import panels
 
 
@@ -298,6 +299,21 @@ def t3(t):
     return rounded(out, "S0_z", "S1_z", "S2_z", "S3_z", "discrimination")
 
 
+def asset_panel(t):
+    """One series of daily asset returns, in the fixed asset order."""
+    wide = panels.asset_returns(t).groupBy("dt").pivot("asset", list(ASSETS)).agg(F.max("ret"))
+    return wide.select(F.lit("ALL").alias("series_id"), "dt", F.array(*[F.col(f"`{a}`") for a in ASSETS]).alias("x"))
+
+
+@query("p_end_to_end_backtest")
+def end_to_end(t):
+    """Features to gates: every fold's model, labels, weights, net returns, metrics (A7-A9) and acceptance (Q13)."""
+    plan = folds.FoldPlan(train=756, step=63, refit_every=252)
+    rows = stored(asset_panel(t), "asset-panel")
+    _, metrics = backtest.end_to_end(rows, panels.asset_returns(t), ASSET_FEATURES, plan, restarts=2)
+    return metrics
+
+
 @query("m17_fit_all")
 def m17(t):
     fitted = scoring.fit_all(panels.sequences(t), ["ret_GOLD", "ret_SP500"], k=2, restarts=5, iterations=200, mixture_restarts=10)

@@ -40,6 +40,16 @@ def fit_all(
     return Fitted(chain, baseline, named, quality.rare_states(decoded, ["grp"], "state", minimum_share))
 
 
+def regimes_by_fold(spark, models: dict, features: Sequence[str]) -> DataFrame:
+    """(model_fold, regimes): a label per state, in the order of the model's states."""
+    means = [
+        (int(g), k, name, float(m.means[k][i])) for g, m in models.items() for k in range(len(m.means)) for i, name in enumerate(features)
+    ]
+    named = labels.assign(spark.createDataFrame(means, "model_fold int, state int, feature string, mu double"), ["model_fold", "state"])
+    ordered = F.array_sort(F.collect_list(F.struct("state", "label")))
+    return named.groupBy("model_fold").agg(F.transform(ordered, lambda s: s["label"]).alias("regimes"))
+
+
 def filled(x):
     """Missing and infinite entries count as zero."""
     infinite = float("inf")
@@ -48,7 +58,7 @@ def filled(x):
 
 def walk_forward(
     rows: DataFrame, plan: folds.FoldPlan, k: int = 4, restarts: int = 3, iterations: int = 50,
-    dims: int = 2, model: str = "sequence", filtered: bool = False,
+    dims: int = 2, model: str = "sequence", filtered: bool = False, features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fit on each refitted fold's training days, score every fold's test days; the fold is a key.
 
@@ -56,7 +66,8 @@ def walk_forward(
     block sees a later one, also where several blocks share a model. `trade_p` is what a day
     trades on: the day before, or on the first day after a refit the last training day under
     the new model, whose states may be numbered differently. Training rows repeat per refitted
-    fold, as every fold trains on its own window; scaling statistics come from one pass.
+    fold, as every fold trains on its own window; scaling statistics come from one pass. With
+    `features` (the names of x) each row also has `regimes`, the labels of its model's states.
     """
     rows = rows.withColumn("x", filled(F.col("x")))
     days = folds.positions(rows)
@@ -104,6 +115,9 @@ def walk_forward(
     scored = decoded(test).join(tested.select("dt", "model_fold", "opens"), "dt")
     before = F.lag("p").over(Window.partitionBy("series_id").orderBy("dt"))
     fresh = decoded(edge).select("series_id", "fold", F.col("p").alias("edge_p"))
+    if features:
+        fitted = models if model == "mixture" else chains
+        scored = scored.join(regimes_by_fold(rows.sparkSession, fitted, features), "model_fold")
     return scored.withColumn("before", before).join(fresh, ["series_id", "fold"], "left").withColumn(
         "trade_p", F.when(F.col("opens") & (F.col("fold") == F.col("model_fold")), F.col("edge_p")).otherwise(F.col("before"))
     ).drop("before", "edge_p", "opens")
