@@ -30,6 +30,31 @@ def get_ids(distinct: bytes, place: bytes) -> np.ndarray:
     return ids[np.frombuffer(place, np.uint16 if len(ids) < 1 << 16 else np.uint32)] if len(ids) else np.zeros(0, np.int64)
 
 
+def put_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """As `put_ids` for documents named by id and row hash, so that rows sharing an id stay apart."""
+    distinct, first, place = np.unique(rows, return_index=True, return_inverse=True)
+    return (ids[first].astype(np.int64).tobytes(), distinct.astype(np.int64).tobytes(),
+            place.astype(np.uint16 if len(distinct) < 1 << 16 else np.uint32).tobytes())
+
+
+def get_rows(ids: bytes, rows: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids, rows = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
+    at = np.frombuffer(place, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+    return (ids[at], rows[at]) if len(ids) else (ids, rows)
+
+
+def put_planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, all first bytes, then all second ones: sorted values compress well so."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T).tobytes()
+
+
+def get_planes(value: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(value, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, 8 - width:] = raw.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def get(value: bytes, kind) -> np.ndarray:
     return np.frombuffer(value, kind)
 
