@@ -41,9 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; no two calls share one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; no two calls share one. `clear_scratch` removes it."""
+    _scratch.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has stored for derived panels and scratch lakes; returns the number of paths.
+
+    For callers that are done with the results: frames that read those paths stop working.
+    """
+    removed = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
