@@ -19,6 +19,7 @@ from panelloom.functions import scalars as S
 from panelloom.operators import quality
 from panelloom.operators.normalize import partition_column, strict_types
 from panelloom.schemas import DatasetSpec, dataset, level_name
+from panelloom.session import stored
 
 # Days per retention unit.
 RETENTION_DAYS = {"d": 1, "w": 7, "m": 30, "y": 365}
@@ -203,13 +204,19 @@ class Lake:
         return kept.unionByName(new, allowMissingColumns=True)
 
     def upsert(self, name: str, frame: DataFrame, level: str | None = None) -> None:
-        """Keyed upsert: a row replaces the stored row with the same primary key."""
+        """Keyed upsert: a row replaces the stored row with the same primary key.
+
+        The typed rows are stored once and the touched partitions are merged in the shared
+        folder, so no partition is replaced while it is still being read.
+        """
         spec = dataset(name)
-        repeated = quality.duplicate_keys(frame, spec.primary_key).limit(1).count()
+        new = stored(self._prepared(spec, frame), f"incoming-{name}")
+        repeated = quality.duplicate_keys(new, spec.primary_key).limit(1).count()
         if repeated:
             raise quality.ValidationError(f"primary key {spec.primary_key} repeats in {name}")
-        merged = self.merged(name, frame, level)
-        self.replace(name, merged, level)
+        if path_exists(self.spark, self.path(name, level)):
+            new = stored(self.merged(name, new, level), f"merged-{name}")
+        self.replace(name, new, level)
 
     def land(self, name: str, raw: DataFrame, ingest_date: str) -> str:
         """Raw snapshot below bronze, one partition per ingest date."""
