@@ -7,9 +7,9 @@ from panelloom.operators import incremental as I
 from panelloom.operators import normalize as N
 from panelloom.operators.returns import simple_returns
 from panelloom.plans import jobs
-from panelloom.plans.catalog.alignment import KNOWN, AS_REPORTED, PICKS
+from panelloom.plans.catalog.alignment import KNOWN, AS_REPORTED, POLICY
 from panelloom.plans.registry import query
-from panelloom.plans.sql import POSITIONS, RELEASES, RETURNS, with_
+from panelloom.plans.sql import POSITIONS, RELEASES, RETURNS, VENDOR_PRICES, with_
 from panelloom.session import scratch_path
 from panelloom.sources import files, panels
 from panelloom.sources.lake import Lake, expired
@@ -287,12 +287,12 @@ def i4(t):
 
 
 def silver_prices(t):
-    """Month-end mean prices per vendor and instrument."""
-    monthly = t.orders.groupBy(
+    """Daily mean prices per vendor and instrument."""
+    daily = t.orders.groupBy(
         F.col("o_orderstatus").alias("vendor"), F.col("o_orderpriority").alias("instrument"),
-        F.last_day("o_orderdate").alias("dt"),
+        F.col("o_orderdate").cast("date").alias("dt"),
     ).agg(F.avg("o_totalprice").alias("px"))
-    return monthly.select(
+    return daily.select(
         "vendor", "dt", "instrument", F.col("px").alias("px_last"), F.lit("USD").alias("currency"),
         F.col("instrument").alias("source_id"), F.lit("2026-02-01 00:00:00").cast("timestamp").alias("fetch_ts"),
     )
@@ -307,10 +307,7 @@ def staged_prices(t):
     return first, second
 
 
-MONTHLY_PRICES = """vendor_prices AS (
-  SELECT o_orderstatus AS vendor, o_orderpriority AS instrument, last_day(o_orderdate) AS dt, avg(o_totalprice) AS px
-  FROM orders GROUP BY 1, 2, 3)"""
-GOLD_RETURNS = with_(MONTHLY_PRICES) + """,
+GOLD_RETURNS = with_(VENDOR_PRICES) + """,
 r AS (SELECT vendor, instrument, dt, px, lag(px) OVER (PARTITION BY vendor, instrument ORDER BY dt) AS prev FROM vendor_prices),
 one AS (SELECT dt, instrument, arg_min(px / prev - 1, vendor) AS ret FROM r WHERE prev IS NOT NULL GROUP BY 1, 2)
 SELECT dt, instrument, round(ret, 6) AS "return" FROM one"""
@@ -370,29 +367,18 @@ def i8(t):
     return lake.load("cot_z_weekly").withColumn("zscore", r("zscore"))
 
 
-MONTHLY_CURVE = """curve AS (
-  SELECT last_day(l_shipdate) AS dt, CAST(l_quantity AS BIGINT) * 8 AS tenor_days, round(avg(l_discount), 9) AS implied_rate
-  FROM lineitem GROUP BY 1, 2)"""
-
-
-def monthly_curve(t):
-    return (
-        t.lineitem.groupBy(F.last_day("l_shipdate").alias("dt"), (F.col("l_quantity").cast("bigint") * 8).alias("tenor_days"))
-        .agg(r(F.avg("l_discount"), 9).alias("implied_rate"))
-        .withColumn("source", F.lit("ois"))
-    )
-
-
-@query("i9_update_policy", with_(MONTHLY_CURVE) + PICKS + """
-SELECT dt, round(1 / (1 + pow(2.71828, (r90 - r30) * 100)), 6) AS implied_cut_prob_3m, round(r180 - r30, 6) AS term_front_slope FROM picks""")
+@query("i9_update_policy", with_(POLICY) + """
+SELECT dt, round(implied_cut_prob_3m, 6) AS implied_cut_prob_3m, round(implied_cut_prob_6m, 6) AS implied_cut_prob_6m,
+  round(term_front_slope, 6) AS term_front_slope, round(terminal_shift_30d, 6) AS terminal_shift_30d, source FROM policy""")
 def i9(t):
     lake = new_lake(t)
-    rows = monthly_curve(t)
+    rows = panels.daily_curve(t)
     early = F.col("dt") < "1998-01-01"
     jobs.update_policy(lake, rows.where(early).withColumn("implied_rate", F.col("implied_rate") * 2), "2026-02-01")
     jobs.update_policy(lake, rows, "2026-02-02")
-    out = lake.load("policy_features", columns=["dt", "implied_cut_prob_3m", "term_front_slope"])
-    return out.withColumns({c: r(c) for c in ("implied_cut_prob_3m", "term_front_slope")})
+    names = ["implied_cut_prob_3m", "implied_cut_prob_6m", "term_front_slope", "terminal_shift_30d"]
+    out = lake.load("policy_features", columns=["dt", *names, "source"])
+    return out.withColumns({c: r(c) for c in names})
 
 
 def weekly_zscores(t):
