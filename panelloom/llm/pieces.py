@@ -20,7 +20,7 @@ from panelloom.llm import spans
 
 BLANK = "▁"
 LONGEST = 16
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _SLOTS = 21
 
@@ -343,6 +343,7 @@ def encode(documents: DataFrame, model: str, text: str = "text", keep: tuple[str
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(first, stop - first) for c in keep], lists(ids, at), pa.array(np.diff(at)), pa.array(same)],
                     names=[*keep, "ids", "n_tokens", "round_trip"])
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*[documents.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
