@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import scalars as S
 from panelloom.operators import asof, curve, features, incremental, normalize, positioning, quality, returns
 from panelloom.schemas import dataset
+from panelloom.session import stored
 from panelloom.sources.lake import Lake, path_exists
 
 LOOKBACK_WEEKS = 260
@@ -74,11 +76,16 @@ def write_gold(lake: Lake, name: str, rows: DataFrame) -> None:
     lake.replace(name, rows, "gold")
 
 
-def landed(lake: Lake, source: str, frame: DataFrame, run_date: str) -> DataFrame:
-    """Write the delivery to bronze and read it back, so later steps never recompute it."""
-    path = lake.land(source, frame, run_date)
-    stored = lake.spark.read.parquet(path).where(F.col("ingest_date") == F.lit(run_date).cast("date"))
-    return stored.select(*frame.columns)
+def landed(lake: Lake, source: str, frame: DataFrame, run_date: str, batch: str | None = None) -> DataFrame:
+    """Write the delivery to bronze and read it back, so later steps never recompute it.
+
+    Deliveries of one date that carry a batch are kept side by side.
+    """
+    path = lake.land(source, frame, run_date, batch)
+    back = lake.spark.read.parquet(path).where(F.col("ingest_date") == F.lit(run_date).cast("date"))
+    if batch is not None:
+        back = back.where(F.col("batch") == batch)
+    return back.select(*frame.columns)
 
 
 # --- gold builders --------------------------------------------------------------------
@@ -160,6 +167,7 @@ def update_positions(lake: Lake, canonical: DataFrame, run_date: str, lookback:
     changed = silver_upsert(lake, "cot_weekly", canonical)
     first = changed.agg(F.min("partition")).first()[0]
     if first is None:
+        record_run(lake, "update_positions", run_date, started, "cot", changed)
         return changed
     rows = gold_positions(lake, first, lookback)
     write_gold(lake, "cot_z_weekly", rows)
@@ -182,36 +190,50 @@ def update_policy(lake: Lake, canonical: DataFrame, run_date: str) -> DataFrame:
 def rebuild(lake: Lake, since: int | None = None, lags: dict[str, str] | None = None) -> DataFrame:
     """Rebuild gold from silver: everything, or what changed after version `since`.
 
-    Returns (dataset, partition) of the partitions it was asked to rebuild.
+    Returns (dataset, partition) of the gold partitions it rewrote: what is derived from the
+    stored rows of a change, such as the next priced day rather than the next calendar day.
+    Records their versions and one lineage entry.
     """
+    started = now()
     versions = Versions(lake)
     log = versions.log().where(F.col("dataset").startswith("silver."))
     current = incremental.current_versions(log)
-    if since is None:
-        changed = current
-    else:
-        changed = incremental.changed_partitions(incremental.as_of_version(log, since), current)
-    plan = incremental.impacted(changed, LOOKBACK_WEEKS)
+    changed = current if since is None else incremental.changed_partitions(incremental.as_of_version(log, since), current)
+    changed = stored(changed, "changed")
     by = {name: changed.where(F.col("dataset") == f"silver.{name}") for name in
           ("market_prices", "macro_releases", "cot_weekly", "policy_curve")}
+    done = []
+
+    def rewrite(name: str, rows: DataFrame, keys: DataFrame | None) -> None:
+        write_gold(lake, name, rows)
+        done.append(versions.record(name, "gold", None if since is None else keys))
+        every = lake.scan(name, "gold") if since is None else keys
+        key = dataset(name).partition
+        touched.append(every.select(F.lit(f"gold.{name}").alias("dataset"), F.col(key).cast("string").alias("partition")).distinct())
+
+    touched: list[DataFrame] = []
     if not by["market_prices"].isEmpty():
         days = by["market_prices"].select(F.col("partition").cast("date").alias("dt"))
-        reach = incremental.new_returns(lake.scan("market_prices", "silver"), days, ["instrument", "vendor"])
-        write_gold(lake, "returns_daily", gold_returns(lake, None if since is None else reach))
+        reach = stored(incremental.new_returns(lake.scan("market_prices", "silver"), days, ["instrument", "vendor"]), "reach")
+        rewrite("returns_daily", gold_returns(lake, None if since is None else reach), reach)
     if not by["macro_releases"].isEmpty():
         keys = by["macro_releases"].select(F.col("partition").cast("date").alias("dt"))
         span = lake.read_keys("macro_releases", keys, "silver").agg(
             F.min("period").alias("first"), F.max("dt").alias("last")
         )
-        months = span.select(F.explode(incremental.months_between(F.col("first"), F.col("last"))).alias("month_end"))
-        write_gold(lake, "macro_asof_monthly", gold_macro(lake, months, lags))
+        months = stored(span.select(F.explode(incremental.months_between(F.col("first"), F.col("last"))).alias("month_end")), "months")
+        rewrite("macro_asof_monthly", gold_macro(lake, months, lags), months.select(S.month_key(F.col("month_end")).alias("month")))
     first = by["cot_weekly"].agg(F.min("partition")).first()[0]
     if first is not None:
-        write_gold(lake, "cot_z_weekly", gold_positions(lake, None if since is None else first))
+        rows = stored(gold_positions(lake, None if since is None else first), "positions")
+        rewrite("cot_z_weekly", rows, keys_of(rows, "cot_z_weekly"))
     if not by["policy_curve"].isEmpty():
         days = by["policy_curve"].select(F.col("partition").cast("date").alias("dt"))
-        write_gold(lake, "policy_features", gold_policy(lake, None if since is None else days))
-    return plan
+        rewrite("policy_features", gold_policy(lake, None if since is None else days), days)
+    lineage = reduce(DataFrame.unionByName, done, changed)
+    record_run(lake, "rebuild", started[:10], started, "silver", lineage)
+    empty = lake.spark.createDataFrame([], "dataset string, partition string")
+    return reduce(DataFrame.unionByName, touched, empty)
 
 
 # --- generic update and backfill ------------------------------------------------------
@@ -220,7 +242,8 @@ Provider = Callable[[str, str, str], DataFrame]
 
 
 def update_dataset(
-    lake: Lake, name: str, fetch: Provider, start: str | None = None, end: str | None = None, default_days: int = 7
+    lake: Lake, name: str, fetch: Provider, start: str | None = None, end: str | None = None, default_days: int = 7,
+    run_date: str | None = None,
 ) -> dict:
     """Fetch what lies after the latest stored partition and write it to all levels.
 
@@ -241,7 +264,7 @@ def update_dataset(
     rows = fetch(name, since.isoformat(), until.isoformat())
     if rows.isEmpty():
         return {**result, "status": "no_data"}
-    rows = landed(lake, name, rows, until.isoformat())
+    rows = landed(lake, name, rows, run_date or dt.date.today().isoformat(), f"{since.isoformat()}_{until.isoformat()}")
     lake.upsert(name, rows, "silver")
     lake.upsert(name, rows, "gold")
     return {**result, "status": "updated", "rows": rows.count()}
@@ -280,7 +303,10 @@ def record_run(
     lake: Lake, job: str, run_date: str, started: str, source: str, partitions: DataFrame,
     errors: list[str] | None = None, warnings: list[str] | None = None,
 ) -> None:
-    """Append the lineage of one run: a row per partition it touched."""
+    """Append the lineage of one run: a row per partition it touched, or one without a partition where nothing changed."""
+    if partitions.isEmpty():
+        partitions = lake.spark.range(1).select(*[
+            F.lit(None).cast(partitions.schema[c].dataType).alias(c) for c in ("path", "dataset", "partition", "fingerprint", "row_count")])
     texts = lambda items: F.array(*[F.lit(x) for x in items or []]).cast("array<string>")
     partitions.select(
         F.lit(job).alias("job"), F.lit(f"{job}_{started}").alias("run_id"),

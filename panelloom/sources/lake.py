@@ -218,14 +218,14 @@ class Lake:
             new = stored(self.merged(name, new, level), f"merged-{name}")
         self.replace(name, new, level)
 
-    def land(self, name: str, raw: DataFrame, ingest_date: str) -> str:
-        """Raw snapshot below bronze, one partition per ingest date."""
+    def land(self, name: str, raw: DataFrame, ingest_date: str, batch: str | None = None) -> str:
+        """Raw snapshot below bronze, one partition per ingest date (and batch, where one is given)."""
         path = f"{self.root}/bronze/{name}"
         stamped = raw.withColumn("ingest_date", F.lit(ingest_date).cast("date"))
-        (
-            stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_date").parquet(path)
-        )
+        keys = ["ingest_date"]
+        if batch is not None:
+            stamped, keys = stamped.withColumn("batch", F.lit(batch)), [*keys, "batch"]
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
         return path
 
     # --- partitions -------------------------------------------------------------------

@@ -9,7 +9,7 @@ from panelloom.functions import scalars as S
 from panelloom.operators import allocation as A
 from panelloom.operators import folds
 from panelloom.plans import backtest as B
-from panelloom.plans import scoring
+from panelloom.plans import jobs, scoring
 from panelloom.sources import files
 from panelloom.sources.lake import Lake, expired
 
@@ -108,3 +108,42 @@ def test_reasons(spark):
     df = spark.createDataFrame(rows, "q array<double>, p array<double>, s double")
     got = [r["reason"] for r in A.decide(df, "q", "p", 0.1, "jsd", F.col("s"), 1.5).collect()]
     assert got[0].startswith("Distribution shift jsd=") and got[1].startswith("Surprise-triggered (score=2.00, dist=0.0000") and got[2].startswith("No rebalance (jsd=0.0000")
+
+
+def prices(spark, values):
+    rows = [("V", day, "I", px, "USD", "I") for day, px in values]
+    df = spark.createDataFrame(rows, "vendor string, dt date, instrument string, px_last double, currency string, source_id string")
+    return df.withColumn("fetch_ts", F.lit("2026-02-01 00:00:00").cast("timestamp"))
+
+
+def test_rebuild_names_the_partitions_it_rewrites(spark, tmp_path):
+    """A changed Friday reaches Friday and the next priced day, which is Monday."""
+    lake = Lake(spark, str(tmp_path / "lake"))
+    days = [dt.date(2024, 1, 4), dt.date(2024, 1, 5), dt.date(2024, 1, 8), dt.date(2024, 1, 9)]
+    jobs.silver_upsert(lake, "market_prices", prices(spark, [(d, 100.0 + i) for i, d in enumerate(days)]))
+    everything = {tuple(r) for r in jobs.rebuild(lake).collect()}
+    assert everything == {("gold.returns_daily", d.isoformat()) for d in days[1:]}
+    seen = jobs.Versions(lake).log().agg(F.max("written_at")).first()[0]
+    jobs.silver_upsert(lake, "market_prices", prices(spark, [(days[1], 150.0)]))
+    assert {tuple(r) for r in jobs.rebuild(lake, since=seen).collect()} == {("gold.returns_daily", "2024-01-05"), ("gold.returns_daily", "2024-01-08")}
+    got = {r["dt"]: r["return"] for r in lake.load("returns_daily").collect()}
+    assert got[days[1]] == pytest.approx(0.5) and got[days[2]] == pytest.approx(102 / 150 - 1) and got[days[3]] == pytest.approx(103 / 102 - 1)
+    runs = jobs.runs(lake).where("job = 'rebuild'").collect()
+    assert {r["dataset"] for r in runs} == {"silver.market_prices", "gold.returns_daily"}
+
+
+def test_a_run_without_changes_leaves_a_record(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    day = prices(spark, [(dt.date(2024, 1, 4), 100.0), (dt.date(2024, 1, 5), 101.0)])
+    jobs.update_prices(lake, day, "2024-01-06")
+    jobs.update_prices(lake, day, "2024-01-07")
+    by_run = jobs.runs(lake).groupBy("run_date").agg(F.count("partition").alias("n"), F.count("*").alias("rows")).collect()
+    assert {(r["run_date"].day, r["n"] > 0, r["rows"] > 0) for r in by_run} == {(6, True, True), (7, False, True)}
+
+
+def test_deliveries_of_one_date_are_kept(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    one = spark.createDataFrame([(1,)], "x int")
+    for batch in ("a", "b", "b"):
+        jobs.landed(lake, "source", one, "2024-01-06", batch)
+    assert spark.read.parquet(lake.land("source", one, "2024-01-06", "c")).count() == 3
