@@ -27,6 +27,7 @@ BUCKET_ENTRIES, RUN_ENTRIES = 1 << 20, 1 << 20
 BYTES_PER_ENTRY = 16
 ENTRY = ("anchor", "reach", "doc", "row", "at", "more")
 PLACE = ("doc", "row", "at", "to")
+KINDS = {"anchor": np.uint64, "reach": np.uint64, "doc": np.int64, "row": np.int32, "at": np.uint32, "more": np.uint8}
 
 # Bytes of the two hashes that are shuffled. An anchor's place among the buckets adds to its bits, and anchors that merely
 # look equal cost a closer look, nothing else; anchor and reach together decide.
@@ -58,7 +59,7 @@ def entries(data: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray)
     """Suffixes of the texts in one buffer, in text order: windows [at, at + more] of the document chose each."""
     n = len(data)
     if n < LENGTH:
-        return {k: np.zeros(0, np.uint64 if k in ("anchor", "reach") else np.int64) for k in ENTRY}
+        return {k: np.zeros(0, kind) for k, kind in KINDS.items()}
     prefix = spans.Prefix(data)
     anchor = prefix.fixed(ANCHOR)
     bits = np.uint64(max(int(n).bit_length(), 1))
@@ -71,8 +72,8 @@ def entries(data: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray)
     begin = start[first]
     end = start[np.concatenate([first[1:], [len(start)]]) - 1] if len(start) else start
     own = text[begin]
-    return {"anchor": anchor[chosen[first].astype(np.int64)], "reach": prefix.of(begin, end + LENGTH) >> np.uint64(64 - 8 * REACH_BYTES), "doc": ids[own], "row": rows[own],
-            "at": begin - at[own], "more": end - begin}
+    return {"anchor": anchor[chosen[first].astype(np.int64)], "reach": prefix.of(begin, end + LENGTH) >> np.uint64(64 - 8 * REACH_BYTES), "doc": ids[own], "row": rows[own].astype(np.int32),
+            "at": (begin - at[own]).astype(np.uint32), "more": (end - begin).astype(np.uint8)}
 
 
 def settle(run: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -104,7 +105,7 @@ def _sorted_runs(buckets: int):
         kept, lost = settle(whole)
         lost_by = dict(packed.runs_by(lost["bucket"].astype(np.int64), {k: lost[k] for k in GONE}))
         for bucket, run in packed.runs_by(kept["bucket"].astype(np.int64), kept):
-            gone = lost_by.get(bucket, {k: np.zeros(0, np.int64) for k in GONE})
+            gone = lost_by.get(bucket, {k: np.zeros(0, KINDS[k]) for k in GONE})
             ids, rows, doc = packed.put_rows(run["doc"], run["row"])
             lost_ids, lost_rows, lost_doc = packed.put_rows(gone["doc"], gone["row"])
             yield packed.batch([{
@@ -172,11 +173,10 @@ def _family(homes: int):
             for row in batch.to_pylist():
                 bucket = row["bucket"]
                 doc, mark = packed.get_rows(row["ids"], row["rows"], row["doc"])
-                new = {"anchor": packed.get_planes(row["anchor"], ANCHOR_BYTES), "reach": packed.get_planes(row["reach"], REACH_BYTES), "doc": doc, "row": mark, "at": packed.get(row["at"], np.uint32).astype(np.int64),
-                       "more": packed.get(row["more"], np.uint8).astype(np.int64)}
+                new = {"anchor": packed.get_planes(row["anchor"], ANCHOR_BYTES), "reach": packed.get_planes(row["reach"], REACH_BYTES), "doc": doc,
+                       "row": mark.astype(np.int32), "at": packed.get(row["at"], np.uint32), "more": packed.get(row["more"], np.uint8)}
                 doc, mark = packed.get_rows(row["lost_ids"], row["lost_rows"], row["lost_doc"])
-                lost.append({"doc": doc, "row": mark, "at": packed.get(row["lost_at"], np.uint32).astype(np.int64),
-                             "more": packed.get(row["lost_more"], np.uint8).astype(np.int64)})
+                lost.append({"doc": doc, "row": mark.astype(np.int32), "at": packed.get(row["lost_at"], np.uint32), "more": packed.get(row["lost_more"], np.uint8)})
                 grow(levels, new, lost, settle)
         if levels:
             finish(levels, lost, settle)
@@ -371,7 +371,9 @@ def _per_group(run, schema: pa.Schema):
     """A grouped map over one group's rows."""
 
     def one(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(table.to_batches())), schema=schema)
+        out = pa.Table.from_batches(list(run(table.to_batches())), schema=schema)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return one
 
