@@ -115,12 +115,12 @@ def _sample_features(batches):
 def fit_logistic(indptr: np.ndarray, bins: np.ndarray, shares: np.ndarray, y: np.ndarray, dims: int, steps: int = 80,
                  rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression on sparse rows with Adam steps; classes weigh the same."""
-    row = np.repeat(np.arange(len(y)), np.diff(indptr))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
     scale = 30.0
     balance = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     w, b = np.zeros(dims), 0.0
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
-    x = shares.astype(np.float64) * scale
+    x = shares * np.float32(scale)
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=w[bins] * x, minlength=len(y)) + b
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
@@ -165,6 +165,7 @@ def _fit(batches):
     train, held = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     if min(len(set(y[train])), len(set(y[held]))) < 2:
         return
+    del table
     w, b = fit_logistic(*packed(train), dims)
     ptr, k, s, target = packed(held)
     z = np.bincount(np.repeat(np.arange(len(held)), np.diff(ptr)), weights=w[k] * s, minlength=len(held)) + b

@@ -25,7 +25,7 @@ BITMAP_WORDS = 32
 FANOUT = 8
 # A task compares at most this many shingles with as many; larger clusters are cut into parts that meet pair by pair.
 PART_SHINGLES = 1 << 21
-PART_MEMBERS = 4096
+PART_MEMBERS = 1024
 BUCKET_KEYS = 1 << 20
 MOST_MEMBERS = 2_000_000
 
