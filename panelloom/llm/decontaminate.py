@@ -65,10 +65,14 @@ def build_index(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     n_needed = needed.count()
     placed = documents.select(*row_key(key, text), words_of(text_of(text)).alias("words")).select(
         "*", F.posexplode_outer("words").alias("position", "term"))
-    around = placed.join(broadcast_if_small(needed, n_needed, MOST_TERMS), "term").select(
-        "term", "id", "t1", "t2", "position",
-        F.least("position", F.lit(size - 1)).alias("before"),
-        F.slice("words", F.greatest(F.col("position") - (size - 2), F.lit(1)), 2 * size - 1).alias("around"))
+    context = [F.least("position", F.lit(size - 1)).alias("before"),
+               F.slice("words", F.greatest(F.col("position") - (size - 2), F.lit(1)), 2 * size - 1).alias("around")]
+    keys = ["term", "id", "t1", "t2", "position"]
+    if n_needed <= MOST_TERMS:
+        around = placed.join(broadcast_if_small(needed, n_needed, MOST_TERMS), "term").select(*keys, *context)
+    else:
+        # A shuffle must carry a few words with each word, not its whole text.
+        around = placed.where("term is not null").select(*keys, *context).join(needed, "term").select(*keys, "before", "around")
     return Index(ranked, n_windows, stored(around, "postings"))
 
 
