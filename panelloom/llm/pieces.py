@@ -21,6 +21,8 @@ from panelloom.llm import spans
 BLANK = "▁"
 LONGEST = 16
 SLICE_BYTES = 2 << 20
+# With so few parts left, positions are relaxed one by one.
+FEW = 8
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _SLOTS = 21
 
@@ -233,6 +235,10 @@ def relax(vocab: Vocabulary, table: np.ndarray, codes: np.ndarray, starts: np.nd
         live = int(np.searchsorted(-length[:live], -step, "right"))
         if not live:
             break
+        if live <= FEW:
+            for a, n_chars in zip(begin[:live].tolist(), length[:live].tolist()):
+                relax_alone(vocab, table, single, last, size_of, a, a + step, a + n_chars)
+            break
         end = begin[:live] + step
         open_ = np.arange(live)
         for size in range(min(step, LONGEST), 0, -1):
@@ -259,6 +265,36 @@ def relax(vocab: Vocabulary, table: np.ndarray, codes: np.ndarray, starts: np.nd
     return where, last[where]
 
 
+def relax_alone(vocab: Vocabulary, table: np.ndarray, single: np.ndarray, last: np.ndarray, size_of: np.ndarray, begin: int, first: int, stop: int) -> None:
+    """The same for the end positions first .. stop of one long part, one after another: array calls pay only for many parts at once."""
+    known: dict[int, bool] = {}
+    done = last[begin:first - 1].tolist()
+    for low in range(first, stop + 1, 1 << 15):
+        high = min(low + (1 << 15), stop + 1)
+        base = max(begin, low - LONGEST)
+        starts = table[:, base:high].copy()
+        starts[0] = 0
+        rows = starts.T.tolist()
+        ones = single[base:high].tolist()
+        sizes = []
+        for end in range(low, high):
+            for size in range(min(LONGEST, end - begin), 0, -1):
+                token = ones[end - size - base] if size == 1 else rows[end - size - base][size - 1]
+                if token < 0:
+                    continue
+                if size < end - begin:
+                    pair = (done[end - size - 1 - begin] << 16) | token
+                    if pair not in known:
+                        known[pair] = bool(vocab.may_follow(np.array([pair >> 16]), np.array([token]))[0])
+                    if not known[pair]:
+                        continue
+                done.append(token)
+                sizes.append(size)
+                break
+        last[low - 1:high - 1] = done[low - 1 - begin:high - 1 - begin]
+        size_of[low - 1:high - 1] = sizes
+
+
 def encode_units(vocab: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all units one after another, and each unit's offsets among them."""
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
