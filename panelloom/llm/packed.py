@@ -30,11 +30,23 @@ def get_ids(distinct: bytes, place: bytes) -> np.ndarray:
     return ids[np.frombuffer(place, np.uint16 if len(ids) < 1 << 16 else np.uint32)] if len(ids) else np.zeros(0, np.int64)
 
 
+def distinct_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct pair of id and row hash first stands, place of each pair among them). A hash alone names no row."""
+    order = np.lexsort((ids, rows))
+    if not len(order):
+        return order, order
+    start = np.ones(len(order), bool)
+    start[1:] = (rows[order][1:] != rows[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(start) - 1
+    return order[start], place
+
+
 def put_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """As `put_ids` for documents named by id and row hash, so that rows sharing an id stay apart."""
-    distinct, first, place = np.unique(rows, return_index=True, return_inverse=True)
-    return (ids[first].astype(np.int64).tobytes(), distinct.astype(np.int64).tobytes(),
-            place.astype(np.uint16 if len(distinct) < 1 << 16 else np.uint32).tobytes())
+    """As `put_ids` for documents named by id and row hash together, so that rows sharing an id stay apart."""
+    first, place = distinct_rows(ids, rows)
+    return (ids[first].astype(np.int64).tobytes(), rows[first].astype(np.int64).tobytes(),
+            place.astype(np.uint16 if len(first) < 1 << 16 else np.uint32).tobytes())
 
 
 def get_rows(ids: bytes, rows: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ BUCKET_ENTRIES, RUN_ENTRIES = 1 << 20, 1 << 20
 BYTES_PER_ENTRY = 16
 ENTRY = ("anchor", "reach", "doc", "row", "at", "more")
 PLACE = ("doc", "row", "at", "to")
-KINDS = {"anchor": np.uint64, "reach": np.uint64, "doc": np.int64, "row": np.int32, "at": np.uint32, "more": np.uint8}
+KINDS = {"anchor": np.uint64, "reach": np.uint64, "doc": np.int64, "row": np.int64, "at": np.uint32, "more": np.uint8}
 
 # Bytes of the two hashes that are shuffled. An anchor's place among the buckets adds to its bits, and anchors that merely
 # look equal cost a closer look, nothing else; anchor and reach together decide.
@@ -72,7 +72,7 @@ def entries(data: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray)
     begin = start[first]
     end = start[np.concatenate([first[1:], [len(start)]]) - 1] if len(start) else start
     own = text[begin]
-    return {"anchor": anchor[chosen[first].astype(np.int64)], "reach": prefix.of(begin, end + LENGTH) >> np.uint64(64 - 8 * REACH_BYTES), "doc": ids[own], "row": rows[own].astype(np.int32),
+    return {"anchor": anchor[chosen[first].astype(np.int64)], "reach": prefix.of(begin, end + LENGTH) >> np.uint64(64 - 8 * REACH_BYTES), "doc": ids[own], "row": rows[own],
             "at": (begin - at[own]).astype(np.uint32), "more": (end - begin).astype(np.uint8)}
 
 
@@ -174,9 +174,9 @@ def _family(homes: int):
                 bucket = row["bucket"]
                 doc, mark = packed.get_rows(row["ids"], row["rows"], row["doc"])
                 new = {"anchor": packed.get_planes(row["anchor"], ANCHOR_BYTES), "reach": packed.get_planes(row["reach"], REACH_BYTES), "doc": doc,
-                       "row": mark.astype(np.int32), "at": packed.get(row["at"], np.uint32), "more": packed.get(row["more"], np.uint8)}
+                       "row": mark, "at": packed.get(row["at"], np.uint32), "more": packed.get(row["more"], np.uint8)}
                 doc, mark = packed.get_rows(row["lost_ids"], row["lost_rows"], row["lost_doc"])
-                lost.append({"doc": doc, "row": mark.astype(np.int32), "at": packed.get(row["lost_at"], np.uint32), "more": packed.get(row["lost_more"], np.uint8)})
+                lost.append({"doc": doc, "row": mark, "at": packed.get(row["lost_at"], np.uint32), "more": packed.get(row["lost_more"], np.uint8)})
                 grow(levels, new, lost, settle)
         if levels:
             finish(levels, lost, settle)
@@ -228,15 +228,18 @@ def _by_document(batches):
     if not parts["lost"]:
         return
     lost, tried = (joined(part, (*PLACE, "bucket")) for part in parts.values())
-    row, at, to = unite(lost["row"], lost["at"], lost["to"])
-    order = np.lexsort((tried["at"], tried["row"]))
+    # A document is an id and a row hash: two ids may have equal hashes.
+    ids, rows = (np.concatenate([lost[k], tried[k]]) for k in ("doc", "row"))
+    first, place = packed.distinct_rows(ids, rows)
+    ids, rows = ids[first], rows[first]
+    own, at, to = unite(place[:len(lost["at"])], lost["at"], lost["to"])
+    tried["own"] = place[len(lost["at"]):]
+    order = np.lexsort((tried["at"], tried["own"]))
     tried = {k: v[order] for k, v in tried.items()}
-    rows, first = np.unique(np.concatenate([lost["row"], tried["row"]]), return_index=True)
-    ids = np.concatenate([lost["doc"], tried["doc"]])[first]
-    count = lambda r: np.bincount(np.searchsorted(rows, r), minlength=len(rows))
+    count = lambda r: np.bincount(r, minlength=len(rows))
     yield pa.RecordBatch.from_arrays([
-        pa.array(ids), pa.array(rows), packed.list_column(at, count(row)), packed.list_column(to, count(row)),
-        packed.list_column(tried["at"], count(tried["row"])), packed.list_column(tried["to"], count(tried["row"])), packed.list_column(tried["bucket"], count(tried["row"]))], schema=SPANS)
+        pa.array(ids), pa.array(rows), packed.list_column(at, count(own)), packed.list_column(to, count(own)),
+        packed.list_column(tried["at"], count(tried["own"])), packed.list_column(tried["to"], count(tried["own"])), packed.list_column(tried["bucket"], count(tried["own"]))], schema=SPANS)
 
 
 REACHES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("bytes", "size", "ids", "rows", "doc", "at")]])
@@ -362,9 +365,9 @@ def with_ranges(given: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def texts_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, text and a hash that tells rows sharing an id apart (equal rows share their ranges)."""
+    """doc_id, text and a 64-bit hash that tells rows sharing an id apart (equal rows share their ranges)."""
     return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "row", F.hash("doc_id", "text").cast("long"))
+        "row", F.xxhash64("doc_id", "text"))
 
 
 def _per_group(run, schema: pa.Schema):

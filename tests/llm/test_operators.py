@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from panelloom.llm import common, decontaminate, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
 from panelloom.llm.queries import PIECE_MODEL, URL_RULES
@@ -67,6 +68,26 @@ def test_substrings(frame, request, monkeypatch):
     assert sort(got) == sort(brute.cut_substrings(pairs(df)))
 
 
+def test_substrings_of_ids_with_equal_row_hashes(docs, monkeypatch):
+    given = substrings.texts_of
+    monkeypatch.setattr(substrings, "texts_of", lambda *a: given(*a).withColumn("row", F.lit(7).cast("long")))
+    got = substrings.dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sort(got) == sort(brute.cut_substrings(pairs(docs)))
+
+
+def test_substrings_of_one_id_with_equal_short_hashes(spark):
+    """Two texts of one id that 32 bits don't tell apart keep their own ranges."""
+    passage = "a passage of more than fifty bytes that the first document holds"
+    number = F.format_string("%08d", "id")
+    hashed = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, F.concat(number, F.lit(passage))).otherwise(
+        F.concat(F.lit(passage), number)).alias("text")).withColumn("h", F.hash(F.lit(1).cast("long"), "text"))
+    head = F.col("text").startswith(passage)
+    both = hashed.groupBy("h").agg(F.min(F.when(head, F.col("text"))), F.min(F.when(~head, F.col("text")))).dropna().first()
+    rows = spark.createDataFrame([(0, passage), (1, both[1]), (1, both[2])], "doc_id long, text string")
+    got = substrings.dedup_substrings(rows).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sort(got) == sort(brute.cut_substrings(pairs(rows)))
+
+
 def test_anchor_choice_depends_on_the_window_alone():
     import numpy as np
 
