@@ -8,6 +8,7 @@ words always holds such a place with a whole piece behind it, wherever it stands
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm import packed, spans
 from panelloom.llm.common import broadcast_if_small, components
-from panelloom.llm.sigtree import distinct_sets, minhash_keys
+from panelloom.llm.sigtree import PART_MEMBERS, _edge_batches, bitmap, distinct_sets, forest, groups_of, meet, minhash_keys
 from panelloom.llm.substrings import as_spark, lowest, settle_windows, unite
 from panelloom.session import stored
 
@@ -101,8 +102,8 @@ def _deal(buckets: int, bands: int):
 
 
 def _collisions(table: pa.Table) -> pa.Table:
-    """Pairs of distinct paragraphs that share a key: each with the first and with the next of its key's members, which
-    connects them without listing all pairs."""
+    """Pairs of distinct paragraphs that share a key: each with the first and with the next of its key's members. Of up
+    to three members that is every pair; larger keys whose members this leaves apart are looked at again."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
     order = np.lexsort((ids, keys))
@@ -120,6 +121,59 @@ def _collisions(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
 
+def _deal_grouped(buckets: int, bands: int):
+    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "ids", "groups")]])
+
+    def run(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64)
+            ids, groups = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), bands) for c in ("node", "known"))
+            rows = [{"bucket": b, **{k: v.tobytes() for k, v in p.items()}}
+                    for b, p in packed.runs_by((keys % np.uint64(buckets)).astype(np.int64), {"keys": keys, "ids": ids, "groups": groups})]
+            if rows:
+                yield packed.batch(rows, schema)
+
+    return run
+
+
+def _mixed(table: pa.Table) -> pa.Table:
+    """(block, size, node, known) of keys with members that are still in different groups; a block is named by its members."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
+    ids, groups = (np.concatenate([np.frombuffer(x, np.int64) for x in table[c].to_pylist()]) for c in ("ids", "groups"))
+    order = np.lexsort((ids, keys))
+    keys, ids, groups = keys[order], ids[order], groups[order]
+    first = spans.equal_runs(keys)
+    begin, own = np.flatnonzero(first), np.cumsum(first) - 1
+    size = np.bincount(own)
+    # Three members or fewer have met in pairs.
+    open_ = (size > 3) & (np.minimum.reduceat(groups, begin) != np.maximum.reduceat(groups, begin))
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(spans.mix(ids.astype(np.uint64)), begin).view(np.int64)
+    some = open_[own]
+    return pa.table({"block": pa.array(name[own][some]), "size": pa.array(size[own][some].astype(np.int64)),
+                     "node": pa.array(ids[some]), "known": pa.array(groups[some])})
+
+
+def _linked(link: tuple[int, int]):
+    """Links between the groups of a block, or of two parts of one: every pair is compared that no link joins already."""
+
+    def run(batches):
+        def edges():
+            for table in groups_of(batches, ["block", "part"]):
+                node, lists = table["node"].to_numpy(), table["shingles"].combine_chunks()
+                known = np.unique(table["known"].to_numpy(), return_inverse=True)[1]
+                if known.max() == 0:
+                    continue
+                at, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+                sets = [values[a:b] for a, b in zip(at, at[1:])]
+                for x, y in forest(np.diff(at).astype(np.int64), np.stack([bitmap(s) for s in sets]), sets, known, link):
+                    yield node[x], node[y]
+
+        yield from _edge_batches(edges())
+
+    return run
+
+
 def repeated_paragraphs(documents: DataFrame, least: int = LEAST_WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
                         key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words, kept_doc_id, component_id) of every paragraph that a group's first paragraph replaces."""
@@ -142,7 +196,17 @@ def repeated_paragraphs(documents: DataFrame, least: int = LEAST_WORDS, threshol
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     met = F.size(F.array_intersect("left", "right"))
     alike = both.where(met >= F.lit(threshold) * (F.size("left") + F.size("right") - met)).select("a", "b")
-    groups = components(alike, "paragraph-groups")
+    alike = stored(alike, "alike")
+    joined = stored(components(alike, "paragraph-groups"), "joined")
+    # A key's first member may be like none of the others: where a key's members are not in one group yet, all of them meet.
+    known = nodes.join(joined, "node", "left").select("node", "keys", F.coalesce("component", "node").alias("known"))
+    mixed = known.mapInArrow(_deal_grouped(buckets, bands), "bucket int, keys binary, ids binary, groups binary") \
+        .groupBy("bucket").applyInArrow(_mixed, "block long, size long, node long, known long").dropDuplicates(["block", "node"])
+    mixed = stored(mixed.withColumn("parts", F.ceil(F.col("size") / PART_MEMBERS).cast("long")), "mixed")
+    share = Fraction(str(threshold))
+    more = meet(mixed.join(sets, "node"), "block", "parts", "node").select("block", "part", "node", "known", "shingles") \
+        .mapInArrow(_linked((share.numerator, share.numerator + share.denominator)), "a long, b long")
+    groups = components(alike.unionByName(more), "all-paragraph-groups")
     named = stored(nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component_id")), "named")
     kept = named.groupBy("component_id").agg(F.min("first").alias("kept"), F.sum("n").alias("members")).where("members > 1")
     gone = stored(named.join(stored(kept, "kept"), "component_id").select("node", "component_id", "kept"), "gone")

@@ -131,9 +131,13 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(name[group][shared].view(np.int64)), "size": pa.array(size[group][shared].astype(np.int64)), "rep": pa.array(ids[shared])})
 
 
-def could_link(n_a, n_b, overlap):
-    """100 * overlap >= 80 * union, with the union written by sizes and overlap."""
-    return 9 * overlap >= 4 * (n_a + n_b)
+# Jaccard of p / q or more, as (p, p + q): here 0.8.
+LINK = (4, 9)
+
+
+def could_link(n_a, n_b, overlap, link=LINK):
+    """q * overlap >= p * union, with the union written by sizes and overlap."""
+    return link[1] * overlap >= link[0] * (n_a + n_b)
 
 
 def _levels(n: np.ndarray, bits: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -157,26 +161,27 @@ def _children(i: np.ndarray, j: np.ndarray, count: int) -> tuple[np.ndarray, np.
     return a[keep], b[keep]
 
 
-def _near(level: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _near(level: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, link=LINK) -> np.ndarray:
     """Whether some document below i and some below j could still overlap enough."""
     low = level["low"]
-    sized = could_link(low[i], low[j], np.minimum(level["high"][i], level["high"][j]))
-    sized &= (9 * level["high"][i] >= 4 * (level["high"][i] + low[j])) & (9 * level["high"][j] >= 4 * (level["high"][j] + low[i]))
+    sized = could_link(low[i], low[j], np.minimum(level["high"][i], level["high"][j]), link)
+    sized &= could_link(level["high"][i], low[j], level["high"][i], link) & could_link(level["high"][j], low[i], level["high"][j], link)
     out = np.zeros(len(i), bool)
     for a in range(0, len(i), 1 << 16):
         k = a + np.flatnonzero(sized[a:a + (1 << 16)])
         both = np.bitwise_count(level["bits"][i[k]] & level["bits"][j[k]]).sum(1, dtype=np.int64)
         most = np.minimum(level["high"][i[k]] - np.maximum(level["set"][i[k]] - both, 0), level["high"][j[k]] - np.maximum(level["set"][j[k]] - both, 0))
-        out[k] = could_link(low[i[k]], low[j[k]], most)
+        out[k] = could_link(low[i[k]], low[j[k]], most, link)
     return out
 
 
-def forest(n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None, known: np.ndarray | None = None,
+           link=LINK) -> list[tuple[int, int]]:
     """Links that connect all linked documents, one fewer than the documents in each group.
 
     With `sets` a link is exact; without, it is one the bitmaps can't rule out. Pairs already
     connected are not looked at again, so a large group of near copies costs little more than
-    its size.
+    its size. `known` names the group each document is in already.
     """
     order = np.argsort(n, kind="stable")
     n, bits = n[order], bits[order]
@@ -185,13 +190,13 @@ def forest(n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None
     i, j = (x.ravel() for x in np.meshgrid(top, top, indexing="ij"))
     i, j = i[i <= j], j[i <= j]
     for depth in range(len(levels) - 1, -1, -1):
-        keep = _near(levels[depth], i, j)
+        keep = _near(levels[depth], i, j, link)
         i, j = i[keep], j[keep]
         if depth:
             i, j = _children(i, j, len(levels[depth - 1]["low"]))
     near_first = np.argsort(j - i, kind="stable")
     i, j = i[near_first], j[near_first]
-    group = np.arange(len(n))
+    group = np.arange(len(n)) if known is None else known[order]
     found = []
     first = np.arange(0, len(n), FANOUT)
     while len(i):
@@ -204,11 +209,11 @@ def forest(n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None
         a, b = a[keep], b[keep]
         only_a, only_b = bits[a] & ~bits[b], bits[b] & ~bits[a]
         most = np.minimum(n[a] - np.bitwise_count(only_a).sum(1, dtype=np.int64), n[b] - np.bitwise_count(only_b).sum(1, dtype=np.int64))
-        keep = could_link(n[a], n[b], most)
+        keep = could_link(n[a], n[b], most, link)
         for x, y in zip(a[keep].tolist(), b[keep].tolist()):
             if group[x] == group[y]:
                 continue
-            if sets is None or could_link(n[x], n[y], len(np.intersect1d(sets[order[x]], sets[order[y]], assume_unique=True))):
+            if sets is None or could_link(n[x], n[y], len(np.intersect1d(sets[order[x]], sets[order[y]], assume_unique=True)), link):
                 found.append((int(order[x]), int(order[y])))
                 one, other = sorted((group[x], group[y]))
                 group[group == other] = one

@@ -411,6 +411,31 @@ def test_paragraph_groups_on_the_tables(spark):
     assert {(r["doc_id"], r["first_word"]) for r in rows} == want
 
 
+def test_paragraphs_alike_in_a_key_of_unlike_members(spark, monkeypatch):
+    """Links hold between members of a key that are neither its first nor next to each other."""
+    import numpy as np
+
+    from panelloom.llm import spans
+
+    # One key of one value, and a phrase whose shingle is the lowest of every paragraph that holds it: all share the key.
+    monkeypatch.setattr(paragraphs, "tune_bands", lambda *a: (1, 1))
+    monkeypatch.setattr(paragraphs, "PART_MEMBERS", 16, raising=False)
+    random.seed(3)
+    words = [f"c{i}" for i in range(200_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    at = np.array([0, len(data)])
+    starts, ends, row = spans.words(data, at)
+    value, _ = spans.shingles(spans.Prefix(data).of(starts, ends), row, 5)
+    factor = spans.mix(np.arange(1, 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+    lowest = int(np.argmin(value * factor))
+    phrase = words[lowest:lowest + 5]
+    base = [[f"w{random.randint(0, 10**9)}" for _ in range(60)] for _ in range(30)]
+    texts = [" ".join([*phrase, *b]) for b in base] + [" ".join([*phrase, *b[:-2], "other", "end"]) for b in base]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeated_paragraphs(rows).collect()}
+    assert got == {(i + 30, i) for i in range(30)}
+
+
 def test_tuned_bands():
     bands, rows = paragraphs.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL and bands <= 12
