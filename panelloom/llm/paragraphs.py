@@ -214,23 +214,25 @@ def repeated_paragraphs(documents: DataFrame, least: int = LEAST_WORDS, threshol
         "doc_id", "first_word", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), "component_id")
 
 
-PIECES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("window", "ids", "doc", "at", "lost_ids", "lost_doc", "lost_at", "from_ids", "from_doc")]])
+PIECES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("window", "ids", "doc", "at", "shared", "lost_ids", "lost_doc", "lost_at", "from_ids", "from_doc")]])
+
+
+def _settled(parts, buckets: int):
+    """Rows of runs settled within the task: of equal ones only those of the smallest document go on."""
+    kept, lost = with_source({k: np.concatenate([p[k] for p in parts]) for k in ("window", "doc", "at")})
+    none = {"doc": np.zeros(0, np.int64), "at": np.zeros(0, np.int64), "source": np.zeros(0, np.int64)}
+    gone_by = dict(packed.runs_by((lost["window"] % np.uint64(buckets)).astype(np.int64), lost))
+    for bucket, run in packed.runs_by((kept["window"] % np.uint64(buckets)).astype(np.int64), kept):
+        gone = gone_by.get(bucket, none)
+        row = {"bucket": bucket, "window": run["window"].tobytes(), "at": run["at"].astype(np.uint32).tobytes(),
+               "shared": run["shared"].tobytes(), "lost_at": gone["at"].astype(np.uint32).tobytes()}
+        for name, ids in (("", run["doc"]), ("lost_", gone["doc"]), ("from_", gone["source"])):
+            row[f"{name}ids"], row[f"{name}doc"] = packed.put_ids(ids)
+        yield packed.batch([row], PIECES)
 
 
 def _pieces(buckets: int):
-    """Pieces of all texts, settled within the task: of equal ones only those of the smallest document go on."""
-
-    def rows(parts):
-        kept, lost = with_source({k: np.concatenate([p[k] for p in parts]) for k in ("window", "doc", "at")})
-        none = {"doc": np.zeros(0, np.int64), "at": np.zeros(0, np.int64), "source": np.zeros(0, np.int64)}
-        gone_by = dict(packed.runs_by((lost["window"] % np.uint64(buckets)).astype(np.int64), lost))
-        for bucket, run in packed.runs_by((kept["window"] % np.uint64(buckets)).astype(np.int64), kept):
-            gone = gone_by.get(bucket, none)
-            row = {"bucket": bucket, "window": run["window"].tobytes(), "at": run["at"].astype(np.uint32).tobytes(),
-                   "lost_at": gone["at"].astype(np.uint32).tobytes()}
-            for name, ids in (("", run["doc"]), ("lost_", gone["doc"]), ("from_", gone["source"])):
-                row[f"{name}ids"], row[f"{name}doc"] = packed.put_ids(ids)
-            yield packed.batch([row], PIECES)
+    """Pieces of all texts."""
 
     def run(batches):
         parts, held = [], 0
@@ -241,20 +243,65 @@ def _pieces(buckets: int):
                 parts.append(part)
                 held += len(part["at"])
                 if held >= 1 << 19:
-                    yield from rows(parts)
+                    yield from _settled(parts, buckets)
+                    parts, held = [], 0
+        if held:
+            yield from _settled(parts, buckets)
+
+    return run
+
+
+def _windows(buckets: int):
+    """Every run of `PIECE` words that begins at most `STARTS` words from a shared piece."""
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            seeds = batch.column("seeds")
+            counts = np.diff(np.asarray(seeds.offsets))
+            flat = seeds.flatten().to_numpy()
+            where = np.concatenate([[0], np.cumsum(counts)])
+            for first, stop, data, at in spans.slices(batch.column("text")):
+                part = windows_of(data, at, ids[first:stop], np.repeat(np.arange(stop - first), counts[first:stop]), flat[where[first]:where[stop]])
+                parts.append(part)
+                held += len(part["at"])
+                if held >= 1 << 19:
+                    yield from _settled(parts, buckets)
                     parts, held = [], 0
         if held:
-            yield from rows(parts)
+            yield from _settled(parts, buckets)
 
     return run
 
 
+def windows_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray, of: np.ndarray, seed: np.ndarray) -> dict[str, np.ndarray]:
+    """Hash, document and first word of each run of `PIECE` words near a seed, a word of the text `of`."""
+    low = spans.TO_LOWER[data]
+    starts, ends, row = spans.words(low, at)
+    word = spans.Prefix(low).of(starts, ends)
+    edge = np.searchsorted(starts, at)
+    begin = np.maximum(edge[of] + seed - STARTS, edge[of])
+    end = np.minimum(edge[of] + seed + STARTS, edge[of + 1] - PIECE) + 1
+    some = end > begin
+    near = np.bincount(begin[some], minlength=len(word) + 1) - np.bincount(end[some], minlength=len(word) + 1)
+    place = np.flatnonzero(np.cumsum(near) > 0)
+    return {"window": _hashes(word, place), "doc": ids[row[place]], "at": place - edge[:-1][row[place]]}
+
+
+def _hashes(word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of the `PIECE` words from each place."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * spans.powers(spans.BASE, len(word)))])
+        return spans.mix((sums[place + PIECE] - sums[place]) * spans.powers(spans.BASE_INVERSE, len(sums))[place])
+
+
 def pieces_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
     """Hash, document and first word of each piece: it starts where a word pair hashes lowest among `STARTS` neighbours."""
     low = spans.TO_LOWER[data]
     starts, ends, row = spans.words(low, at)
     none = {"window": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64), "at": np.zeros(0, np.int64)}
-    if len(starts) <= STARTS + PIECE:
+    if len(starts) <= STARTS:
         return none
     word = spans.Prefix(low).of(starts, ends)
     with np.errstate(over="ignore"):
@@ -265,14 +312,20 @@ def pieces_of(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> dict[str, np
         place = np.unique(chosen[whole])
         place = place[place + PIECE <= len(word)]
         place = place[row[place] == row[place + PIECE - 1]]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * spans.powers(spans.BASE, len(word)))])
-        window = spans.mix((sums[place + PIECE] - sums[place]) * spans.powers(spans.BASE_INVERSE, len(sums))[place])
-    return {"window": window, "doc": ids[row[place]], "at": place - np.searchsorted(starts, at[:-1])[row[place]]}
+    return {"window": _hashes(word, place), "doc": ids[row[place]], "at": place - np.searchsorted(starts, at[:-1])[row[place]]}
 
 
 def with_source(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Pieces of the smallest document that holds each, and the others with that document's id."""
+    """Pieces of the smallest document that holds each, with a mark on those that others hold too, and the others with
+    that document's id."""
     kept, lost = settle_windows(part)
+    shared = np.isin(kept["window"], lost["window"]).astype(np.uint8)
+    if "shared" in kept:
+        # A copy lost in any task marks every kept place of the piece.
+        first = spans.equal_runs(kept["window"])
+        before = np.maximum.reduceat(kept["shared"], np.flatnonzero(first))[np.cumsum(first) - 1] if len(first) else kept["shared"]
+        shared |= before
+    kept = {**kept, "shared": shared}
     if len(lost["at"]):
         first = np.flatnonzero(spans.equal_runs(kept["window"]))
         lost["source"] = kept["doc"][first][np.searchsorted(kept["window"][first], lost["window"])]
@@ -281,17 +334,22 @@ def with_source(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dic
     return kept, lost
 
 
-def _equal_pieces(homes: int):
+def _equal_pieces(homes: int, seeds: bool):
+    """What other documents hold too, by the document's home: the pieces lost to a smaller document, and for `seeds` the
+    kept ones with copies as well."""
     schema = pa.schema([("home", pa.int32()), *[(c, pa.binary()) for c in ("ids", "doc", "at", "from_ids", "from_doc")]])
 
     def one(table: pa.Table) -> pa.Table:
         parts, lost = [], []
         for row in table.to_pylist():
             parts.append({"window": packed.get(row["window"], np.uint64), "doc": packed.get_ids(row["ids"], row["doc"]),
-                          "at": packed.get(row["at"], np.uint32).astype(np.int64)})
+                          "at": packed.get(row["at"], np.uint32).astype(np.int64), "shared": packed.get(row["shared"], np.uint8)})
             lost.append({"doc": packed.get_ids(row["lost_ids"], row["lost_doc"]), "at": packed.get(row["lost_at"], np.uint32).astype(np.int64),
                          "source": packed.get_ids(row["from_ids"], row["from_doc"])})
-        _, gone = with_source({k: np.concatenate([p[k] for p in parts]) for k in ("window", "doc", "at")})
+        kept, gone = with_source({k: np.concatenate([p[k] for p in parts]) for k in ("window", "doc", "at", "shared")})
+        if seeds:
+            some = kept["shared"] > 0
+            lost.append({"doc": kept["doc"][some], "at": kept["at"][some], "source": kept["doc"][some]})
         gone = {k: np.concatenate([*[p[k] for p in lost], gone[k]]) for k in ("doc", "at", "source")}
         rows = []
         for home, part in packed.runs_by((spans.mix(gone["doc"].astype(np.uint64)) % np.uint64(homes)).astype(np.int64), gone):
@@ -321,13 +379,35 @@ def _ranges(table: pa.Table) -> pa.Table:
                      "kept_doc_id": pa.array(np.minimum.reduceat(source, first) if len(first) else source)})
 
 
+def _seeds(table: pa.Table) -> pa.Table:
+    """One row per document: the places of its shared pieces."""
+    rows = table.to_pylist()
+    doc = np.concatenate([packed.get_ids(r["ids"], r["doc"]) for r in rows])
+    at = np.concatenate([packed.get(r["at"], np.uint32).astype(np.int64) for r in rows])
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    first = np.flatnonzero(spans.equal_runs(doc))
+    return pa.table({"id": pa.array(doc[first]), "seeds": packed.list_column(at, np.diff(np.concatenate([first, [len(doc)]])))})
+
+
 def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first_word, n_words, kept_doc_id): word ranges whose pieces a document of smaller id holds too."""
+    """(doc_id, first_word, n_words, kept_doc_id): word ranges made of runs of `PIECE` words that a document of smaller id holds too.
+
+    Chosen pieces are seeds: every run of `PIECE` words near a piece that two documents share is compared. All runs of a
+    repeat of 51 words are near one of its pieces, so it is returned whole, and so is a shorter repeat that holds a piece.
+    """
     given = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, total // (80 * BUCKET_KEYS))
-    equal, schema = _equal_pieces(buckets)
-    return given.mapInArrow(_pieces(buckets), as_spark(PIECES)).groupBy("bucket").applyInArrow(equal, as_spark(schema)) \
+    equal, schema = _equal_pieces(buckets, True)
+    seeds = stored(given.mapInArrow(_pieces(buckets), as_spark(PIECES)).groupBy("bucket").applyInArrow(equal, as_spark(schema))
+                   .groupBy("home").applyInArrow(_seeds, "id long, seeds array<long>"), "seeds")
+    # A seed brings some 28 windows where pieces stand apart, and a word begins one window at most.
+    n = seeds.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    buckets = max(16, min(28 * n, total // 4) // BUCKET_KEYS)
+    equal, schema = _equal_pieces(buckets, False)
+    near = given.join(seeds, given["doc_id"] == seeds["id"]).select("doc_id", "text", "seeds")
+    return near.mapInArrow(_windows(buckets), as_spark(PIECES)).groupBy("bucket").applyInArrow(equal, as_spark(schema)) \
         .groupBy("home").applyInArrow(_ranges, "doc_id long, first_word long, n_words long, kept_doc_id long")
 
 
@@ -336,9 +416,9 @@ def dedup_paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
     kind is "paragraph" (a line of at least `LEAST_WORDS` words whose 5-word shingle set has
     Jaccard 0.8 or more to another's; of each connected group the one in the smallest document
-    stays) or "passage" (words [first_word, first_word + n_words) made of pieces that stand in
-    a document of smaller id). kept_doc_id is the document that keeps it, for a passage the smallest that holds one of its
-    pieces. Words are runs without
+    stays) or "passage" (words [first_word, first_word + n_words) made of runs of `PIECE` words
+    that stand in a document of smaller id; repeats of 51 words or more are whole). kept_doc_id is the document that keeps
+    it, for a passage the smallest that holds one of its runs. Words are runs without
     ASCII white space, A-Z lower-cased, counted from the start of the text. Null or empty text
     has none; rows with a null id take no part; rows sharing an id are one document for passages
     and keep one of equal paragraphs. Repeats within one document are removed as paragraphs only.

@@ -436,6 +436,26 @@ def test_paragraphs_alike_in_a_key_of_unlike_members(spark, monkeypatch):
     assert got == {(i + 30, i) for i in range(30)}
 
 
+def test_passages_are_whole(spark):
+    """Every word of a repeated run of 51 words is returned, and no word outside a repeated run of 24."""
+    random.seed(11)
+    word = lambda n: [f"w{random.randint(0, 10**9)}" for _ in range(n)]
+    passages = [word(n) for n in (50, 51, 60, 77, 200) for _ in range(8)]
+    texts = [" ".join([*word(13), *p, *word(17)]) for p in passages] + [" ".join([*word(31), *p, *word(5)]) for p in passages]
+    rows = spark.createDataFrame([*enumerate(texts), (1000, " ".join(passages[8])), (1001, " ".join(passages[8][:30]))], "doc_id long, text string").repartition(3)
+    got = {}
+    for r in paragraphs.repeated_passages(rows).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_word"], r["n_words"], r["kept_doc_id"]))
+    for i, p in enumerate(passages):
+        assert got.get(len(passages) + i) == [(31, len(p), i)]
+    assert got[1000] == [(0, 51, 8)]
+    assert not set(got) & set(range(len(passages)))
+    # A text alone in its buffer has the pieces it has among others.
+    import numpy as np
+    alone = np.frombuffer(" ".join(passages[8]).encode(), np.uint8)
+    assert len(paragraphs.pieces_of(alone, np.array([0, len(alone)]), np.array([5]))["at"])
+
+
 def test_tuned_bands():
     bands, rows = paragraphs.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL and bands <= 12
