@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
+from panelloom.llm import decontaminate, gnat, kdtree, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,18 @@ def op2_signature_tree_jaccard(t: Tables) -> DataFrame:
 @llm_query("op4_paragraph_minhash")
 def op4_paragraph_minhash(t: Tables) -> DataFrame:
     return paragraphs.dedup_paragraphs(t.documents)
+
+
+@llm_query("op11_gnat_hard_negatives", gnat.SQL)
+def op11_gnat_hard_negatives(t: Tables) -> DataFrame:
+    moved = F.col("vec_id") % 7 == 0
+    label = F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index = gnat.build(t.embeddings, label)
+    return gnat.mine(index, t.embeddings.where("vec_id % 50 = 0"), label).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@llm_query("op13_kdtree_topk", kdtree.SQL)
+def op13_kdtree_topk(t: Tables) -> DataFrame:
+    index = kdtree.build(t.embeddings)
+    return kdtree.top_k(index, t.embeddings.where("vec_id % 100 = 0")).select(F.col("q_id").alias("query_id"), "rank", "vec_id", "score")
