@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, gnat, kdtree, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
+from panelloom.llm import collocations, decontaminate, gnat, kdtree, lines, paragraphs, pieces, quality, sharding, sigtree, substrings, toxicity, urls
 from panelloom.sources.tables import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op11_gnat_hard_negatives(t: Tables) -> DataFrame:
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+@llm_query("op12_collocation_stripes", collocations.SQL)
+def op12_collocation_stripes(t: Tables) -> DataFrame:
+    return collocations.collocations(t.documents)
+
+
 @llm_query("op13_kdtree_topk", kdtree.SQL)
 def op13_kdtree_topk(t: Tables) -> DataFrame:
     index = kdtree.build(t.embeddings)
