@@ -15,6 +15,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +32,13 @@ SLICE_WORDS = 1 << 21
 LEAST_BITS, MOST_BITS = 1 << 13, 1 << 28
 # A prefix with over a thousandth of all words is cut into a segment for each thousandth.
 SHARES = 1000
-# Bytes of text for each segment of the stripe of single words.
-SEGMENT_BYTES = 1 << 25
+# Bytes of text for each bucket of stripes, and for each segment of the stripe of single words.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 25, 64
+MERGE_ROWS = 1 << 20
 TOP_ROWS = 1 << 17
 NO_WORD = 0
 
-STRIPES = "lang string, prefix string, seg int, nexts array<string>, counts array<long>"
+STRIPES = "bucket int, pack binary"
 PHRASES = "lang string, prefix string, next string, a long"
 
 
@@ -140,8 +142,8 @@ def counted(part: Slice, names: list[str], length: int, filtered: Filter | None)
     return [c[start] for c in columns], lang[start], np.diff(np.concatenate([start, [len(at)]])), word
 
 
-def stripes(part: Slice, names: list[str], length: int, filtered: Filter | None, segments):
-    """The stripes of a slice, a row for each prefix and segment. `segments(lang, prefix)` tells how many a prefix has."""
+def stripes(part: Slice, names: list[str], length: int, filtered: Filter | None, segments, buckets: int):
+    """The stripes of a slice, those of a bucket packed into one row. `segments(lang, prefix)` tells how many a prefix has."""
     columns, lang, n, word = counted(part, names, length, filtered)
     if not len(n):
         return
@@ -152,17 +154,32 @@ def stripes(part: Slice, names: list[str], length: int, filtered: Filter | None,
     own = np.cumsum(spans.equal_runs(lang, *columns[:-1])) - 1
     many = np.fromiter((segments(names[i], p) for i, p in zip(lang[first], prefix.to_pylist())), np.int64, len(first))
     seg = (word[columns[-1]] % many[own].astype(U64)).astype(np.int64)
-    order = np.lexsort((seg, own))
-    own, seg, n, nexts = own[order], seg[order], n[order], columns[-1][order]
+    value = hashes([x.encode() for x in names])[lang[first]]
+    for c in columns[:-1]:
+        value = extend(value, word[c[first]])
+    bucket = (extend(value[own], seg.astype(U64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((seg, own, bucket))
+    own, seg, n, nexts, bucket = own[order], seg[order], n[order], columns[-1][order], bucket[order]
     start = np.flatnonzero(spans.equal_runs(own, seg))
     offsets = pa.array(np.concatenate([start, [len(n)]]).astype(np.int32))
-    yield pa.RecordBatch.from_arrays([
+    rows = pa.RecordBatch.from_arrays([
         pa.array(names, pa.string()).take(pa.array(lang[first][own[start]])), prefix.take(pa.array(own[start])), pa.array(seg[start].astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, take(nexts)), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))],
+        pa.ListArray.from_arrays(offsets, take(nexts)), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))],
         names=["lang", "prefix", "seg", "nexts", "counts"])
+    edge = np.flatnonzero(spans.equal_runs(bucket[start]))
+    sizes = np.diff(np.concatenate([edge, [len(start)]]))
+    packs = [packed_rows(rows.slice(x, k)) for x, k in zip(edge.tolist(), sizes.tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[start][edge].astype(np.int32)), pa.array(packs, pa.binary())], names=["bucket", "pack"])
 
 
-def _count(length: int, filter_, segments):
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _count(length: int, filter_, segments, buckets: int):
     """Stripes of every slice of the texts."""
 
     def run(batches):
@@ -174,42 +191,52 @@ def _count(length: int, filter_, segments):
                 for plain in chunks(text):
                     part.add(plain, number)
                     if part.held >= SLICE_WORDS:
-                        yield from stripes(part, list(names), length, filtered, segments)
+                        yield from stripes(part, list(names), length, filtered, segments, buckets)
                         tail, part = part.tail(length - 1), Slice()
                         # The last words go on: phrases that begin in them and end in what follows are still to be counted.
                         part.put(np.array([part.code[w] for w in tail], np.int64), number)
                 part.put(np.array([NO_WORD]), number)
-        yield from stripes(part, list(names), length, filtered, segments)
+        yield from stripes(part, list(names), length, filtered, segments, buckets)
 
     return run
 
 
+KEYS = ["lang", "prefix", "seg"]
+
+
+def added(tables: list[pa.Table]) -> pa.Table:
+    """Stripes merged elementwise: one row for each prefix, segment and next word."""
+    return pa.concat_tables(tables).group_by([*KEYS, "next"]).aggregate([("n", "sum")]).rename_columns([*KEYS, "next", "n"])
+
+
 def _merge(least: int, totals: bool):
-    """Add up stripes that come sorted by prefix and segment; entries that reach `least`, and each segment's total if asked for."""
-    keys = ["lang", "prefix", "seg"]
+    """Add up the stripes of each bucket, which come sorted by bucket; entries that reach `least`, and each segment's total if asked for."""
 
-    def out(table: pa.Table):
+    def out(tables: list[pa.Table]):
+        table = added(tables)
         kept = table.filter(pc.greater_equal(table.column("n"), least)).select(["lang", "prefix", "next", "n"])
-        if totals and table.num_rows:
-            whole = table.group_by(keys).aggregate([("n", "sum")])
+        if totals:
+            whole = table.group_by(KEYS).aggregate([("n", "sum")])
             kept = pa.concat_tables([kept, pa.table({"lang": whole.column("lang"), "prefix": whole.column("prefix"), "next": pa.nulls(whole.num_rows, pa.string()), "n": whole.column("n_sum")})])
         yield from kept.rename_columns(["lang", "prefix", "next", "a"]).to_batches()
 
     def run(batches):
-        held = None
+        held, rows, bucket = [], 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            nexts, counts = batch.column("nexts"), batch.column("counts")
-            parent = pc.list_parent_indices(nexts)
-            flat = pa.table({**{k: batch.column(k).take(parent) for k in keys}, "next": nexts.flatten(), "n": counts.flatten()})
-            table = flat if held is None else pa.concat_tables([held, flat])
-            table = table.group_by([*keys, "next"]).aggregate([("n", "sum")]).rename_columns([*keys, "next", "n"])
-            last = batch.slice(batch.num_rows - 1).select(keys).to_pylist()[0]
-            open_ = pc.and_(pc.and_(pc.equal(table.column("lang"), last["lang"]), pc.equal(table.column("prefix"), last["prefix"])), pc.equal(table.column("seg"), last["seg"]))
-            yield from out(table.filter(pc.invert(open_)))
-            held = table.filter(open_)
-        if held is not None:
+            for own, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack")):
+                if held and own != bucket:
+                    yield from out(held)
+                    held, rows = [], 0
+                bucket = own
+                for given in pa.ipc.open_stream(pack.as_buffer()):
+                    parent = pc.list_parent_indices(given.column("nexts"))
+                    held.append(pa.table({**{k: given.column(k).take(parent) for k in KEYS}, "next": given.column("nexts").flatten(),
+                                          "n": given.column("counts").flatten().cast(pa.int64())}))
+                    rows += held[-1].num_rows
+                if rows > MERGE_ROWS and len(held) > 1:
+                    held = [added(held)]
+                    rows = 0  # Of what was added since the last merge.
+        if held:
             yield from out(held)
 
     return run
@@ -248,12 +275,12 @@ def frequent_phrases(documents: DataFrame, text: str = "text", lang: str = "lang
     given = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spark = documents.sparkSession
     size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    single = max(64, math.ceil(size / SEGMENT_BYTES))
+    buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
     levels, sizes, filter_ = [], None, None
-    segments = lambda lang, prefix: single
+    segments = lambda lang, prefix: buckets
     for m in range(1, longest + 1):
-        merged = given.mapInArrow(_count(m, filter_, segments), STRIPES).repartition("lang", "prefix", "seg") \
-            .sortWithinPartitions("lang", "prefix", "seg").mapInArrow(_merge(least, m == 1), PHRASES)
+        merged = given.mapInArrow(_count(m, filter_, segments, buckets), STRIPES).repartition("bucket") \
+            .sortWithinPartitions("bucket").mapInArrow(_merge(least, m == 1), PHRASES)
         merged = stored(merged, f"phrases-{m}")
         if m == 1:
             sizes = stored(merged.where("next is null").groupBy("lang").agg(F.sum("a").alias("n")), "word-counts")

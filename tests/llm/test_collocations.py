@@ -68,6 +68,8 @@ def test_collocations(spark, monkeypatch, chunk, words):
     """Whole texts, and texts cut into chunks and slices that end anywhere."""
     monkeypatch.setattr(collocations, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(collocations, "SLICE_WORDS", words)
+    monkeypatch.setattr(collocations, "MERGE_ROWS", 20)
+    monkeypatch.setattr(collocations, "LEAST_BUCKETS", 3)
     rows = given()
     found = got(table(spark, rows), least=3)
     assert found == plain(rows)
