@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,35 +67,38 @@ def changed_partitions(previous: DataFrame, current: DataFrame) -> DataFrame:
     return joined.where(~F.col("fingerprint").eqNullSafe(F.col("old_fingerprint"))).drop("old_fingerprint")
 
 
-def impacted(changed: DataFrame, lookback_weeks: int = 260, policy_on_prices: bool = False) -> DataFrame:
-    """(dataset, partition) of gold partitions to rebuild after silver changes.
+def impacted(
+    changed: DataFrame, price_links: DataFrame, reports: DataFrame, releases: DataFrame, lookback: int = 260, policy_on_prices: bool = False,
+) -> DataFrame:
+    """(dataset, partition) of the gold partitions that changed silver partitions reach, from the keys that are stored.
 
-    Prices reach their own and the next day, a release its month, a positioning
-    week itself and the look-back after it, a curve its own day.
+    A price day reaches itself and the next priced day of the keys priced there (`price_links`: dt, next_dt), which may
+    be any number of calendar days away; a report reaches itself and the next `lookback` - 1 reports of its contract
+    and group (`reports`: contract, group, report_date); releases reach every month from the earliest period
+    among them to the last ingest day (`releases`: dt, period); a curve day reaches its own day.
     """
-    key = F.col("partition")
-
-    def rule(source: str, target: str, days: Column) -> DataFrame:
-        return changed.where(F.col("dataset") == source).select(
-            F.lit(target).alias("dataset"), F.explode(days).alias("partition")
-        )
-
-    day = key.cast("date")
-    monday = S.iso_week_monday(key)
-    weeks = F.sequence(monday, F.date_add(monday, (lookback_weeks - 1) * 7), F.expr("interval 7 days"))
+    def of(source: str) -> DataFrame:
+        return changed.where(F.col("dataset") == source).select("partition").distinct()
+
+    def found(target: str, keys: DataFrame) -> DataFrame:
+        return keys.select(F.lit(target).alias("dataset"), F.col("partition").cast("string").alias("partition"))
+
+    links = price_links.join(of("silver.market_prices").select(F.col("partition").cast("date").alias("dt")), "dt", "left_semi")
+    frame = Window.partitionBy("contract", "group").orderBy("report_date").rowsBetween(-(lookback - 1), 0)
+    weekly = reports.withColumn("partition", S.iso_week_key(F.col("report_date"))).join(
+        of("silver.cot_weekly").withColumn("hit", F.lit(True)), "partition", "left").withColumn("reached", F.max("hit").over(frame))
+    span = releases.join(of("silver.macro_releases").select(F.col("partition").cast("date").alias("dt")), "dt", "left_semi").agg(
+        F.min("period").alias("first"), F.max("dt").alias("last")).where("first is not null")
+    months = span.select(F.explode(months_between(F.least("first", "last"), F.col("last"))).alias("month_end"))
     rules = [
-        rule("silver.market_prices", "gold.returns_daily",
-             F.array(S.day_key(day), S.day_key(F.date_add(day, 1)))),
-        rule("silver.macro_releases", "gold.macro_asof_monthly", F.array(S.month_key(day))),
-        rule("silver.cot_weekly", "gold.cot_z_weekly", F.transform(weeks, S.iso_week_key)),
-        rule("silver.policy_curve", "gold.policy_features", F.array(S.day_key(day))),
+        found("gold.returns_daily", links.select(F.explode(F.array("dt", "next_dt")).alias("partition")).where("partition is not null")),
+        found("gold.cot_z_weekly", weekly.where("reached")),
+        found("gold.macro_asof_monthly", months.select(S.month_key(F.col("month_end")).alias("partition"))),
+        found("gold.policy_features", of("silver.policy_curve")),
     ]
     if policy_on_prices:
-        rules.append(rule("silver.market_prices", "gold.policy_features", F.array(S.day_key(day))))
-    out = rules[0]
-    for part in rules[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+        rules.append(found("gold.policy_features", of("silver.market_prices")))
+    return reduce(DataFrame.unionByName, rules).distinct()
 
 
 def months_between(first: Column, last: Column) -> Column:
@@ -115,12 +119,3 @@ def next_start(latest: Column, kind: str) -> Column:
 def releases_start(latest: Column, default: str = "2010-01-01") -> Column:
     """One month before the latest release partition, to catch revisions."""
     return F.coalesce(F.add_months(latest.cast("date"), -1), F.lit(default).cast("date"))
-
-
-def new_returns(prices: DataFrame, changed_days: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Days whose returns depend on a changed day: the day itself and each key's next priced day."""
-    before = F.lag("dt").over(Window.partitionBy(*key).orderBy("dt"))
-    linked = prices.select(*key, "dt").withColumn("before", before)
-    direct = linked.join(changed_days, "dt", "left_semi").select("dt")
-    after = linked.join(changed_days.withColumnRenamed("dt", "before"), "before", "left_semi").select("dt")
-    return direct.unionByName(after).distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import scalars as S
 from panelloom.operators import incremental as I
 from panelloom.operators import normalize as N
-from panelloom.operators.returns import simple_returns
+from panelloom.operators.returns import by_date, simple_returns
 from panelloom.plans import jobs
 from panelloom.plans.catalog.alignment import KNOWN, AS_REPORTED, POLICY
 from panelloom.plans.registry import query
@@ -265,22 +265,29 @@ def j13(t):
     return I.changed_partitions(old, snapshot(month_rows(t, True))).select("partition", "fingerprint", "row_count")
 
 
-@query("i4_impact_map", """
-WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 490000)
-SELECT 'gold.returns_daily' AS dataset, strftime(d, '%Y-%m-%d') AS partition FROM days
-UNION SELECT 'gold.returns_daily', strftime(d + 1, '%Y-%m-%d') FROM days
+@query("i4_impact_map", with_(VENDOR_PRICES, POSITIONS, RELEASES) + """,
+days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 490000),
+hit AS (SELECT * FROM (SELECT dt, lead(dt) OVER (PARTITION BY vendor, instrument ORDER BY dt) AS next_dt FROM vendor_prices) WHERE dt IN (SELECT d FROM days)),
+reports AS (SELECT report_date, max(CASE WHEN strftime(report_date, '%G-%V') IN (SELECT strftime(d, '%G-%V') FROM days) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY contract, grp ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS reached FROM positions),
+span AS (SELECT min(period) AS a, max(dt_ingest) AS b FROM releases WHERE dt_ingest IN (SELECT last_day(d) FROM days))
+SELECT 'gold.returns_daily' AS dataset, strftime(dt, '%Y-%m-%d') AS partition FROM hit
+UNION SELECT 'gold.returns_daily', strftime(next_dt, '%Y-%m-%d') FROM hit WHERE next_dt IS NOT NULL
 UNION SELECT 'gold.policy_features', strftime(d, '%Y-%m-%d') FROM days
-UNION SELECT 'gold.macro_asof_monthly', strftime(d, '%Y-%m') FROM days
-UNION SELECT 'gold.cot_z_weekly', strftime(d + CAST(i * 7 AS INTEGER), '%G-%V') FROM days, range(0, 260) x(i)""")
+UNION SELECT 'gold.macro_asof_monthly', strftime(m, '%Y-%m') FROM span, generate_series(date_trunc('month', least(a, b)), date_trunc('month', b), INTERVAL 1 MONTH) g(m)
+UNION SELECT 'gold.cot_z_weekly', strftime(report_date, '%G-%V') FROM reports WHERE reached = 1""")
 def i4(t):
+    """Partitions reached by changed days, from the price days, reports and releases that are stored."""
     day = F.col("o_orderdate").cast("date")
-    hit = t.orders.where(F.col("o_totalprice") > 490000).select(S.day_key(day).alias("day"), S.iso_week_key(day).alias("week")).distinct()
-    rows = F.array(
-        *[F.struct(F.lit(f"silver.{n}").alias("dataset"), F.col("day").alias("partition")) for n in ("market_prices", "macro_releases", "policy_curve")],
-        F.struct(F.lit("silver.cot_weekly").alias("dataset"), F.col("week").alias("partition")),
-    )
-    changed = hit.select(F.inline(rows)).distinct()
-    return I.impacted(changed, 260, policy_on_prices=True)
+    hit = t.orders.where(F.col("o_totalprice") > 490000).select(
+        S.day_key(day).alias("day"), S.iso_week_key(day).alias("week"), S.day_key(F.last_day(day)).alias("month_end")).distinct()
+    source = lambda name, key: F.struct(F.lit(f"silver.{name}").alias("dataset"), F.col(key).alias("partition"))
+    changed = hit.select(F.inline(F.array(
+        source("market_prices", "day"), source("policy_curve", "day"), source("macro_releases", "month_end"), source("cot_weekly", "week")))).distinct()
+    links = panels.vendor_prices(t).select("dt", F.lead("dt").over(by_date(["vendor", "instrument"])).alias("next_dt"))
+    reports = panels.weekly_positions(t).withColumnRenamed("grp", "group")
+    releases = panels.releases(t).select(F.col("dt_ingest").alias("dt"), "period")
+    return I.impacted(changed, links, reports, releases, 4)
 
 
 # --- jobs: two staged runs must equal one computation over everything -----------------

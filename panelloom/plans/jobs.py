@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import scalars as S
 from panelloom.operators import asof, curve, features, incremental, normalize, positioning, quality, returns
+from panelloom.plans import state
 from panelloom.schemas import dataset
 from panelloom.session import stored
 from panelloom.sources.lake import Lake, path_exists
@@ -37,6 +38,10 @@ class Versions:
             return spark.createDataFrame([], incremental.VERSION_SCHEMA)
         return spark.read.schema(incremental.VERSION_SCHEMA).parquet(self.path)
 
+    def latest(self, name: str, level: str = "silver") -> int:
+        """When the dataset was last recorded; 0 if never."""
+        return self.log().where(F.col("dataset") == f"{level}.{name}").agg(F.max("written_at")).first()[0] or 0
+
     def record(self, name: str, level: str, keys: DataFrame | None = None) -> DataFrame:
         """Fingerprint the given (or all) partitions, log them, return the changed ones."""
         spec = dataset(name)
@@ -91,23 +96,20 @@ def landed(lake: Lake, source: str, frame: DataFrame, run_date: str, batch: str
 # --- gold builders --------------------------------------------------------------------
 
 
-def gold_returns(lake: Lake, days: DataFrame | None = None) -> DataFrame:
+def gold_returns(lake: Lake) -> DataFrame:
     """Returns of the first vendor (by name) per instrument and day, over its own history."""
     prices = lake.scan("market_prices", "silver").select("vendor", "instrument", "dt", "px_last")
     rows = returns.simple_returns(prices, ["instrument", "vendor"], "px_last")
-    if days is not None:
-        rows = rows.join(days, "dt", "left_semi")
     best = F.min_by(F.struct("ret", "px_t", "px_t_1"), "vendor")
     return rows.groupBy("dt", "instrument").agg(best.alias("r")).select(
         "dt", "instrument", F.col("r.ret").alias("return"), "r.px_t", "r.px_t_1"
     )
 
 
-def gold_positions(lake: Lake, first_week: str | None = None, lookback: int = LOOKBACK_WEEKS) -> DataFrame:
-    scored = positioning.zscores(
+def gold_positions(lake: Lake, lookback: int = LOOKBACK_WEEKS) -> DataFrame:
+    return positioning.zscores(
         lake.scan("cot_weekly", "silver").select("contract", "group", "report_date", "net_pos"), lookback
     )
-    return scored.where(F.col("week") >= first_week) if first_week else scored
 
 
 def gold_macro(lake: Lake, months: DataFrame, lags: dict[str, str] | None = None) -> DataFrame:
@@ -119,25 +121,31 @@ def gold_macro(lake: Lake, months: DataFrame, lags: dict[str, str] | None = None
 
 
 def gold_policy(lake: Lake, days: DataFrame | None = None) -> DataFrame:
-    rows = lake.scan("policy_curve", "silver")
-    if days is not None:
-        rows = rows.join(days, "dt", "left_semi")
-    return curve.policy_features(rows)
+    return curve.policy_features(lake.scan("policy_curve", "silver") if days is None else lake.read_keys("policy_curve", days, "silver"))
 
 
 # --- update jobs ----------------------------------------------------------------------
 
 
+def partition_list(changed: DataFrame) -> list[str]:
+    """Names of changed partitions: at most one per stored folder."""
+    return sorted(r["partition"] for r in changed.select("partition").distinct().collect())
+
+
 def update_prices(lake: Lake, canonical: DataFrame, run_date: str) -> DataFrame:
-    """Upsert prices; rebuild the returns of changed days and of each next priced day."""
-    started = now()
+    """Upsert prices; rebuild the returns of changed days and of each next priced day.
+
+    The state before the update links new days to the last prices, so that no history is read for them.
+    """
+    started, versions, last = now(), Versions(lake), state.LastPrices(lake)
+    before = last.at(versions.latest("market_prices"))
     canonical = landed(lake, "prices", canonical, run_date)
     changed = silver_upsert(lake, "market_prices", canonical)
-    days = changed.select(F.col("partition").cast("date").alias("dt"))
-    history = lake.scan("market_prices", "silver")
-    reach = incremental.new_returns(history, days, ["instrument", "vendor"])
-    write_gold(lake, "returns_daily", gold_returns(lake, reach))
-    rebuilt = Versions(lake).record("returns_daily", "gold", reach)
+    days = [dt.date.fromisoformat(d) for d in partition_list(changed)]
+    rows, reached, _ = state.reached_returns(lake, before, days)
+    lake.swap("returns_daily", reached, rows, "gold")
+    rebuilt = versions.record("returns_daily", "gold", reached.select("dt"))
+    last.advance(before, state.price_rows(lake, days), versions.latest("market_prices"))
     record_run(lake, "update_prices", run_date, started, "prices", changed.unionByName(rebuilt))
     return rebuilt
 
@@ -161,17 +169,21 @@ def update_macro(lake: Lake, canonical: DataFrame, run_date: str, lags: dict[str
 
 
 def update_positions(lake: Lake, canonical: DataFrame, run_date: str, lookback: int = LOOKBACK_WEEKS) -> DataFrame:
-    """Upsert reports; rebuild z-scores from the first changed week on."""
-    started = now()
+    """Upsert reports; rebuild the z-scores of the reports that a changed one reaches.
+
+    Reports before the first changed week come from the kept ring of each contract and group, so only later weeks are read.
+    """
+    started, versions = now(), Versions(lake)
     canonical = landed(lake, "cot", canonical, run_date)
     changed = silver_upsert(lake, "cot_weekly", canonical)
-    first = changed.agg(F.min("partition")).first()[0]
-    if first is None:
+    weeks = partition_list(changed)
+    if not weeks:
         record_run(lake, "update_positions", run_date, started, "cot", changed)
         return changed
-    rows = gold_positions(lake, first, lookback)
-    write_gold(lake, "cot_z_weekly", rows)
-    rebuilt = Versions(lake).record("cot_z_weekly", "gold", keys_of(rows.select("week"), "cot_z_weekly"))
+    scored, reports = state.scored_reports(lake, versions.log(), weeks, lookback)
+    lake.upsert("cot_z_weekly", scored, "gold")
+    rebuilt = versions.record("cot_z_weekly", "gold", scored.select("week"))
+    state.keep_rings(lake, reports, weeks, lookback, versions.latest("cot_weekly"))
     record_run(lake, "update_positions", run_date, started, "cot", changed.unionByName(rebuilt))
     return rebuilt
 
@@ -204,36 +216,61 @@ def rebuild(lake: Lake, since: int | None = None, lags: dict[str, str] | None =
           ("market_prices", "macro_releases", "cot_weekly", "policy_curve")}
     done = []
 
-    def rewrite(name: str, rows: DataFrame, keys: DataFrame | None) -> None:
-        write_gold(lake, name, rows)
-        done.append(versions.record(name, "gold", None if since is None else keys))
-        every = lake.scan(name, "gold") if since is None else keys
-        key = dataset(name).partition
-        touched.append(every.select(F.lit(f"gold.{name}").alias("dataset"), F.col(key).cast("string").alias("partition")).distinct())
+    def recorded(name: str, keys: DataFrame | None) -> None:
+        done.append(versions.record(name, "gold", keys))
+
+    if since is None:
+        for name, build in (("returns_daily", gold_returns), ("cot_z_weekly", gold_positions), ("policy_features", gold_policy)):
+            if not by[SOURCES[name]].isEmpty():
+                write_gold(lake, name, build(lake))
+                recorded(name, None)
+        if not by["macro_releases"].isEmpty():
+            span = lake.scan("macro_releases", "silver").agg(F.min("period").alias("first"), F.max("dt").alias("last"))
+            write_gold(lake, "macro_asof_monthly", gold_macro(lake, stored(span.select(
+                F.explode(incremental.months_between(F.least("first", "last"), F.col("last"))).alias("month_end")), "months"), lags))
+            recorded("macro_asof_monthly", None)
+        every = [lake.partitions(name, "gold").select(F.lit(f"gold.{name}").alias("dataset"), F.col("key").alias("partition"))
+                 for name, source in SOURCES.items() if not by[source].isEmpty()]
+        reached = reduce(DataFrame.unionByName, every, lake.spark.createDataFrame([], "dataset string, partition string"))
+    else:
+        reached = _rebuild_reached(lake, versions, changed, by, lags, recorded)
+    lineage = reduce(DataFrame.unionByName, done, changed)
+    record_run(lake, "rebuild", started[:10], started, "silver", lineage)
+    return reached
+
+
+# Gold datasets and the silver ones they are built from.
+SOURCES = {"returns_daily": "market_prices", "macro_asof_monthly": "macro_releases", "cot_z_weekly": "cot_weekly", "policy_features": "policy_curve"}
+
 
-    touched: list[DataFrame] = []
-    if not by["market_prices"].isEmpty():
-        days = by["market_prices"].select(F.col("partition").cast("date").alias("dt"))
-        reach = stored(incremental.new_returns(lake.scan("market_prices", "silver"), days, ["instrument", "vendor"]), "reach")
-        rewrite("returns_daily", gold_returns(lake, None if since is None else reach), reach)
+def _rebuild_reached(lake: Lake, versions: Versions, changed: DataFrame, by: dict[str, DataFrame], lags, recorded) -> DataFrame:
+    """Rewrite the partitions of the impact map of `changed`, and return the map."""
+    days = [dt.date.fromisoformat(d) for d in partition_list(by["market_prices"])]
+    weeks = partition_list(by["cot_weekly"])
+    last = state.LastPrices(lake).at(versions.latest("market_prices"))
+    rows, targets, links = state.reached_returns(lake, last, days)
+    scored, reports = state.scored_reports(lake, versions.log(), weeks, LOOKBACK_WEEKS) if weeks else (None, lake.scan("cot_weekly", "silver").limit(0))
+    ingested = by["macro_releases"].select(F.col("partition").cast("date").alias("dt"))
+    reached = stored(incremental.impacted(changed, links, reports, lake.read_keys("macro_releases", ingested, "silver"), LOOKBACK_WEEKS), "impact-map")
+
+    def keys(name: str) -> DataFrame:
+        key = dataset(name).partition
+        return reached.where(F.col("dataset") == f"gold.{name}").select(F.col("partition").cast("date" if key == "dt" else "string").alias(key))
+
+    if days:
+        lake.swap("returns_daily", targets, rows, "gold")
+        recorded("returns_daily", keys("returns_daily"))
+    if weeks:
+        lake.upsert("cot_z_weekly", scored, "gold")
+        recorded("cot_z_weekly", keys("cot_z_weekly"))
     if not by["macro_releases"].isEmpty():
-        keys = by["macro_releases"].select(F.col("partition").cast("date").alias("dt"))
-        span = lake.read_keys("macro_releases", keys, "silver").agg(
-            F.min("period").alias("first"), F.max("dt").alias("last")
-        )
-        months = stored(span.select(F.explode(incremental.months_between(F.col("first"), F.col("last"))).alias("month_end")), "months")
-        rewrite("macro_asof_monthly", gold_macro(lake, months, lags), months.select(S.month_key(F.col("month_end")).alias("month")))
-    first = by["cot_weekly"].agg(F.min("partition")).first()[0]
-    if first is not None:
-        rows = stored(gold_positions(lake, None if since is None else first), "positions")
-        rewrite("cot_z_weekly", rows, keys_of(rows, "cot_z_weekly"))
+        months = keys("macro_asof_monthly").select(F.last_day(F.concat("month", F.lit("-01")).cast("date")).alias("month_end"))
+        write_gold(lake, "macro_asof_monthly", gold_macro(lake, months, lags))
+        recorded("macro_asof_monthly", keys("macro_asof_monthly"))
     if not by["policy_curve"].isEmpty():
-        days = by["policy_curve"].select(F.col("partition").cast("date").alias("dt"))
-        rewrite("policy_features", gold_policy(lake, None if since is None else days), days)
-    lineage = reduce(DataFrame.unionByName, done, changed)
-    record_run(lake, "rebuild", started[:10], started, "silver", lineage)
-    empty = lake.spark.createDataFrame([], "dataset string, partition string")
-    return reduce(DataFrame.unionByName, touched, empty)
+        write_gold(lake, "policy_features", gold_policy(lake, keys("policy_features")))
+        recorded("policy_features", keys("policy_features"))
+    return reached
 
 
 # --- generic update and backfill ------------------------------------------------------

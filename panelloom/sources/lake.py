@@ -155,14 +155,17 @@ class Lake:
         return label
 
     def read_keys(self, name: str, keys: DataFrame | Sequence, level: str | None = None) -> DataFrame:
-        """Rows of the given partitions; keys without data are ignored.
-
-        A list prunes statically; a frame of keys prunes at run time.
-        """
+        """Rows of the given partitions; keys without data are ignored and no other partition is read."""
         spec, frame = dataset(name), self.scan(name, level)
         if isinstance(keys, DataFrame):
-            return frame.join(keys.select(spec.partition).distinct(), spec.partition, "left_semi")
-        return frame.where(F.col(spec.partition).isin(list(keys)))
+            keys = self.stored_keys(name, keys, level)
+        typed = [dt.date.fromisoformat(k) if spec.partition == "dt" and isinstance(k, str) else k for k in keys]
+        return frame.where(F.col(spec.partition).isin(typed))
+
+    def stored_keys(self, name: str, keys: DataFrame, level: str | None = None) -> list[str]:
+        """Those of the keys that have a partition: at most one name per folder, which the driver lists anyhow."""
+        asked = keys.select(F.col(dataset(name).partition).cast("string").alias("key")).distinct()
+        return sorted(r["key"] for r in self.partitions(name, level).join(asked, "key", "left_semi").select("key").collect())
 
     # --- writing ----------------------------------------------------------------------
 
@@ -192,14 +195,26 @@ class Lake:
                 .parquet(self.path(name, level))
             )
 
+    def swap(self, name: str, reached: DataFrame, rows: DataFrame, level: str | None = None) -> None:
+        """Swap the rows of the reached keys for `rows`; a reached key without a row goes. `reached` has the partition
+        column and other columns of the dataset. Other rows of the touched partitions stay as they are."""
+        spec = dataset(name)
+        new = stored(self._prepared(spec, rows), f"swapped-{name}")
+        held = self.read_keys(name, reached, level).join(reached, reached.columns, "left_anti")
+        out = stored(held.select(*new.columns).unionByName(new), f"merged-{name}")
+        self.replace(name, out, level)
+        emptied = set(self.stored_keys(name, reached, level)) - {str(r[0]) for r in out.select(spec.partition).distinct().collect()}
+        fs, where = file_system(self.spark, self.path(name, level))
+        for key in emptied:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(where, f"{spec.partition}={key}"), True)
+
     def merged(self, name: str, frame: DataFrame, level: str | None = None) -> DataFrame:
         """Touched partitions after an upsert: old rows without a new version, plus the new."""
         spec = dataset(name)
         new = self._prepared(spec, frame)
         if not path_exists(self.spark, self.path(name, level)):
             return new
-        touched = new.select(spec.partition).distinct()
-        old = self.scan(name, level).join(touched, spec.partition, "left_semi")
+        old = self.read_keys(name, new.select(spec.partition), level)
         kept = old.join(new.select(*spec.primary_key), list(spec.primary_key), "left_anti")
         return kept.unionByName(new, allowMissingColumns=True)
 

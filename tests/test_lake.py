@@ -99,13 +99,19 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
 
 def test_impact_map(spark):
     changed = spark.createDataFrame(
-        [("silver.market_prices", "2026-01-31"), ("silver.macro_releases", "2026-02-10"),
+        [("silver.market_prices", "2026-01-30"), ("silver.macro_releases", "2026-02-10"),
          ("silver.cot_weekly", "2024-52"), ("silver.policy_curve", "2026-01-05")], "dataset string, partition string")
-    got = {(r["dataset"], r["partition"]) for r in I.impacted(changed, 3).collect()}
+    links = spark.createDataFrame([(D(2026, 1, 30), D(2026, 2, 2)), (D(2026, 1, 30), D(2026, 3, 5)), (D(2026, 1, 29), D(2026, 1, 30)), (D(2026, 1, 30), None)], "dt date, next_dt date")
+    # Two contracts: one reports every week, one leaves three weeks out.
+    reports = spark.createDataFrame(
+        [("a", "g", D(2024, 12, 24) + dt.timedelta(days=7 * i)) for i in range(-2, 6)] + [("b", "g", D(2024, 12, 24)), ("b", "g", D(2025, 1, 21)), ("b", "g", D(2025, 1, 28)), ("b", "g", D(2025, 2, 4))],
+        "contract string, group string, report_date date")
+    releases = spark.createDataFrame([(D(2026, 2, 10), D(2025, 12, 31)), (D(2026, 1, 10), D(2025, 1, 31))], "dt date, period date")
+    got = {(r["dataset"], r["partition"]) for r in I.impacted(changed, links, reports, releases, 3).collect()}
     assert got == {
-        ("gold.returns_daily", "2026-01-31"), ("gold.returns_daily", "2026-02-01"), ("gold.macro_asof_monthly", "2026-02"),
-        ("gold.cot_z_weekly", "2024-52"), ("gold.cot_z_weekly", "2025-01"), ("gold.cot_z_weekly", "2025-02"),
-        ("gold.policy_features", "2026-01-05"),
+        ("gold.returns_daily", "2026-01-30"), ("gold.returns_daily", "2026-02-02"), ("gold.returns_daily", "2026-03-05"),
+        *[("gold.macro_asof_monthly", m) for m in ("2025-12", "2026-01", "2026-02")],
+        *[("gold.cot_z_weekly", w) for w in ("2024-52", "2025-01", "2025-02", "2025-04", "2025-05")], ("gold.policy_features", "2026-01-05"),
     }
 
 
