@@ -142,10 +142,10 @@ def update_prices(lake: Lake, canonical: DataFrame, run_date: str) -> DataFrame:
     canonical = landed(lake, "prices", canonical, run_date)
     changed = silver_upsert(lake, "market_prices", canonical)
     days = [dt.date.fromisoformat(d) for d in partition_list(changed)]
-    rows, reached, _ = state.reached_returns(lake, before, days)
+    rows, reached, links = state.reached_returns(lake, before, days)
     lake.swap("returns_daily", reached, rows, "gold")
     rebuilt = versions.record("returns_daily", "gold", reached.select("dt"))
-    last.advance(before, state.price_rows(lake, days), versions.latest("market_prices"))
+    last.advance(before, links, versions.latest("market_prices"))
     record_run(lake, "update_prices", run_date, started, "prices", changed.unionByName(rebuilt))
     return rebuilt
 

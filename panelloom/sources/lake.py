@@ -155,17 +155,39 @@ class Lake:
         return label
 
     def read_keys(self, name: str, keys: DataFrame | Sequence, level: str | None = None) -> DataFrame:
-        """Rows of the given partitions; keys without data are ignored and no other partition is read."""
-        spec, frame = dataset(name), self.scan(name, level)
+        """Rows of the given partitions; keys without data are ignored and no other partition is read.
+
+        Unless most partitions are asked for, the others' folders are not even listed.
+        """
+        spec, path = dataset(name), self.path(name, level)
         if isinstance(keys, DataFrame):
             keys = self.stored_keys(name, keys, level)
-        typed = [dt.date.fromisoformat(k) if spec.partition == "dt" and isinstance(k, str) else k for k in keys]
-        return frame.where(F.col(spec.partition).isin(typed))
+        keys = {str(k) for k in keys}
+        held = self.folders(name, level)
+        asked = sorted(k for k in keys if k in held)
+        if 2 * len(asked) > len(held) or spec.open_schema:
+            typed = [dt.date.fromisoformat(k) if spec.partition == "dt" else k for k in asked]
+            return self.scan(name, level).where(F.col(spec.partition).isin(typed))
+        schema = self._schema(spec, path)
+        if not asked:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{spec.partition}={k}" for k in asked])
+
+    def folders(self, name: str, level: str | None = None) -> set[str]:
+        """Keys of the stored partitions, from one listing of folder names."""
+        path = self.path(name, level)
+        if not path_exists(self.spark, path):
+            return set()
+        fs, where = file_system(self.spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+        return {n.split("=", 1)[1] for n in names if "=" in n}
 
     def stored_keys(self, name: str, keys: DataFrame, level: str | None = None) -> list[str]:
         """Those of the keys that have a partition: at most one name per folder, which the driver lists anyhow."""
+        held = self.folders(name, level)
         asked = keys.select(F.col(dataset(name).partition).cast("string").alias("key")).distinct()
-        return sorted(r["key"] for r in self.partitions(name, level).join(asked, "key", "left_semi").select("key").collect())
+        known = self.spark.createDataFrame([(k,) for k in held], "key string")
+        return sorted(r["key"] for r in asked.join(known, "key", "left_semi").collect()) if held else []
 
     # --- writing ----------------------------------------------------------------------
 
