@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.session import stored
+
+
+def smallest_digests(rows: DataFrame, row_id: str, k: int, restarts: int, seed: int, spans: dict | None) -> DataFrame:
+    """(grp, restart, draw, row_id): each task's k smallest digests per group and restart; ids travel, vectors don't.
+
+    A row belongs to its group `grp`, or to every span that holds its calendar position `i`.
+    """
+    place = "grp" if spans is None else "i"
+
+    def keep(batches):
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            ids, at = batch.column("row_id").to_pylist(), np.asarray(batch.column(place))
+            if not ids:
+                continue
+            members = {int(g): np.flatnonzero(at == g) for g in np.unique(at)} if spans is None else {
+                g: np.flatnonzero((at >= s.lo) & (at < s.hi)) for g, s in spans.items()}
+            for r in range(restarts):
+                digest = [hashlib.md5(f"{r + seed}:{i}".encode()).hexdigest() for i in ids]
+                rank = np.array([int(x[:16], 16) for x in digest], np.uint64)
+                for g, own in members.items():
+                    if len(own) > k:
+                        own = own[rank[own] <= np.partition(rank[own], k - 1)[k - 1]]
+                    best = held.get((g, r), []) + [(digest[i], ids[i]) for i in own]
+                    held[g, r] = sorted(best)[:k]
+        found = [(g, r, draw, i) for (g, r), best in held.items() for draw, i in best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[n] for f in found], kind) for n, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))],
+            names=["grp", "restart", "draw", "row_id"])
 
-def starting_rows(rows: DataFrame, row_id: str, x: str, k: int, restarts: int, seed: int = 42) -> dict[int, np.ndarray]:
-    """(group, restart, k, d) array: per restart the k rows with the smallest digest.
+    return rows.select(place, F.col(row_id).cast("string").alias("row_id")).mapInArrow(keep, "grp int, restart int, draw string, row_id string")
 
-    The ranking is cut to k rows inside every input partition before it is
-    shuffled, so only partitions x restarts x k rows move.
+
+def starting_rows(rows: DataFrame, row_id: str, x: str, k: int, restarts: int, seed: int = 42, spans: dict | None = None) -> dict[int, np.ndarray]:
+    """(group, restart, k, d) array: per restart the k rows with the smallest digest; row ids are unique within a group.
+
+    Tasks return their smallest digests with ids; the vectors of the chosen ids are looked up by one join with
+    that parameter-sized table. With `spans` the groups are windows of the calendar position `i`.
     """
-    tries = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))
-    drawn = rows.select("grp", row_id, x, tries.alias("restart")).withColumn(
-        "draw", F.md5(F.concat((F.col("restart") + seed).cast("string"), F.lit(":"), F.col(row_id).cast("string")))
-    )
-    order = Window.partitionBy("grp", "restart").orderBy("draw", row_id)
-    picked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    order = Window.partitionBy("grp", "restart").orderBy("draw", "row_id")
+    picked = smallest_digests(rows, row_id, k, restarts, seed, spans).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    picked = stored(picked.select("grp", "restart", "k", "row_id"), "starting-rows")
+    named = rows.select(*([] if spans else ["grp"]), F.col(row_id).cast("string").alias("row_id"), F.col(x).alias("x"))
+    found = named.join(picked, ["row_id"] if spans else ["grp", "row_id"])
     out: dict[int, dict[int, list]] = {}
-    for row in picked.orderBy("grp", "restart", "k").select("grp", "restart", x).collect():
-        out.setdefault(row["grp"], {}).setdefault(row["restart"], []).append(row[x])
+    for row in found.orderBy("grp", "restart", "k").select("grp", "restart", "x").collect():
+        out.setdefault(row["grp"], {}).setdefault(row["restart"], []).append(row["x"])
     short = [(g, r) for g, byr in out.items() for r, means in byr.items() if len(means) < k]
     if short or not out:
         raise ValueError(f"fewer than {k} rows to start from")
@@ -34,11 +69,24 @@ def spread(rows: DataFrame, x: str, d: int) -> dict[int, np.ndarray]:
     return {row["grp"]: np.array([row[f"v{i}"] for i in range(d)], dtype=float) for row in stats.collect()}
 
 
-def sum_slots(partial: DataFrame, size: int) -> dict[int, np.ndarray]:
-    """Add partial statistics (grp, slot, value) and bring the parameter-sized sums home."""
+# Partial sums of up to this many values (16 MB) are added up on the driver instead of being shuffled.
+MOST_PARTIAL = 1 << 20
+
+
+def sum_slots(partial: DataFrame, size: int, values: int | None = None) -> dict[int, np.ndarray]:
+    """Add partial statistics (grp, slot, value) and bring the parameter-sized sums home.
+
+    `values` bounds how many there can be: tasks times parameters. A small number saves each pass its shuffle.
+    """
+    if values is None or values > MOST_PARTIAL:
+        partial = partial.groupBy("grp", "slot").agg(F.sum("value").alias("value"))
+    found = partial.toArrow()
+    grp, slot, value = (found.column(c).to_numpy() for c in ("grp", "slot", "value"))
     out: dict[int, np.ndarray] = {}
-    for row in partial.groupBy("grp", "slot").agg(F.sum("value").alias("value")).collect():
-        out.setdefault(row["grp"], np.zeros(size))[row["slot"]] = row["value"]
+    for g in np.unique(grp):
+        own = grp == g
+        out[int(g)] = np.zeros(size)
+        np.add.at(out[int(g)], slot[own], value[own])
     return out
 
 

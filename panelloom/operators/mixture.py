@@ -56,7 +56,23 @@ def row_log_sum(a: np.ndarray) -> np.ndarray:
     return (peak + np.log(np.exp(a - peak).sum(axis=-1, keepdims=True)))[..., 0]
 
 
-def expectation(rows: DataFrame, x: str, params: dict, k: int, d: int) -> DataFrame:
+def members(pdf: pd.DataFrame, x: str, params: dict, spans: dict | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, values) of the rows of each group, or of each span that holds their calendar position, scaled as it asks."""
+    if not len(pdf):
+        return
+    data = np.stack(pdf[x].to_numpy()).astype(float)
+    if spans is None:
+        grp = pdf["grp"].to_numpy()
+        yield from ((int(g), data[grp == g]) for g in np.unique(grp) if g in params)
+        return
+    at = pdf["i"].to_numpy()
+    for g in params:
+        part = data[(at >= spans[g].lo) & (at < spans[g].hi)]
+        if len(part):
+            yield g, spans[g].scaled(part)
+
+
+def expectation(rows: DataFrame, x: str, params: dict, k: int, d: int, spans: dict | None = None) -> DataFrame:
     """Partial sums per partition: weight, first and centred second moments, likelihood.
 
     `params` maps group -> restart -> (weights, means, variances); its size is
@@ -64,13 +80,12 @@ def expectation(rows: DataFrame, x: str, params: dict, k: int, d: int) -> DataFr
     """
     width = 2 * d + 1
     stride = k * width + 2
-    columns = ["grp", x]
+    columns = ["grp" if spans is None else "i", x]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, dict[int, np.ndarray]] = {}
         for pdf in batches:
-            for grp, part in pdf.groupby("grp", sort=False):
-                data = np.stack(part[x].to_numpy()).astype(float)
+            for grp, data in members(pdf, x, params, spans):
                 for restart, (weights, means, variances) in params[grp].items():
                     joint = row_log_density(data, means, variances) + np.log(weights)[None]
                     total = row_log_sum(joint)
@@ -106,14 +121,23 @@ def with_group(rows: DataFrame, group: str | None) -> DataFrame:
 
 def fit_groups(
     rows: DataFrame, row_id: str, x: str, k: int = 4, restarts: int = 10, iterations: int = 500,
-    tol: float = 1e-3, reg: float = 1e-6, seed: int = 42, group: str | None = None,
+    tol: float = 1e-3, reg: float = 1e-6, seed: int = 42, group: str | None = None, spans: dict | None = None,
 ) -> dict[int, Mixture]:
-    """Best of `restarts` fits for every group; stops per restart on the mean likelihood."""
-    data = with_group(rows, group).select("grp", row_id, x).persist(StorageLevel.MEMORY_AND_DISK)
+    """Best of `restarts` fits for every group; stops per restart on the mean likelihood.
+
+    With `spans` the groups are windows of the calendar position `i`, scaled each by its own statistics; no row is copied.
+    """
+    data = (with_group(rows, group).select("grp", row_id, x) if spans is None else rows.select("i", row_id, x)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         d = data.select(F.size(x)).first()[0]
-        starts = starting_rows(data, row_id, x, k, restarts, seed)
-        var = spread(data, x, d)
+        starts = starting_rows(data, row_id, x, k, restarts, seed, spans)
+        if spans is None:
+            var = spread(data, x, d)
+        else:
+            from panelloom.operators.windowed import moments
+
+            starts = {g: spans[g].scaled(v) for g, v in starts.items()}
+            var = {g: s * s * (max(n - 1, 0) / max(n, 1)) for g, (n, _, s) in moments(data.withColumnRenamed(x, "x"), spans, d).items()}
         params = {
             g: {
                 r: (np.full(k, 1 / k), starts[g][r], np.tile(var[g] + reg, (k, 1)))
@@ -121,14 +145,14 @@ def fit_groups(
             }
             for g in starts
         }
-        stride = k * (2 * d + 1) + 2
+        stride, tasks = k * (2 * d + 1) + 2, data.rdd.getNumPartitions()
         active = {g: dict(by) for g, by in params.items()}
         seen: dict[tuple[int, int], float] = {}
         done: dict[tuple[int, int], int] = {}
         for step in range(iterations):
             # Finished groups (folds) need no further pass.
-            open_rows = data if len(active) == len(params) else data.where(F.col("grp").isin(list(active)))
-            sums = sum_slots(expectation(open_rows, x, active, k, d), restarts * stride)
+            open_rows = data if spans or len(active) == len(params) else data.where(F.col("grp").isin(list(active)))
+            sums = sum_slots(expectation(open_rows, x, active, k, d, spans), restarts * stride, tasks * stride * sum(len(by) for by in active.values()))
             for g in list(active):
                 for r in list(active[g]):
                     held = sums[g][r * stride : (r + 1) * stride]
@@ -144,7 +168,7 @@ def fit_groups(
                     del active[g]
             if not active:
                 break
-        final = sum_slots(expectation(data, x, params, k, d), restarts * stride)
+        final = sum_slots(expectation(data, x, params, k, d, spans), restarts * stride, tasks * stride * restarts * len(params))
     finally:
         data.unpersist()
     best = {}
@@ -174,6 +198,23 @@ def posterior(x: Column, model: Mixture) -> Column:
     return softmax(joint)
 
 
+def posterior_of(x: Column, log_weights: Column, means: Column, variances: Column) -> Column:
+    """As `posterior`, with the parameters in array columns of the row."""
+    constant = F.lit(math.log(2 * math.pi))
+
+    def log_density(mean: Column, variance: Column) -> Column:
+        terms = F.zip_with(F.zip_with(x, mean, lambda a, b: (a - b) * (a - b)), variance, lambda g, s: constant + F.ln(s) + g / s)
+        return -0.5 * F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+    return softmax(F.zip_with(F.zip_with(means, variances, log_density), log_weights, lambda a, b: a + b))
+
+
+def packed_table(spark, models: dict[int, Mixture], group: str) -> DataFrame:
+    """(group, log_weights, means, variances): one row of arrays per model, to be joined to the rows it scores."""
+    rows = [(int(g), np.log(m.weights).tolist(), m.means.tolist(), np.maximum(m.variances, VARIANCE_FLOOR).tolist()) for g, m in models.items()]
+    return spark.createDataFrame(rows, f"{group} int, log_weights array<double>, means array<array<double>>, variances array<array<double>>")
+
+
 def parameter_table(spark, models: dict[int, Mixture]) -> DataFrame:
     """(grp, k, weight, mu, sigma2, log_likelihood, bic, aic)."""
     rows = [

@@ -11,7 +11,7 @@ one batch and the sequence at its end, never a whole partition.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,10 +226,11 @@ def maximise(held: np.ndarray, old: Chain) -> Chain:
     )
 
 
-def improve(rows: DataFrame, chains: dict, iterations: int, tol: float = 1e-4) -> dict:
+def improve(rows: DataFrame, chains: dict, iterations: int, tol: float = 1e-4, expect: Callable[[dict], DataFrame] | None = None) -> dict:
     """EM over ordered rows from given starts; each restart stops once its likelihood settles.
 
-    Reports the likelihood of the parameters returned, from one last pass.
+    Reports the likelihood of the parameters returned, from one last pass. `expect` gives the partial
+    sums of the chains still active, where those of `expectation` over groups of rows are not wanted.
     """
     some = next(iter(next(iter(chains.values())).values()))
     k, d = some.means.shape
@@ -239,9 +240,10 @@ def improve(rows: DataFrame, chains: dict, iterations: int, tol: float = 1e-4) -
     active = {g: dict(by) for g, by in chains.items()}
     level: dict[tuple[int, int], float] = {}
     ended: dict[tuple[int, int], tuple[int, bool]] = {}
+    tasks = rows.rdd.getNumPartitions()
+    expect = expect or (lambda some: expectation(rows if len(some) == len(current) else rows.where(F.col("grp").isin(list(some))), some, k, d))
     for step in range(iterations):
-        live = rows if len(active) == len(current) else rows.where(F.col("grp").isin(list(active)))
-        sums = sum_slots(expectation(live, active, k, d), restarts * stride)
+        sums = sum_slots(expect(active), restarts * stride, tasks * stride * sum(len(by) for by in active.values()))
         for g in list(active):
             for r in list(active[g]):
                 held = sums[g][r * stride : (r + 1) * stride]
@@ -257,7 +259,7 @@ def improve(rows: DataFrame, chains: dict, iterations: int, tol: float = 1e-4) -
                 del active[g]
         if not active:
             break
-    final = sum_slots(expectation(rows, current, k, d), restarts * stride)
+    final = sum_slots(expect(current), restarts * stride, tasks * stride * restarts * len(current))
     for g, by in current.items():
         for r, chain in by.items():
             chain.log_likelihood = float(final[g][(r + 1) * stride - 1])

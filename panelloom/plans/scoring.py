@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.probability import argmax_state
-from panelloom.operators import folds, labels, mixture, quality, scaling, sequence
+from panelloom.operators import folds, labels, mixture, quality, sequence, windowed
+from panelloom.session import stored
 
 
 @dataclass
@@ -65,48 +66,36 @@ def walk_forward(
     Rows are (series_id, dt, x). Each test block is decoded as a sequence of its own, so no
     block sees a later one, also where several blocks share a model. `trade_p` is what a day
     trades on: the day before, or on the first day after a refit the last training day under
-    the new model, whose states may be numbered differently. Training rows repeat per refitted
-    fold, as every fold trains on its own window; scaling statistics come from one pass. With
-    `features` (the names of x) each row also has `regimes`, the labels of its model's states.
+    the new model, whose states may be numbered differently. Every row goes into the fits once, with its calendar
+    position; each fold's window is cut out and scaled inside the pass. With `features` (the names of x) each
+    row also has `regimes`, the labels of its model's states.
     """
     rows = rows.withColumn("x", filled(F.col("x")))
     days = folds.positions(rows)
-    long = rows.select("series_id", "dt", F.posexplode("x").alias("feature", "value"))
-    stats = (
-        scaling.expanding_fit(long, days, plan, ["feature"])
-        if plan.expanding
-        else scaling.fit(long.join(folds.train_days(days, plan), "dt"), ["feature", "fold"])
-    )
-    packed_stats = stats.groupBy("fold").agg(*[
-        F.max(F.when(F.col("feature") == i, F.col(c))).alias(f"{c}{i}") for i in range(dims) for c in ("mean", "sd")
-    ]).withColumnRenamed("fold", "model_fold")
-    scaled_x = F.array(*[(F.col("x")[i] - F.col(f"mean{i}")) / F.col(f"sd{i}") for i in range(dims)])
+    placed = stored(windowed.with_positions(rows, days), "placed-rows")
+    n_days = days.agg(F.max("n_days")).first()[0] or 0
+    spans = windowed.scaled_spans(placed, windowed.refit_spans(plan, n_days), dims)
+    scaler = rows.sparkSession.createDataFrame(
+        [(g, s.mean.tolist(), s.sd.tolist()) for g, s in spans.items()], "model_fold int, mean array<double>, sd array<double>")
+    scaled_x = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "sd", lambda a, b: a / b)
 
     def scaled(frame: DataFrame) -> DataFrame:
-        return frame.join(packed_stats, "model_fold").select("series_id", "dt", "fold", "model_fold", scaled_x.alias("x"))
+        return frame.join(scaler, "model_fold").select("series_id", "dt", "fold", "model_fold", scaled_x.alias("x"))
 
     tested = folds.test_days(days, plan)
-    blocks = {r["fold"]: r["model_fold"] for r in tested.select("fold", "model_fold").distinct().collect()}
-    refit = tested.select("model_fold").distinct()
-    windows = folds.train_days(days, plan).withColumn("model_fold", F.col("fold")).join(refit, "model_fold", "left_semi")
-    train = scaled(rows.join(windows, "dt"))
     test = scaled(rows.join(tested.select("dt", "fold", "model_fold"), "dt"))
     edge = scaled(rows.join(folds.last_train_days(days, plan).withColumn("model_fold", F.col("fold")), "dt"))
     if model == "mixture":
-        flat = train.withColumn("row_id", F.concat_ws("/", "series_id", "dt"))
-        models = mixture.fit_groups(
-            flat, "row_id", "x", k=k, restarts=restarts, iterations=iterations, group="fold"
-        )
-        score = F.coalesce(*[
-            F.when(F.col("model_fold") == g, mixture.posterior(F.col("x"), m)) for g, m in models.items()
-        ])
+        models = windowed.fit_mixtures(placed, spans, k=k, restarts=restarts, iterations=iterations)
+        packed = mixture.packed_table(rows.sparkSession, models, "model_fold")
 
         def decoded(frame: DataFrame) -> DataFrame:
-            out = frame.withColumn("p", score).withColumn("state", argmax_state(F.col("p")))
+            score = mixture.posterior_of(F.col("x"), F.col("log_weights"), F.col("means"), F.col("variances"))
+            out = frame.join(packed, "model_fold").withColumn("p", score).withColumn("state", argmax_state(F.col("p")))
             return out.select("fold", "series_id", "dt", "p", "state")
     else:
-        chains = sequence.fit_groups(train, k=k, restarts=restarts, iterations=iterations, group="fold")
-        by_block = {fold: chains[owner] for fold, owner in blocks.items()}
+        chains = windowed.fit_chains(placed, spans, k, restarts, iterations, dims)
+        by_block = {fold: chains[fold // plan.refit_folds * plan.refit_folds] for fold in range((n_days - 1 - plan.train) // plan.step + 1)}
 
         def decoded(frame: DataFrame) -> DataFrame:
             out = sequence.decode(frame, by_block, group="fold", method="filtered" if filtered else "posterior")

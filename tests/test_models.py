@@ -188,3 +188,61 @@ def test_sequences_cut_by_batches_are_joined_again(spark):
         spark.conf.set(name, before)
     assert list(cut["state"]) == list(whole["state"])
     np.testing.assert_allclose(np.stack(cut["p"]), np.stack(whole["p"]), rtol=1e-9)
+
+
+def test_spans_equal_copied_rows(spark):
+    """Fits on windows cut inside the pass equal fits on rows copied and scaled per window; no row is sent twice."""
+    import datetime as dt
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from panelloom.operators import folds, mixture, scaling, sequence, windowed
+
+    rng = np.random.default_rng(5)
+    rows = [(f"s{s}", dt.date(2024, 1, 1) + dt.timedelta(days=i), [float(x) for x in rng.normal(i % 7, 1 + s, 2)])
+            for s in range(4) for i in range(30) if rng.random() < 0.9]
+    panel = spark.createDataFrame(rows, "series_id string, dt date, x array<double>")
+    for plan in (folds.FoldPlan(12, 4, 8), folds.FoldPlan(10, 5, 5, expanding=False)):
+        days = folds.positions(panel)
+        placed = windowed.with_positions(panel, days).cache()
+        assert placed.count() == len(rows)
+        n_days = days.first()["n_days"]
+        spans = windowed.scaled_spans(placed, windowed.refit_spans(plan, n_days), 2)
+        trained = folds.train_days(days, plan).where(F.col("fold") % plan.refit_folds == 0)
+        assert set(spans) == {r["fold"] for r in trained.select("fold").distinct().collect()}
+        long = panel.join(trained, "dt").select("series_id", "dt", "fold", F.posexplode("x").alias("feature", "value"))
+        stats = {(r["fold"], r["feature"]): (r["mean"], r["sd"]) for r in scaling.fit(long, ["feature", "fold"]).collect()}
+        for g, span in spans.items():
+            for j in range(2):
+                assert (span.mean[j], span.sd[j]) == pytest.approx(stats[g, j])
+        copied = placed.join(trained, "dt").collect()
+        scaled = [(r["series_id"], r["dt"], r["fold"], spans[r["fold"]].scaled(np.array(r["x"])).tolist()) for r in copied]
+        other = spark.createDataFrame(scaled, "series_id string, dt date, fold int, x array<double>")
+        mine = windowed.fit_chains(placed, spans, 2, 2, 15, 2)
+        plain = sequence.fit_groups(other, k=2, restarts=2, iterations=15, group="fold")
+        for g, chain in plain.items():
+            for part in ("initial", "transition", "means", "variances", "log_likelihood"):
+                assert np.allclose(getattr(mine[g], part), getattr(chain, part)), (g, part)
+        mine = windowed.fit_mixtures(placed, spans, k=2, restarts=2, iterations=10)
+        plain = mixture.fit_groups(other.withColumn("row_id", F.concat_ws("/", "series_id", "dt")), "row_id", "x", k=2, restarts=2, iterations=10, group="fold")
+        for g, model in plain.items():
+            assert np.allclose(mine[g].means, model.means) and mine[g].log_likelihood == pytest.approx(model.log_likelihood)
+        scores = placed.withColumn("model_fold", F.lit(0)).join(mixture.packed_table(spark, mine, "model_fold"), "model_fold")
+        got = scores.select(mixture.posterior_of(F.col("x"), F.col("log_weights"), F.col("means"), F.col("variances")).alias("a"), mixture.posterior(F.col("x"), mine[0]).alias("b"))
+        assert all(r["a"] == pytest.approx(r["b"]) for r in got.collect())
+
+
+def test_drawing_starts_moves_no_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from panelloom.operators import draws
+
+    rows = spark.range(40).select(F.lit(0).alias("grp"), F.col("id").alias("row_id"), F.array(F.col("id") * 1.0).alias("x")).repartition(3)
+    found = draws.smallest_digests(rows, "row_id", 3, 2, 42, None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "x#" not in plan.split("MapInArrow")[0] and found.columns == ["grp", "restart", "draw", "row_id"]
+    one, other = draws.starting_rows(rows, "row_id", "x", 3, 2), draws.starting_rows(rows.repartition(7), "row_id", "x", 3, 2)
+    assert (one[0] == other[0]).all() and one[0].shape == (2, 3, 1)
+    with pytest.raises(ValueError):
+        draws.starting_rows(rows.limit(2), "row_id", "x", 3, 2)
