@@ -4,12 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelloom.functions import probability as PF
-from panelloom.operators import folds, labels, mixture, sequence
+from panelloom.operators import folds, labels, mixture, scan, sequence
 from panelloom.operators.allocation import ASSETS
 from panelloom.operators.draws import starting_rows
 from panelloom.plans import backtest, scoring
 from panelloom.plans.catalog.allocation import Z_ASSETS, scaled_assets, values
-from panelloom.plans.registry import query
+from panelloom.plans.registry import ORACLES, query
 from panelloom.plans.sql import SEQUENCES, STATES, with_, with_recursive
 from panelloom.session import stored
 from panelloom.sources import panels
@@ -154,6 +154,10 @@ def fixed_rows(t):
     return panels.sequences(t)
 
 
+# Small blocks, so that series are split at the supplied sizes too.
+BLOCK_ROWS = 333
+
+
 @query("m11_posterior_decode", with_recursive(EMIT, FORWARD, BACKWARD, GAMMA) + """
 SELECT series_id, dt, round(g0, 6) AS p_0, round(1 - g0, 6) AS p_1, CASE WHEN g0 >= 1 - g0 THEN 0 ELSE 1 END AS state FROM gam""")
 def m11(t):
@@ -168,6 +172,13 @@ def m11_filtered(t):
     return out.select("series_id", "dt", r(F.col("p")[0]).alias("p_0"), "state")
 
 
+@query("m11_blocks_decode", ORACLES["m11_posterior_decode"])
+def m11_blocks(t):
+    """The same shares from blocks of days, which split a series over tasks."""
+    out = scan.decode(fixed_rows(t), CHAIN, block_rows=BLOCK_ROWS)
+    return out.select("series_id", "dt", r(F.col("p")[0]).alias("p_0"), r(F.col("p")[1]).alias("p_1"), "state")
+
+
 @query("m12_viterbi_path", with_recursive(EMIT, f"""vit AS (
   SELECT series_id, n, len, {LP[0]} + b0 AS d0, {LP[1]} + b1 AS d1, [0] AS path0, [1] AS path1 FROM em WHERE n = 1
   UNION ALL
@@ -180,6 +191,11 @@ def m12(t):
     return sequence.decode(fixed_rows(t), CHAIN, method="viterbi").select("series_id", "dt", "state")
 
 
+@query("m12_blocks_path", ORACLES["m12_viterbi_path"])
+def m12_blocks(t):
+    return scan.decode(fixed_rows(t), CHAIN, method="viterbi", block_rows=BLOCK_ROWS).select("series_id", "dt", "state")
+
+
 @query("m7_m8_one_em_step", with_recursive(EMIT, FORWARD, BACKWARD, GAMMA, f"""
 ends AS (SELECT series_id, {lse('a0', 'a1')} AS ll FROM fwd WHERE n = len),
 pairs AS (SELECT f.series_id, f.a0, f.a1, g.b0, g.b1, g.z0, g.z1, ll FROM gam f JOIN gam g ON g.series_id = f.series_id AND g.n = f.n + 1 JOIN ends e ON e.series_id = f.series_id),
@@ -205,6 +221,17 @@ def m7(t):
     )
 
 
+@query("m7_m8_blocks_em_step", ORACLES["m7_m8_one_em_step"])
+def m7_blocks(t):
+    """The same step from blocks of days."""
+    placed = scan.in_blocks(fixed_rows(t), "series_id", "dt", "x", BLOCK_ROWS)
+    out = sequence.parameter_table(t.spark, {0: sequence.maximise(scan.statistics(placed, CHAIN), CHAIN)})
+    return out.select(
+        "k", r("pi").alias("pi"), *[r(F.col("a")[j]).alias(f"a_{j}") for j in range(2)],
+        *[r(F.col("mu")[j]).alias(f"mu_{j}") for j in range(2)], *[r(F.col("sigma2")[j]).alias(f"var_{j}") for j in range(2)],
+    )
+
+
 @query("m9_m10_sequence_fit_best_of")
 def m9(t):
     chain = sequence.fit(panels.sequences(t), k=3, restarts=5, iterations=200)

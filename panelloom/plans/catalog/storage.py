@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from panelloom.functions import scalars as S
+from panelloom.operators import expectations
 from panelloom.operators import incremental as I
 from panelloom.operators import normalize as N
 from panelloom.operators.returns import by_date, simple_returns
-from panelloom.plans import jobs
+from panelloom.plans import ingest, jobs
 from panelloom.plans.catalog.alignment import KNOWN, AS_REPORTED, POLICY
 from panelloom.plans.registry import query
 from panelloom.plans.sql import POSITIONS, RELEASES, RETURNS, VENDOR_PRICES, with_
@@ -442,3 +443,53 @@ def i12(t):
     return jobs.runs(lake).groupBy("job", "dataset").agg(
         F.count(F.lit(1)).alias("n_partitions"), F.sum("row_count").alias("n_rows")
     )
+
+
+# --- raw deliveries -------------------------------------------------------------------
+
+DELIVERED = """delivered AS (
+  SELECT CASE WHEN month(period) = 2 THEN 'Feb' ELSE strftime(period, '%Y-%m-%d') END AS period, CASE WHEN v = 7 THEN ' ' ELSE series_id END AS series_id,
+    CASE WHEN (month(period) + v) % 5 = 0 THEN '.' ELSE CAST(n AS VARCHAR) END AS value
+  FROM (SELECT l_returnflag AS series_id, last_day(l_shipdate) AS period, l_linenumber AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3))"""
+
+
+def delivered_releases(t):
+    """Releases as a vendor's text, with unreadable periods, blank series and missing values."""
+    rows = t.lineitem.groupBy(F.col("l_returnflag").alias("series_id"), F.last_day("l_shipdate").alias("period"), F.col("l_linenumber").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return rows.select(
+        F.when(F.month("period") == 2, F.lit("Feb")).otherwise(F.date_format("period", "yyyy-MM-dd")).alias("period"),
+        F.when(F.col("v") == 7, F.lit(" ")).otherwise(F.col("series_id")).alias("series_id"),
+        F.when((F.month("period") + F.col("v")) % 5 == 0, F.lit(".")).otherwise(F.col("n").cast("string")).alias("value"))
+
+
+@query("q6_n3_rejected_rows", with_(DELIVERED) + """,
+judged AS (SELECT *, concat_ws(',', CASE WHEN period = 'Feb' THEN 'period' END, CASE WHEN series_id = ' ' THEN 'series' END, CASE WHEN value = '.' THEN 'value' END) AS reasons FROM delivered)
+SELECT period, series_id, value, reasons, count(*) AS n FROM judged WHERE reasons <> '' GROUP BY ALL""")
+def q6_rejected(t):
+    """Rows of a raw delivery that are set aside, with every rule they fail."""
+    source = ingest.SOURCES["macro"]
+    settings = ingest.Settings(N.mapping_table(t.spark))
+    _, rejected, _ = expectations.split(source.shape(delivered_releases(t)), source.rules(settings))
+    return rejected.withColumn("reasons", F.array_join(expectations.REASONS, ",")).groupBy("period", "series_id", "value", "reasons").agg(F.count(F.lit(1)).alias("n"))
+
+
+MONTHLY = "monthly AS (SELECT l_returnflag AS s, last_day(l_shipdate) AS period, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@query("i7_s6_raw_macro_to_gold", with_(MONTHLY) + """,
+months AS (SELECT last_day(m) AS month_end FROM generate_series((SELECT min(date_trunc('month', period)) FROM monthly), TIMESTAMP '2002-03-01', INTERVAL 1 MONTH) g(m)),
+known AS (SELECT month_end, s, arg_max(v, period) AS v FROM months JOIN monthly ON last_day(CAST(period + INTERVAL 1 DAY AS DATE)) <= month_end GROUP BY 1, 2)
+SELECT month_end, """ + ", ".join(f"max(v) FILTER (s = '{s}') AS \"{s}\", max('2002-03-15') FILTER (s = '{s}') AS \"{s}__vintage_id\"" for s in "ANR") + """
+FROM known GROUP BY month_end""")
+def i7_raw(t):
+    """Two raw deliveries to gold: the first one wrong for early periods, the second with unreadable rows among the right ones."""
+    lake = new_lake(t)
+    rows = t.lineitem.groupBy(F.col("l_returnflag").alias("series_id"), F.last_day("l_shipdate").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    text = rows.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "series_id", F.col("n").cast("string").alias("value"))
+    junk = text.select(F.lit("n/a").alias("period"), "series_id", "value").unionByName(text.withColumn("value", F.lit(".")))
+    settings = ingest.Settings(N.mapping_table(t.spark), critical=["A", "N", "R"])
+    early = text.where("period < '1997-01-01'").withColumn("value", F.concat("value", F.lit("1")))
+    ingest.ingest(lake, "macro", early, "fred", "2001-01-10", ingest.Settings(N.mapping_table(t.spark)))
+    ingest.ingest(lake, "macro", text.unionByName(junk), "fred", "2002-03-15", settings)
+    return lake.load("macro_asof_monthly")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import scalars as S
-from panelloom.operators import asof, curve, features, incremental, normalize, positioning, quality, returns
+from panelloom.operators import asof, curve, features, incremental, normalize, positioning, returns
 from panelloom.plans import state
 from panelloom.schemas import dataset
 from panelloom.session import stored
@@ -93,6 +93,11 @@ def landed(lake: Lake, source: str, frame: DataFrame, run_date: str, batch: str
     return back.select(*frame.columns)
 
 
+def delivered(lake: Lake, delivery: str | None, source: str, canonical: DataFrame, run_date: str) -> DataFrame:
+    """Canonical rows of a delivery landed raw are stored; rows handed in as they are get landed themselves."""
+    return stored(canonical, "canonical") if delivery else landed(lake, source, canonical, run_date)
+
+
 # --- gold builders --------------------------------------------------------------------
 
 
@@ -132,28 +137,28 @@ def partition_list(changed: DataFrame) -> list[str]:
     return sorted(r["partition"] for r in changed.select("partition").distinct().collect())
 
 
-def update_prices(lake: Lake, canonical: DataFrame, run_date: str) -> DataFrame:
+def update_prices(lake: Lake, canonical: DataFrame, run_date: str, delivery: str | None = None, warnings: list[str] | None = None) -> DataFrame:
     """Upsert prices; rebuild the returns of changed days and of each next priced day.
 
     The state before the update links new days to the last prices, so that no history is read for them.
     """
     started, versions, last = now(), Versions(lake), state.LastPrices(lake)
     before = last.at(versions.latest("market_prices"))
-    canonical = landed(lake, "prices", canonical, run_date)
+    canonical = delivered(lake, delivery, "prices", canonical, run_date)
     changed = silver_upsert(lake, "market_prices", canonical)
     days = [dt.date.fromisoformat(d) for d in partition_list(changed)]
     rows, reached, links = state.reached_returns(lake, before, days)
     lake.swap("returns_daily", reached, rows, "gold")
     rebuilt = versions.record("returns_daily", "gold", reached.select("dt"))
     last.advance(before, links, versions.latest("market_prices"))
-    record_run(lake, "update_prices", run_date, started, "prices", changed.unionByName(rebuilt))
+    record_run(lake, "update_prices", run_date, started, delivery or "prices", changed.unionByName(rebuilt), warnings=warnings)
     return rebuilt
 
 
-def update_macro(lake: Lake, canonical: DataFrame, run_date: str, lags: dict[str, str] | None = None) -> DataFrame:
+def update_macro(lake: Lake, canonical: DataFrame, run_date: str, lags: dict[str, str] | None = None, delivery: str | None = None, warnings: list[str] | None = None) -> DataFrame:
     """Upsert releases; rebuild every month from the earliest period seen to the run month."""
     started = now()
-    canonical = landed(lake, "macro", canonical, run_date)
+    canonical = delivered(lake, delivery, "macro", canonical, run_date)
     changed = silver_upsert(lake, "macro_releases", canonical)
     days = changed.select(F.col("partition").cast("date").alias("dt"))
     touched = lake.read_keys("macro_releases", days, "silver")
@@ -164,38 +169,38 @@ def update_macro(lake: Lake, canonical: DataFrame, run_date: str, lags: dict[str
     write_gold(lake, "macro_asof_monthly", gold_macro(lake, months, lags))
     keys = months.select(S.month_key(F.col("month_end")).alias("month"))
     rebuilt = Versions(lake).record("macro_asof_monthly", "gold", keys)
-    record_run(lake, "update_macro", run_date, started, "macro", changed.unionByName(rebuilt))
+    record_run(lake, "update_macro", run_date, started, delivery or "macro", changed.unionByName(rebuilt), warnings=warnings)
     return rebuilt
 
 
-def update_positions(lake: Lake, canonical: DataFrame, run_date: str, lookback: int = LOOKBACK_WEEKS) -> DataFrame:
+def update_positions(lake: Lake, canonical: DataFrame, run_date: str, lookback: int = LOOKBACK_WEEKS, delivery: str | None = None, warnings: list[str] | None = None) -> DataFrame:
     """Upsert reports; rebuild the z-scores of the reports that a changed one reaches.
 
     Reports before the first changed week come from the kept ring of each contract and group, so only later weeks are read.
     """
     started, versions = now(), Versions(lake)
-    canonical = landed(lake, "cot", canonical, run_date)
+    canonical = delivered(lake, delivery, "cot", canonical, run_date)
     changed = silver_upsert(lake, "cot_weekly", canonical)
     weeks = partition_list(changed)
     if not weeks:
-        record_run(lake, "update_positions", run_date, started, "cot", changed)
+        record_run(lake, "update_positions", run_date, started, delivery or "cot", changed, warnings=warnings)
         return changed
     scored, reports = state.scored_reports(lake, versions.log(), weeks, lookback)
     lake.upsert("cot_z_weekly", scored, "gold")
     rebuilt = versions.record("cot_z_weekly", "gold", scored.select("week"))
     state.keep_rings(lake, reports, weeks, lookback, versions.latest("cot_weekly"))
-    record_run(lake, "update_positions", run_date, started, "cot", changed.unionByName(rebuilt))
+    record_run(lake, "update_positions", run_date, started, delivery or "cot", changed.unionByName(rebuilt), warnings=warnings)
     return rebuilt
 
 
-def update_policy(lake: Lake, canonical: DataFrame, run_date: str) -> DataFrame:
+def update_policy(lake: Lake, canonical: DataFrame, run_date: str, delivery: str | None = None, warnings: list[str] | None = None) -> DataFrame:
     started = now()
-    canonical = landed(lake, "policy", canonical, run_date)
+    canonical = delivered(lake, delivery, "policy", canonical, run_date)
     changed = silver_upsert(lake, "policy_curve", canonical)
     days = changed.select(F.col("partition").cast("date").alias("dt"))
     write_gold(lake, "policy_features", gold_policy(lake, days))
     rebuilt = Versions(lake).record("policy_features", "gold", days)
-    record_run(lake, "update_policy", run_date, started, "policy", changed.unionByName(rebuilt))
+    record_run(lake, "update_policy", run_date, started, delivery or "policy", changed.unionByName(rebuilt), warnings=warnings)
     return rebuilt
 
 
@@ -357,6 +362,3 @@ def record_run(
 def runs(lake: Lake) -> DataFrame:
     return lake.spark.read.schema(incremental.RUN_SCHEMA).parquet(runs_path(lake))
 
-
-def check_releases(canonical: DataFrame, critical: DataFrame, vendor: str, from_file: bool = True) -> None:
-    quality.check_critical(canonical, critical, quality.critical_threshold(vendor, from_file))

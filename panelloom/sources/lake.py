@@ -175,12 +175,16 @@ class Lake:
 
     def folders(self, name: str, level: str | None = None) -> set[str]:
         """Keys of the stored partitions, from one listing of folder names."""
-        path = self.path(name, level)
+        return self.folders_below(self.path(name, level).removeprefix(f"{self.root}/"), dataset(name).partition)
+
+    def folders_below(self, path: str, column: str) -> set[str]:
+        """Keys of the folders `column=key` below a path of the lake."""
+        path = f"{self.root}/{path}"
         if not path_exists(self.spark, path):
             return set()
         fs, where = file_system(self.spark, path)
         names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
-        return {n.split("=", 1)[1] for n in names if "=" in n}
+        return {n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")}
 
     def stored_keys(self, name: str, keys: DataFrame, level: str | None = None) -> list[str]:
         """Those of the keys that have a partition: at most one name per folder, which the driver lists anyhow."""
