@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.vectors import (
-    BLOCK_QUERIES, LEAST, MOST, Best, Index, best, dealt, exact_type, in_waves, longest, matrix, nothing, queries_of, whole,
+    BLOCK_QUERIES, LEAST, MOST, Best, Index, dealt, exact_type, in_waves, longest, matrix, nothing, queries_of, whole,
 )
 from panelloom.session import stored
 
