@@ -7,7 +7,7 @@ from panelloom.functions import probability as PF
 from panelloom.operators import folds, labels, mixture, scan, sequence
 from panelloom.operators.allocation import ASSETS
 from panelloom.operators.draws import starting_rows
-from panelloom.plans import backtest, scoring
+from panelloom.plans import backtest, fit_sql, scoring
 from panelloom.plans.catalog.allocation import Z_ASSETS, scaled_assets, values
 from panelloom.plans.registry import ORACLES, query
 from panelloom.plans.sql import SEQUENCES, STATES, with_, with_recursive
@@ -92,7 +92,12 @@ def m4(t):
     )
 
 
-@query("m4_mixture_best_of_ten")
+NUMBERED_VECTORS = "vecs AS MATERIALIZED (SELECT 0 AS g, CAST(vec_id AS VARCHAR) AS row_id, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS)) + " FROM embeddings)"
+
+
+@query("m4_mixture_best_of_ten", with_recursive(NUMBERED_VECTORS, *fit_sql.mixture("vecs", DIMS, 4), fit_sql.mixture_shares("vecs", DIMS)) + """
+SELECT CAST(row_id AS BIGINT) AS vec_id, CAST(first(c ORDER BY p DESC, c) - 1 AS INTEGER) AS state, round(max(p), 4) AS max_prob FROM scored GROUP BY row_id""")
 def m4_full(t):
     """All 64 dimensions, ten restarts, to convergence; posterior of every row."""
     rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
@@ -354,8 +359,26 @@ def p19(t):
     return out.select("series_id", "dt", "fold", r(F.col("p")[0], 4).alias("p_0"), "state", r(F.col("trade_p")[0], 4).alias("trade_p_0"))
 
 
-@query("p19_walk_forward_mixture_scores")
+ROLLING = folds.FoldPlan(train=15, step=5, refit_every=10, expanding=False)
+
+
+def scaled_folds_sql(plan: folds.FoldPlan) -> str:
+    """trained: every refitted fold's training rows, scaled by their own statistics; tested: the rows its model scores."""
+    first = "0" if plan.expanding else f"f * {plan.step}"
+    return f"""days AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i, count(*) OVER () AS n_days FROM (SELECT DISTINCT dt FROM sequences)),
+placed AS (SELECT s.*, i, n_days FROM sequences s JOIN days USING (dt)),
+members AS (SELECT f AS g, series_id || '/' || dt AS row_id, series_id, dt, x0, x1 FROM placed, range(0, 1000) q(f)
+  WHERE f % {plan.refit_folds} = 0 AND f <= (n_days - 1 - {plan.train}) // {plan.step} AND i >= {first} AND i < {plan.train} + f * {plan.step}),
+scale AS (SELECT g, avg(x0) AS a0, coalesce(nullif(stddev_samp(x0), 0), 1) AS b0, avg(x1) AS a1, coalesce(nullif(stddev_samp(x1), 0), 1) AS b1 FROM members GROUP BY g),
+trained AS MATERIALIZED (SELECT g, row_id, series_id, dt, (x0 - a0) / b0 AS x0, (x1 - a1) / b1 AS x1 FROM members JOIN scale USING (g)),
+blocks AS (SELECT *, (i - {plan.train}) // {plan.step} AS fold, (i - {plan.train}) // {plan.step} // {plan.refit_folds} * {plan.refit_folds} AS g FROM placed WHERE i >= {plan.train}),
+tested AS MATERIALIZED (SELECT b.g, fold, series_id, dt, (x0 - a0) / b0 AS x0, (x1 - a1) / b1 AS x1 FROM blocks b JOIN scale USING (g))"""
+
+
+@query("p19_walk_forward_mixture_scores", with_recursive(
+    SEQUENCES, scaled_folds_sql(ROLLING), *fit_sql.mixture("trained", 2, 2), fit_sql.mixture_shares("tested", 2, kept="fold, series_id, dt")) + """
+SELECT series_id, dt, CAST(fold AS INTEGER) AS fold, CAST(g AS INTEGER) AS model_fold, round(max(p) FILTER (c = 1), 4) AS p_0,
+  CAST(first(c ORDER BY p DESC, c) - 1 AS INTEGER) AS state FROM scored GROUP BY series_id, dt, fold, g""")
 def p19_mixture(t):
-    plan = folds.FoldPlan(train=15, step=5, refit_every=10, expanding=False)
-    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=3, iterations=200, dims=2, model="mixture")
+    out = scoring.walk_forward(panels.sequences(t), ROLLING, k=2, restarts=10, iterations=500, dims=2, model="mixture")
     return out.select("series_id", "dt", "fold", "model_fold", r(F.col("p")[0], 4).alias("p_0"), "state")
