@@ -237,11 +237,24 @@ def m7_blocks(t):
     )
 
 
-@query("m9_m10_sequence_fit_best_of")
+KEYED_SEQUENCES = SEQUENCES + ", keyed AS MATERIALIZED (SELECT 0 AS g, series_id || '/' || dt AS row_id, * FROM sequences)"
+
+
+def chain_rows(chain_names, k: int, d: int) -> str:
+    """One row per state from the columns of a fit."""
+    return " UNION ALL ".join(f"SELECT {c} AS k, round(pi{c}, 4) AS pi, " + ", ".join(f"round(a{c}{j}, 4) AS a_{j}" for j in range(k)) + ", " + ", ".join(
+        f"round({p}{c}_{i}, 4) AS {n}_{i}" for p, n in (("m", "mu"), ("s", "var")) for i in range(d)) + f"{chain_names} FROM fitted" for c in range(k))
+
+
+@query("m9_m10_sequence_fit_best_of", with_recursive(KEYED_SEQUENCES, *fit_sql.chain("keyed", 2, 3, 5, 200)) + " "
+       + chain_rows(", round(ll, 3) AS log_likelihood, CAST(steps AS INTEGER) AS iterations", 3, 2))
 def m9(t):
     chain = sequence.fit(panels.sequences(t), k=3, restarts=5, iterations=200)
     out = sequence.parameter_table(t.spark, {0: chain})
-    return out.select("k", r("pi", 4).alias("pi"), "a", "mu", "sigma2", r("log_likelihood", 3).alias("log_likelihood"), "iterations")
+    return out.select(
+        "k", r("pi", 4).alias("pi"), *[r(F.col("a")[j], 4).alias(f"a_{j}") for j in range(3)], *[r(F.col("mu")[i], 4).alias(f"mu_{i}") for i in range(2)],
+        *[r(F.col("sigma2")[i], 4).alias(f"var_{i}") for i in range(2)], r("log_likelihood", 3).alias("log_likelihood"), "iterations",
+    )
 
 
 LABELS = ["Easing", "Risk-Off"]
@@ -352,13 +365,6 @@ def m17(t):
     return fitted.labels.select("state", "label", "description", "n_features")
 
 
-@query("p19_walk_forward_scores")
-def p19(t):
-    plan = folds.FoldPlan(train=15, step=5, refit_every=5)
-    out = scoring.walk_forward(panels.sequences(t), plan, k=2, restarts=3, iterations=200, dims=2)
-    return out.select("series_id", "dt", "fold", r(F.col("p")[0], 4).alias("p_0"), "state", r(F.col("trade_p")[0], 4).alias("trade_p_0"))
-
-
 ROLLING = folds.FoldPlan(train=15, step=5, refit_every=10, expanding=False)
 
 
@@ -382,3 +388,19 @@ SELECT series_id, dt, CAST(fold AS INTEGER) AS fold, CAST(g AS INTEGER) AS model
 def p19_mixture(t):
     out = scoring.walk_forward(panels.sequences(t), ROLLING, k=2, restarts=10, iterations=500, dims=2, model="mixture")
     return out.select("series_id", "dt", "fold", "model_fold", r(F.col("p")[0], 4).alias("p_0"), "state")
+
+
+EXPANDING = folds.FoldPlan(train=15, step=5, refit_every=5)
+
+
+@query("p19_walk_forward_scores", with_recursive(
+    SEQUENCES, scaled_folds_sql(EXPANDING), *fit_sql.chain("trained", 2, 2, 3, 200), *fit_sql.chain_shares("tested", 2, 2),
+    "eves AS MATERIALIZED (SELECT * FROM trained QUALIFY dt = max(dt) OVER (PARTITION BY g))", *fit_sql.chain_shares("eves", 2, 2, "fresh")) + """,
+opens AS (SELECT dt FROM days WHERE i >= 15 AND (i - 15) % 5 = 0),
+lagged AS (SELECT *, lag(p0) OVER (PARTITION BY series_id ORDER BY dt) AS before FROM scored)
+SELECT s.series_id, s.dt, CAST(s.g AS INTEGER) AS fold, round(s.p0, 4) AS p_0, CASE WHEN s.p0 >= s.p1 THEN 0 ELSE 1 END AS state,
+  round(CASE WHEN o.dt IS NOT NULL THEN f.p0 ELSE before END, 4) AS trade_p_0
+FROM lagged s LEFT JOIN opens o ON o.dt = s.dt LEFT JOIN fresh f ON f.g = s.g AND f.series_id = s.series_id""")
+def p19(t):
+    out = scoring.walk_forward(panels.sequences(t), EXPANDING, k=2, restarts=3, iterations=200, dims=2)
+    return out.select("series_id", "dt", "fold", r(F.col("p")[0], 4).alias("p_0"), "state", r(F.col("trade_p")[0], 4).alias("trade_p_0"))
