@@ -4,11 +4,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelloom.functions import probability as PF
-from panelloom.operators import folds, labels, mixture, scan, sequence
-from panelloom.operators.allocation import ASSETS
+from panelloom.operators import folds, labels, mixture, performance, pnl, scan, scenarios, sequence
+from panelloom.operators.allocation import ASSETS, REGIME_WEIGHTS, weights_by_label
 from panelloom.operators.draws import starting_rows
 from panelloom.plans import backtest, fit_sql, scoring
-from panelloom.plans.catalog.allocation import Z_ASSETS, scaled_assets, values
+from panelloom.plans.catalog.allocation import SHOCKS, Z_ASSETS, scaled_assets, values
 from panelloom.plans.registry import ORACLES, query
 from panelloom.plans.sql import SEQUENCES, STATES, with_, with_recursive
 from panelloom.session import stored
@@ -359,10 +359,75 @@ def end_to_end(t):
     return metrics
 
 
-@query("m17_fit_all")
+def asset_sequences(t):
+    """Scaled asset returns, each calendar year a sequence of its own, in long form."""
+    return scaled_assets(t).select(F.year("dt").alias("series_id"), "dt", "feature", "value")
+
+
+YEARS = Z_ASSETS + """, given AS MATERIALIZED (SELECT year(dt) AS series_id, dt, """ + ", ".join(
+    f"max(value) FILTER (feature = '{f}') AS x{i}" for i, f in enumerate(ASSET_FEATURES)) + """ FROM z GROUP BY dt),
+panel AS MATERIALIZED (SELECT 0 AS g, series_id || '/' || dt AS row_id, series_id, dt, """ + ", ".join(
+    f"coalesce(x{i}, 0) AS x{i}" for i in range(len(ASSET_FEATURES))) + " FROM given)"
+N_FEATURES = len(ASSET_FEATURES)
+
+
+def labelled_sql() -> list[str]:
+    """named: the label of each state c of the model in `fitted`."""
+    cells = ", ".join(f"({c}, '{f}', m{c}_{i})" for c in range(4) for i, f in enumerate(ASSET_FEATURES))
+    return [f"means AS (SELECT 0 AS portfolio, v.state, v.feature, v.mu FROM fitted, LATERAL (VALUES {cells}) v(state, feature, mu))", GROUP_ROWS, WEIGHT_ROWS, SCORED,
+            "ls AS (SELECT state, i, sum(score * w) AS s FROM gs JOIN lw USING (g) GROUP BY ALL)",
+            "named AS (SELECT state, ['Easing', 'Reacceleration', 'Stagflation', 'Risk-Off'][first(i ORDER BY s DESC, i) + 1] AS label FROM ls GROUP BY 1)"]
+
+
+def flat(prefix: str, name: str, c: int) -> str:
+    return ", ".join(f"round({prefix}{c}_{i}, 4) AS {name}_{i}" for i in range(N_FEATURES))
+
+
+@query("m17_fit_all", with_recursive(
+    YEARS, *fit_sql.chain("panel", N_FEATURES, 4, 5, 200), *fit_sql.tagged(fit_sql.mixture("panel", N_FEATURES, 4), "mix"), *labelled_sql(),
+    *fit_sql.chain_shares("panel", 4, N_FEATURES), """parts AS (SELECT state, count(*) / sum(count(*)) OVER () AS share FROM (
+  SELECT list_position([p0, p1, p2, p3], greatest(p0, p1, p2, p3)) - 1 AS state FROM scored) GROUP BY state)""",
+    "flat AS (" + " UNION ALL ".join(f"SELECT {c} AS state, pi{c} AS weight, {flat('m', 'mu', c)}, {flat('s', 'var', c)}, ll FROM fitted" for c in range(4)) + ")") + f"""
+SELECT 'sequence' AS model, CAST(f.state AS INTEGER) AS state, round(weight, 4) AS weight, {", ".join(f"{n}_{i}" for n in ("mu", "var") for i in range(N_FEATURES))},
+  round(ll, 3) AS log_likelihood, label, round(coalesce(share, 0), 4) AS share, coalesce(share, 0) < 0.02 AS rare
+FROM flat f JOIN named USING (state) LEFT JOIN parts USING (state)
+UNION ALL SELECT 'mixture', CAST(c - 1 AS INTEGER), round(w, 4), {", ".join(f"round({n}{i}, 4)" for n in "ms" for i in range(N_FEATURES))}, round(ll, 3), NULL, NULL, FALSE FROM fitted_mix""")
 def m17(t):
-    fitted = scoring.fit_all(panels.sequences(t), ["ret_GOLD", "ret_SP500"], k=2, restarts=5, iterations=200, mixture_restarts=10)
-    return fitted.labels.select("state", "label", "description", "n_features")
+    wide = asset_sequences(t).groupBy("series_id", "dt").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(0.0)) for f in ASSET_FEATURES]).alias("x"))
+    fitted = scoring.fit_all(stored(wide, "asset-years"), ASSET_FEATURES)
+    out = scoring.fitted_states(t.spark, fitted)
+    return out.select(
+        "model", "state", r("weight", 4).alias("weight"), *[r(F.col("mu")[i], 4).alias(f"mu_{i}") for i in range(N_FEATURES)],
+        *[r(F.col("sigma2")[i], 4).alias(f"var_{i}") for i in range(N_FEATURES)], r("log_likelihood", 3).alias("log_likelihood"), "label", r("share", 4).alias("share"), F.coalesce("rare", F.lit(False)).alias("rare"),
+    )
+
+
+SHOCKED = "shocked AS MATERIALIZED (SELECT 0 AS g, s.scenario || '/' || series_id AS series_id, dt, " + ", ".join(
+    f"coalesce(x{i} + coalesce(max(k.shock) FILTER (k.feature = '{f}'), 0), 0) AS x{i}" for i, f in enumerate(ASSET_FEATURES)) + """
+  FROM given CROSS JOIN (SELECT DISTINCT scenario FROM shocks) s LEFT JOIN shocks k ON k.scenario = s.scenario
+  GROUP BY s.scenario, series_id, dt, """ + ", ".join(f"x{i}" for i in range(N_FEATURES)) + ")"
+REGIME_ROWS = "rw(label, asset, w) AS (" + values((n, a, w) for n, row in REGIME_WEIGHTS.items() for a, w in zip(ASSETS, row)) + ")"
+
+
+@query("p18_fitted_scenario_run", with_recursive(
+    YEARS, SHOCKS, REGIME_ROWS, *fit_sql.chain("panel", N_FEATURES, 4, 3, 50), *labelled_sql(), SHOCKED, *fit_sql.chain_shares("shocked", 4, N_FEATURES), """
+sh AS (SELECT regexp_replace(series_id, '/[0-9]+$', '') AS scenario, dt, unnest([0, 1, 2, 3]) AS state, unnest([p0, p1, p2, p3]) AS p FROM scored),
+wt AS (SELECT scenario, dt, asset, sum(p * w) AS w FROM sh JOIN named USING (state) JOIN rw USING (label) GROUP BY ALL),
+ret AS (SELECT scenario, wt.dt, sum(w * a.ret) AS ret FROM wt JOIN asset_returns a ON a.dt = wt.dt AND a.asset = wt.asset GROUP BY ALL)""") + """
+SELECT scenario, count(*) AS n_trading_days, round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) AS sharpe, round(stddev_samp(ret) * sqrt(252), 5) AS ann_vol
+FROM ret GROUP BY 1""")
+def p18_fitted(t):
+    """Shocked panels scored by a sequence model fitted on the panel as it is, its labelled states turned into weights."""
+    long = stored(asset_sequences(t), "asset-years")
+    wide = long.groupBy("series_id", "dt").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(0.0)) for f in ASSET_FEATURES]).alias("x"))
+    chain = sequence.fit(stored(wide, "asset-rows"), k=4, restarts=3, iterations=50)
+    scored = scoring.scenario_scores(long, ASSET_FEATURES, chain, list(scenarios.SCENARIOS.values()))
+    weighted = scored.withColumn("w", weights_by_label(F.col("p"), F.col("regimes")))
+    returns = weighted.join(pnl.pack_returns(panels.asset_returns(t)), "dt").select("scenario", "dt", pnl.dot(F.col("w"), F.col("r")).alias("ret"))
+    out = performance.return_metrics(stored(returns, "scenario-returns"), ["scenario"])
+    return out.select("scenario", "n_trading_days", r("sharpe", 5).alias("sharpe"), r("ann_vol", 5).alias("ann_vol"))
 
 
 ROLLING = folds.FoldPlan(train=15, step=5, refit_every=10, expanding=False)

@@ -7,6 +7,7 @@ row once in each group g it belongs to; a group has a model of its own.
 from __future__ import annotations
 
 import math
+import re
 
 from panelloom.functions.probability import VARIANCE_FLOOR
 
@@ -14,6 +15,14 @@ from panelloom.functions.probability import VARIANCE_FLOOR
 LOG_2PI = f"{math.log(2 * math.pi):.17e}"
 
 
+TABLES = re.compile(r"\b(drawn|spread|start|series|em|ended|judged|fitted)\b")
+
+
+def tagged(parts: list[str], tag: str) -> list[str]:
+    """The same expressions under table names of their own, so that two fits fit into one statement."""
+    return [TABLES.sub(lambda found: f"{found[1]}_{tag}", part) for part in parts]
+
+
 def double(value: float) -> str:
     return f"{value:.17e}"
 

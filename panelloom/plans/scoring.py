@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.probability import argmax_state
-from panelloom.operators import folds, labels, mixture, quality, sequence, windowed
+from panelloom.operators import folds, labels, mixture, scenarios, sequence, windowed
+from panelloom.operators.performance import state_shares
 from panelloom.session import stored
 
 
@@ -18,6 +19,7 @@ class Fitted:
     chain: sequence.Chain
     mixture: mixture.Mixture
     labels: DataFrame
+    shares: DataFrame
     rare: DataFrame
 
 
@@ -32,13 +34,53 @@ def fit_all(
     rows: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 5, iterations: int = 200,
     mixture_restarts: int = 10, minimum_share: float = 0.02,
 ) -> Fitted:
-    """Sequence model, mixture baseline, state labels and the states seen too rarely."""
+    """Sequence model, mixture baseline, state labels, shares of the decoded states and the states seen too rarely.
+
+    Rows are (series_id, dt, x), `features` the names of x's entries, after which states are labelled.
+    """
     chain = sequence.fit(rows, k=k, restarts=restarts, iterations=iterations)
     flat = rows.withColumn("row_id", F.concat_ws("/", "series_id", "dt"))
     baseline = mixture.fit(flat, "row_id", "x", k=k, restarts=mixture_restarts)
     named = labels.assign(means_table(rows.sparkSession, chain, features), ["state"])
-    decoded = sequence.decode(rows, chain)
-    return Fitted(chain, baseline, named, quality.rare_states(decoded, ["grp"], "state", minimum_share))
+    shares = stored(state_shares(sequence.decode(rows, chain), ["grp"], "state").drop("grp"), "state-shares")
+    return Fitted(chain, baseline, named, shares, shares.where(F.col("share") < minimum_share))
+
+
+def fitted_states(spark, fitted: Fitted) -> DataFrame:
+    """(model, state, weight, mu, sigma2, log_likelihood, label, share, rare): a row per state of the sequence model and class of the mixture.
+
+    Labels, shares and rarity belong to the sequence model; a state never decoded has share 0 and is rare.
+    """
+    chain = sequence.parameter_table(spark, {0: fitted.chain}).select(
+        F.lit("sequence").alias("model"), F.col("k").alias("state"), F.col("pi").alias("weight"), "mu", "sigma2", "log_likelihood")
+    named = chain.join(fitted.labels.select("state", "label"), "state").join(fitted.shares.select("state", "share"), "state", "left")
+    seldom = fitted.rare.select("state", F.lit(True).alias("seldom"))
+    named = named.join(seldom, "state", "left").withColumn("rare", F.col("share").isNull() | F.col("seldom").isNotNull()).drop("seldom")
+    mixed = mixture.parameter_table(spark, {0: fitted.mixture}).select(
+        F.lit("mixture").alias("model"), F.col("k").alias("state"), "weight", "mu", "sigma2", "log_likelihood")
+    return named.withColumn("share", F.coalesce("share", F.lit(0.0))).unionByName(mixed, allowMissingColumns=True)
+
+
+def scenario_scores(
+    panel: DataFrame, features: Sequence[str], models: sequence.Chain | dict[str, sequence.Chain], shocks: Sequence[scenarios.Scenario],
+    filtered: bool = False,
+) -> DataFrame:
+    """(scenario, series_id, dt, p, state, regimes): the panel under every scenario, decoded by a fitted model in one job.
+
+    `panel` is long: (series_id, dt, feature, value), scaled as the model's training rows were; a feature that a day lacks has no shock and counts as 0. The scenario is the
+    decoder's group, so each may have a model of its own (by name). `regimes` holds the labels of that model's states.
+    """
+    spark, names = panel.sparkSession, [s.name for s in shocks]
+    chains = {i: models[n] if isinstance(models, dict) else models for i, n in enumerate(names)}
+    values = F.array(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(0.0)) for f in features])
+    shocked = scenarios.apply_shocks(panel.where(F.col("feature").isin(list(features))), shocks)
+    rows = shocked.groupBy("scenario", "series_id", "dt").agg(values.alias("x"))
+    number = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))])
+    decoded = sequence.decode(
+        rows.withColumn("model_fold", number[F.col("scenario")]), chains, group="model_fold", method="filtered" if filtered else "posterior")
+    named = decoded.withColumn("scenario", F.array(*[F.lit(n) for n in names])[F.col("grp")])
+    labelled = regimes_by_fold(spark, chains, features)
+    return named.withColumnRenamed("grp", "model_fold").join(labelled, "model_fold").drop("model_fold")
 
 
 def regimes_by_fold(spark, models: dict, features: Sequence[str]) -> DataFrame:
