@@ -236,13 +236,16 @@ def a2(t):
     return out.withColumn("value", r("value"))
 
 
-@query("n19_n20_policy_feature_rows", with_(POLICY, """named AS (
+POLICY_ROWS = """named AS (
   SELECT dt, 'fw_prob_cut_3m' AS feature, implied_cut_prob_3m AS value FROM policy
   UNION ALL SELECT dt, 'fw_prob_cut_6m', implied_cut_prob_6m FROM policy
   UNION ALL SELECT dt, 'fw_term_slope', term_front_slope FROM policy
   UNION ALL SELECT dt, 'fw_terminal_shift', terminal_shift_30d FROM policy
   UNION ALL SELECT dt, 'fw_net_cut_bias', implied_cut_prob_3m - (1 - implied_cut_prob_3m) FROM policy
-  UNION ALL SELECT dt, 'fw_policy_uncertainty', 1 - abs(implied_cut_prob_3m) FROM policy)""",
+  UNION ALL SELECT dt, 'fw_policy_uncertainty', 1 - abs(implied_cut_prob_3m) FROM policy)"""
+
+
+@query("n19_n20_policy_feature_rows", with_(POLICY, POLICY_ROWS,
   "target AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders)")
        + fill_sql("named", "target", "feature", "value", None))
 def n19(t):
@@ -271,7 +274,9 @@ def w6(t):
     return features.surprise_score(stored(known(t), "macro"), ship_days(t)).withColumn("value", r("value"))
 
 
-WIDE = ["ret_SP500", "ma20_GOLD", "curve_slope", "cot_z_5-LOW", "fw_net_cut_bias", "surprise_score"]
+COT_FEATURES = [f"cot_z_{c}" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT_SPECIFIED", "5-LOW")]
+POLICY_FEATURES = ["fw_prob_cut_3m", "fw_prob_cut_6m", "fw_term_slope", "fw_terminal_shift", "fw_net_cut_bias", "fw_policy_uncertainty"]
+WIDE = [f"{kind}_{a}" for kind in ("ret", "ma5", "ma20") for a in ASSET_NAMES] + list(features.SPREADS) + COT_FEATURES + POLICY_FEATURES + ["surprise_score"]
 
 
 def full_panel(t):
@@ -281,24 +286,22 @@ def full_panel(t):
     )
 
 
-def outer_block(name, source, limit):
+def outer_block(name: str, source: str, limit: int | None) -> str:
+    """Every feature of `source` carried over its own days and the return days, by at most `limit` rows."""
     reach = "UNBOUNDED" if limit is None else str(limit)
-    return f""", {name}_spine AS (SELECT dt FROM {source} UNION SELECT dt FROM rdays),
-{name}_filled AS (SELECT s.dt, last_value(v.value IGNORE NULLS) OVER (ORDER BY s.dt
-  ROWS BETWEEN {reach} PRECEDING AND CURRENT ROW) AS value FROM {name}_spine s LEFT JOIN {source} v ON v.dt = s.dt)"""
-
-
-@query("j7_feature_matrix", with_(RETURN_BLOCK, COT_BLOCK, POLICY, SURPRISE, """
-low AS (SELECT dt, max(value) FILTER (feature = 'cot_z_5-LOW') AS value FROM cot GROUP BY dt),
-bias AS (SELECT dt, implied_cut_prob_3m - (1 - implied_cut_prob_3m) AS value FROM policy)""")
-       + outer_block("a", "low", 7) + outer_block("b", "bias", None) + outer_block("c", "surprise", 5) + """
-SELECT d.dt, round(max(x.value) FILTER (x.feature = 'ret_SP500'), 6) AS "ret_SP500",
-  round(max(x.value) FILTER (x.feature = 'ma20_GOLD'), 6) AS "ma20_GOLD",
-  round(max(sp.value), 6) AS curve_slope, round(max(a.value), 6) AS "cot_z_5-LOW",
-  round(max(b.value), 6) AS fw_net_cut_bias, round(coalesce(max(c.value), 0), 6) AS surprise_score
-FROM rdays d LEFT JOIN base x ON x.dt = d.dt LEFT JOIN spreads sp ON sp.dt = d.dt AND sp.feature = 'curve_slope'
-LEFT JOIN a_filled a ON a.dt = d.dt LEFT JOIN b_filled b ON b.dt = d.dt LEFT JOIN c_filled c ON c.dt = d.dt
-GROUP BY d.dt""")
+    return f""", {name} AS (SELECT g.feature, g.dt, last_value(v.value IGNORE NULLS) OVER (PARTITION BY g.feature ORDER BY g.dt
+  ROWS BETWEEN {reach} PRECEDING AND CURRENT ROW) AS value
+  FROM (SELECT k.feature, s.dt FROM (SELECT DISTINCT feature FROM {source}) k, (SELECT dt FROM {source} UNION SELECT dt FROM rdays) s) g
+  LEFT JOIN {source} v ON v.feature = g.feature AND v.dt = g.dt)"""
+
+
+@query("j7_feature_matrix", with_(RETURN_BLOCK, COT_BLOCK, POLICY, POLICY_ROWS, SURPRISE)
+       + outer_block("cot_days", "cot", 7) + outer_block("policy_days", "named", None) + outer_block("surprise_days", "surprise", 5) + """,
+cells AS (SELECT dt, feature, value FROM base UNION ALL SELECT dt, feature, value FROM spreads UNION ALL SELECT dt, feature, value FROM cot_days
+  UNION ALL SELECT dt, feature, value FROM policy_days UNION ALL SELECT dt, 'surprise_score', coalesce(value, 0) FROM surprise_days
+  UNION ALL SELECT dt, 'surprise_score', 0 FROM rdays WHERE NOT EXISTS (FROM surprise))
+SELECT dt, """ + ", ".join(f"""round(max(value) FILTER (feature = '{n}'), 6) AS "{n}\"""" for n in WIDE) + """
+FROM cells WHERE dt IN (SELECT dt FROM rdays) GROUP BY dt""")
 def j7(t):
     wide = features.widen(full_panel(t), WIDE)
     return wide.select("dt", *[r(F.col(f"`{n}`")).alias(n) for n in WIDE])
