@@ -81,29 +81,33 @@ def assign(documents: DataFrame, tree: list[Leaf], grown: list[Leaf], key: str =
     """Shard, slot in the shard, and shard in the grown tree of every row.
 
     The shard follows from the key and the tree alone (a null key is a key like any other).
-    Equal rows are counted before the shuffle and spread out again at the end, so a row
-    repeated without bound is never gathered. Slots number a shard's rows by hashed chunk,
-    key, size and checksum: chunk totals give each chunk's first slot, and only a chunk of
-    about `chunk_rows` distinct rows is ever ordered in one task. A null text has no bytes.
-    Empty tables give no rows; columns besides key and text are not read.
+    Equal rows are counted before the shuffle; a row repeated without bound is cut into parts
+    of at most `chunk_rows` copies, which go to chunks of their own and are spread out again at
+    the end. Slots number a shard's rows by hashed chunk, key, size, checksum and part: chunk
+    totals give each chunk's first slot, and only a chunk of about `chunk_rows` parts is ever
+    ordered in one task. Rows equal in key, size and checksum get neighbouring slots within a part.
+    A null or empty text has no bytes; long ones are only measured, never shuffled.
+    Empty tables give no rows; columns besides key and text are not read, so none can clash.
     """
     whole = text_of(text)
     rows = documents.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(whole).cast("long") + 1).alias("size"),
         F.crc32(whole).alias("text_crc32"),
-    ).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    ).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk_rows).cast("long")))).withColumn(
+        "copies", F.least(F.lit(chunk_rows).cast("long"), F.col("n") - F.col("part"))).drop("n")
     total = documents.count()
     chunks = max(1, -(-total // (chunk_rows * max(1, len({x.shard for x in tree})))))
     placed = rows.select(
         "*", shard_of(F.col("doc_id"), tree).alias("shard"), shard_of(F.col("doc_id"), grown).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "size", "text_crc32"), F.lit(chunks)).alias("chunk"))
+        F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "size", "text_crc32", "part"), F.lit(chunks)).alias("chunk"))
     # At most shards x chunks rows: the running sum orders one row per chunk.
     first = placed.groupBy("shard", "chunk").agg(F.sum("copies").alias("n")).select(
         "shard", "chunk",
         (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("n")).alias("first"))
-    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32")
+    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32", "part")
     before = F.sum("copies").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
     return placed.withColumn("before", before).join(first, ["shard", "chunk"]).select(
         "doc_id", "size", "text_crc32", "shard", "grown_shard",
