@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from panelloom.llm.quality import calibrate, labelled_sample
 
-# Bounds of what is learned: labelled rows read, lexicon entries and exception phrases kept.
+# About this many labelled rows, chosen by hashed id, are read to learn from: the one bound on what is learned.
 SAMPLE_ROWS = 8000
-MOST_TERMS = 600
-MOST_EXCEPTIONS = 2000
+# Terms are beginnings of words of so many letters, and whole words of any length.
 SHORTEST, LONGEST = 4, 12
 
 # Characters written for the letters they resemble, and digits and signs for letters.
@@ -147,6 +146,7 @@ def _beginnings(batches):
             for word in set(folded.split()):
                 if len(word) >= SHORTEST:
                     seen.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
+                    seen.add(word)
             (toxic if label else other).update(seen)
             n[label] += 1
         names = list(toxic)
@@ -171,9 +171,10 @@ def _contexts(lexicon: Lexicon):
                 for start, end, _ in matches(lexicon, folded):
                     stop = folded.index(" ", start)
                     word = folded[start:stop]
-                    left, right = folded[max(0, start - 60):start - 1].split(), folded[stop:stop + 60].split()
-                    phrases.update([f"{left[-1]} {word}"] if left else [])
-                    phrases.update([f"{word} {right[0]}"] if right else [])
+                    if start > 1:
+                        phrases.add(f"{folded[folded.rindex(' ', 0, start - 1) + 1:start - 1]} {word}")
+                    if stop + 1 < len(folded):
+                        phrases.add(f"{word} {folded[stop + 1:folded.index(' ', stop + 1)]}")
                 rows.append((label, weight, words, sorted(phrases)))
             yield pa.RecordBatch.from_pydict({
                 "label": pa.array([r[0] for r in rows], pa.int32()), "weight": pa.array([r[1] for r in rows], pa.float64()),
@@ -182,7 +183,7 @@ def _contexts(lexicon: Lexicon):
     return run
 
 
-def choose_terms(counts: list, n_toxic: int, n_other: int, most: int = MOST_TERMS) -> dict[str, float]:
+def choose_terms(counts: list, n_toxic: int, n_other: int) -> dict[str, float]:
     """Beginnings far likelier in toxic texts, weighted by their log odds; a longer one only where it is clearly purer than a kept shorter one."""
     rated = []
     for term, a, b in counts:
@@ -192,19 +193,20 @@ def choose_terms(counts: list, n_toxic: int, n_other: int, most: int = MOST_TERM
     kept: dict[str, float] = {}
     sure: dict[str, float] = {}
     for low, odds, term in sorted(rated, key=lambda r: (len(r[2]), -r[0], r[2])):
-        above = max((sure[term[:k]] for k in range(SHORTEST, len(term)) if term[:k] in sure), default=0.0)
+        above = max((sure[term[:k]] for k in range(SHORTEST, min(len(term) - 1, LONGEST) + 1) if term[:k] in sure), default=0.0)
         if low > max(0.7, above + 0.3):
             sure[term], kept[term] = low, odds
-    first = sorted(kept, key=lambda t: (-sure[t], t))[:most]
-    return {t: round(kept[t], 6) for t in first}
+    return {t: round(kept[t], 6) for t in sorted(kept)}
 
 
 def learn(documents: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "toxic", rows: int = SAMPLE_ROWS,
           key: str = "doc_id", text: str = "text") -> Lexicon:
     """Lexicon, exception phrases and curve from a bounded sample of the labels that `allowed` lets through.
 
-    Terms and phrases come back to the driver within the documented bounds. Without toxic or
-    without other labels the lexicon is empty and every score is low and equal.
+    Every term and phrase with enough evidence in the sample is kept; there are no more of them
+    than its texts hold, and only those come back to the driver. Ties are kept or dropped together.
+    Without toxic or without other labels, as in an empty table, the lexicon is empty and every
+    score is low and equal. Repeated ids count once per row of the documents.
     """
     sample = labelled_sample(documents, labels, label, rows, key, text, allowed)
     counted = sample.mapInArrow(_beginnings, "term string, toxic long, other long").groupBy("term").agg(
@@ -213,12 +215,12 @@ def learn(documents: DataFrame, labels: DataFrame, allowed: Column | None = None
     if total is None or not total["toxic"] or not total["other"]:
         return Lexicon({})
     lift = (F.col("toxic") + 0.5) / F.lit(float(total["toxic"])) / ((F.col("other") + 0.5) / F.lit(float(total["other"])))
-    likely = counted.where("term <> '' and toxic >= 4").where(lift > 2).orderBy(F.desc(lift * F.sqrt("toxic")), "term").limit(50 * MOST_TERMS)
+    likely = counted.where("term <> '' and toxic >= 4").where(lift > 2)
     lexicon = Lexicon(choose_terms([tuple(r) for r in likely.collect()], total["toxic"], total["other"]))
     seen = sample.mapInArrow(_contexts(lexicon), "label int, weight double, words long, phrases array<string>")
     phrases = seen.select("label", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
-    innocent = phrases.where("toxic = 0 and other >= 5").orderBy(F.desc("other"), "phrase").limit(MOST_EXCEPTIONS).collect()
+    innocent = phrases.where("toxic = 0 and other >= 5").collect()
     lexicon = Lexicon(lexicon.terms, frozenset(r["phrase"] for r in innocent))
     points = np.array([(r["label"], *inputs(r["weight"], r["words"])) for r in sample.mapInArrow(
         _contexts(lexicon), "label int, weight double, words long, phrases array<string>").select("label", "weight", "words").collect()])
@@ -241,8 +243,9 @@ def fit_curve(points: np.ndarray) -> tuple[float, float, float]:
 def score(documents: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Adds score (0 to 1), n_matches and matched_weight to every document (columns so named are replaced).
 
-    Whole texts are folded and matched, one at a time. Null or empty text has no match and
-    gets the score of a text without one.
+    Whole texts are folded and matched, one at a time; a long one takes a few times its own size.
+    Null or empty text has no match and gets the score of a text without one. Every row keeps
+    its own score, repeated ones too; an empty table gives no rows.
     """
     added = [("score", T.DoubleType()), ("n_matches", T.LongType()), ("matched_weight", T.DoubleType())]
     given = documents.drop(*[n for n, _ in added])
