@@ -13,10 +13,6 @@ def line_key(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(SPACE))
 
 
-def key_digest(line: Column) -> Column:
-    return F.struct(*[c.alias(f"h{i}") for i, c in enumerate(digest_pair(line_key(line)), 1)])
-
-
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_documents: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Drop lines whose key occurs in many documents, except in the largest document holding it.
 
@@ -25,23 +21,29 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_documents: int =
     their lines outside the largest of those ids. Adds `kept_lines` (array, in the order of
     the text), `n_lines` and `n_dropped` to the document's columns.
 
-    Null or empty text is one empty line. Rows with a null id neither count nor lose lines;
-    rows sharing an id are one document when counting, and each keeps its own lines. Distinct
-    keys of a document are found before anything is shuffled, a common line is counted by
-    partial sums, and the only rows that meet by line are its (document, key) pairs, which
-    an adaptive join may split. Columns named like the added ones are replaced.
+    Null or empty text is one empty line; an empty table gives no rows. Rows with a null id
+    neither count nor lose lines; rows sharing an id are one document when counting, and each
+    keeps its own lines. Lines travel as digests with their positions, long lines and texts as
+    well. A common line is counted by partial sums, and what meets by line are its occurrences,
+    which an adaptive join may split. The positions a text loses come back to it, and it is put
+    together again from the others, in time linear in its lines. Columns named like the added
+    ones are replaced; others may have any name.
     """
     lines = F.split(text_of(text), "\n", -1)
-    own = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(F.array_distinct(lines)).alias("line"))
+    mark = F.xxhash64(F.lit("row"), text_of(text))
+    # Two selects: beside the generator, the mark would be worked out from the whole text for every line of it.
+    whole = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), mark.alias("mark"), lines.alias("all_lines"))
+    own = whole.select("id", "mark", F.posexplode("all_lines").alias("pos", "line"))
     own = own.where(F.char_length(line_key(F.col("line"))) >= min_chars)
-    held = own.select("id", *[c.alias(f"h{i}") for i, c in enumerate(digest_pair(line_key(F.col("line"))), 1)])
+    held = own.select("id", "mark", "pos", *[c.alias(f"h{i}") for i, c in enumerate(digest_pair(line_key(F.col("line"))), 1)])
     # Stored, so that both sides of the next join are dealt anew and a common line's pairs can be split over tasks.
     common = stored(held.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents), "common-lines")
-    lost = held.join(common, ["h1", "h2"]).where("id <> last").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost_keys"))
+    lost = held.join(common, ["h1", "h2"]).where("id <> last").groupBy("id", "mark").agg(F.collect_set("pos").alias("lost_at"))
     given = documents.drop("kept_lines", "n_lines", "n_dropped")
-    kept = F.when(lost["lost_keys"].isNull(), lines).otherwise(
-        F.filter(lines, lambda line: ~F.array_contains(lost["lost_keys"], key_digest(line))))
-    return given.join(lost, given[key] == lost["id"], "left").select(
+    # Held in an array of one, the lines are a variable below: a text is split once, not once for each place.
+    kept = F.when(lost["lost_at"].isNull(), lines).otherwise(F.get(F.transform(F.array(lines), lambda all_lines: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), lost["lost_at"]), lambda at: F.get(all_lines, at))), F.lit(0)))
+    return given.join(lost, (given[key] == lost["id"]) & (mark == lost["mark"]), "left").select(
         given["*"], kept.alias("kept_lines"), F.size(lines).cast("long").alias("n_lines")
     ).withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines"))
 
