@@ -10,7 +10,7 @@ from panelloom.operators.returns import by_date, simple_returns
 from panelloom.plans import ingest, jobs
 from panelloom.plans.catalog.alignment import KNOWN, AS_REPORTED, POLICY
 from panelloom.plans.registry import query
-from panelloom.plans.sql import POSITIONS, RELEASES, RETURNS, VENDOR_PRICES, with_
+from panelloom.plans.sql import EXACT_POSITIONS, POSITIONS, RELEASES, RETURNS, VENDOR_PRICES, with_
 from panelloom.session import scratch_path
 from panelloom.sources import files, panels
 from panelloom.sources.lake import Lake, expired
@@ -403,7 +403,7 @@ def provider(t):
     return lambda name, start, end: between(rows, "week", "week", start, end)
 
 
-@query("i10_high_water_update", with_(POSITIONS) + """
+@query("i10_high_water_update", with_(EXACT_POSITIONS) + """
 SELECT strftime(report_date, '%G-%V') AS week, count(*) AS n, sum(long - short)::BIGINT AS net FROM positions GROUP BY 1""")
 def i10(t):
     lake, fetch = new_lake(t), provider(t)

@@ -53,6 +53,9 @@ POSITIONS = """positions AS (
          CAST(round(sum(CASE WHEN o_custkey % 2 <> 0 THEN o_totalprice ELSE 0 END)) AS BIGINT) AS short
   FROM orders GROUP BY 1, 2, 3)"""
 
+# The same reports from exact sums: a sum of doubles near a half rounds by the order of its rows.
+EXACT_POSITIONS = POSITIONS.replace("THEN o_totalprice", "THEN CAST(o_totalprice AS DECIMAL(18, 4))")
+
 RELEASES = """releases AS (
   SELECT series_id, period, 'v' || v AS vintage_id,
          last_day(CAST(period + v * 11 AS DATE)) AS dt_ingest,

@@ -90,10 +90,16 @@ def probabilities(t: Tables) -> DataFrame:
     )
 
 
+def exact(price: str) -> F.Column:
+    """A price to four decimals as a decimal: sums do not depend on the order of rows, so halves round alike everywhere."""
+    return F.col(price).cast("decimal(18, 4)")
+
+
 def weekly_positions(t: Tables) -> DataFrame:
-    """(contract, grp, report_date, long, short): Tuesday reports from orders."""
+    """(contract, grp, report_date, long, short): Tuesday reports from orders, exact sums rounded half away from zero."""
     report = F.date_add(F.trunc("o_orderdate", "week"), 1)
     even = F.col("o_custkey") % 2 == 0
+    price = exact("o_totalprice")
     return (
         t.orders.groupBy(
             F.col("o_orderpriority").alias("contract"),
@@ -101,8 +107,8 @@ def weekly_positions(t: Tables) -> DataFrame:
             report.alias("report_date"),
         )
         .agg(
-            F.sum(F.when(even, F.col("o_totalprice")).otherwise(0.0)).alias("long_raw"),
-            F.sum(F.when(~even, F.col("o_totalprice")).otherwise(0.0)).alias("short_raw"),
+            F.sum(F.when(even, price).otherwise(F.lit(0))).alias("long_raw"),
+            F.sum(F.when(~even, price).otherwise(F.lit(0))).alias("short_raw"),
         )
         .select(
             "contract", "grp", "report_date",
