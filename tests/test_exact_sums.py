@@ -11,6 +11,7 @@ from panelloom.plans.compare import compare
 
 NAMED = [
     "i10_high_water_update",
+    "i5_rebuild_changed_only",
 ]
 
 
