@@ -363,7 +363,7 @@ def i7(t):
     return lake.load("macro_asof_monthly")
 
 
-@query("i8_update_positions", with_(POSITIONS) + """
+@query("i8_update_positions", with_(EXACT_POSITIONS) + """
 SELECT strftime(report_date, '%G-%V') AS week, contract, grp AS "group", long - short AS net_pos,
   round(CASE WHEN count(*) OVER w >= 4 THEN ((long - short) - avg(long - short) OVER w) / nullif(stddev_samp(long - short) OVER w, 0) END, 6) AS zscore
 FROM positions WINDOW w AS (PARTITION BY contract, grp ORDER BY report_date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)""")
