@@ -124,13 +124,13 @@ def n4(t):
 
 
 @query("n5_wide_net_positions", """
-WITH nets AS (SELECT CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice)) - 500000 AS gold, 700000 - round(sum(o_totalprice)) AS oil
-  FROM orders GROUP BY 1),
+WITH totals AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18, 4)))) AS DOUBLE) AS total FROM orders GROUP BY 1),
+nets AS (SELECT d, total - 500000 AS gold, 700000 - total AS oil FROM totals),
 long AS (SELECT d, 'GOLD' AS contract, gold AS net FROM nets UNION ALL SELECT d, 'OIL', oil FROM nets)
 SELECT d AS report_date, contract, CAST(greatest(net, 0) - greatest(-net, 0) AS BIGINT) AS net_pos, CAST(greatest(net, 0) AS BIGINT) AS long,
   CAST(greatest(-net, 0) AS BIGINT) AS short, CAST(abs(net) AS BIGINT) AS open_interest FROM long""")
 def n5(t):
-    total = F.round(F.sum("o_totalprice"))
+    total = F.round(F.sum(panels.exact("o_totalprice"))).cast("double")
     wide = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
         (total - 500000).alias("gold_net"), (700000 - total).alias("oil_net")
     )

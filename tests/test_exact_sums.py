@@ -13,6 +13,7 @@ NAMED = [
     "i10_high_water_update",
     "i5_rebuild_changed_only",
     "i8_update_positions",
+    "n5_wide_net_positions",
 ]
 
 
