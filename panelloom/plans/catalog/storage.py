@@ -50,7 +50,7 @@ def s1(t):
     return out.withColumn("return", r("return"))
 
 
-@query("s2_dataset_view", with_(POSITIONS) + """
+@query("s2_dataset_view", with_(EXACT_POSITIONS) + """
 SELECT strftime(report_date, '%G-%V') AS week, count(*) AS n, sum(long - short)::BIGINT AS net FROM positions GROUP BY 1""")
 def s2(t):
     lake = new_lake(t)

@@ -14,6 +14,7 @@ NAMED = [
     "i5_rebuild_changed_only",
     "i8_update_positions",
     "n5_wide_net_positions",
+    "s2_dataset_view",
 ]
 
 
