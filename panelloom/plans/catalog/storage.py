@@ -59,7 +59,7 @@ def s2(t):
     return t.spark.sql(f"SELECT week, count(*) AS n, sum(net_pos) AS net FROM {view} GROUP BY week")
 
 
-@query("s3_read_given_partitions", with_(POSITIONS) + """,
+@query("s3_read_given_partitions", with_(EXACT_POSITIONS) + """,
 busy AS (SELECT date_trunc('week', report_date) AS w FROM positions GROUP BY 1 HAVING sum(long + short) > 6000000)
 SELECT report_date, contract, grp AS "group", long - short AS net_pos FROM positions WHERE date_trunc('week', report_date) IN (SELECT w FROM busy)""")
 def s3(t):

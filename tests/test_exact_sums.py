@@ -15,6 +15,7 @@ NAMED = [
     "i8_update_positions",
     "n5_wide_net_positions",
     "s2_dataset_view",
+    "s3_read_given_partitions",
 ]
 
 
