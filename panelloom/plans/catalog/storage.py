@@ -69,7 +69,7 @@ def s3(t):
     return lake.read_keys("cot_weekly", busy).select("report_date", "contract", "group", "net_pos")
 
 
-@query("s5_keyed_upsert", with_(POSITIONS) + """
+@query("s5_keyed_upsert", with_(EXACT_POSITIONS) + """
 SELECT report_date, contract, grp AS "group", CASE WHEN grp = 'P' THEN long - 2 * short ELSE long - short END AS net_pos FROM positions""")
 def s5(t):
     lake = new_lake(t)

@@ -16,6 +16,7 @@ NAMED = [
     "n5_wide_net_positions",
     "s2_dataset_view",
     "s3_read_given_partitions",
+    "s5_keyed_upsert",
 ]
 
 
