@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import returns as R
 from panelloom.plans.registry import query
-from panelloom.plans.sql import POSITIONS, RETURNS, STATES, STRATEGY, VENDOR_PRICES, with_
+from panelloom.plans.sql import EXACT_POSITIONS, RETURNS, STATES, STRATEGY, VENDOR_PRICES, with_
 from panelloom.sources import panels
 
 
@@ -22,7 +22,7 @@ def w1(t):
                       r("px_t_1", 4).alias("px_t_1"), r("ret").alias("ret"))
 
 
-@query("w2_positioning_zscore", with_(POSITIONS) + """
+@query("w2_positioning_zscore", with_(EXACT_POSITIONS) + """
 SELECT contract, grp, report_date, long - short AS net_pos,
        round(CASE WHEN count(*) OVER w >= 4 THEN
          ((long - short) - avg(long - short) OVER w) / nullif(stddev_samp(long - short) OVER w, 0) END, 6) AS zscore

@@ -17,6 +17,7 @@ NAMED = [
     "s2_dataset_view",
     "s3_read_given_partitions",
     "s5_keyed_upsert",
+    "w2_positioning_zscore",
 ]
 
 
