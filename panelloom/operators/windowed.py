@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ from panelloom.operators.draws import SLOT_SCHEMA, sum_slots
 from panelloom.operators.folds import FoldPlan
 
 
+# Rows of whole sequences taken up together, and cells of one step's arrays, which should stay in a core's cache.
+ROWS_AT_ONCE = 1 << 16
+STEP_CELLS = 1 << 19
+
+
 @dataclass(frozen=True)
 class Span:
     """Calendar positions lo <= i < hi, and what scales the rows in it."""
@@ -114,66 +120,115 @@ def cuts(at: np.ndarray, starts: np.ndarray, params: Parameters) -> tuple[np.nda
 
 
 def smoothed(values: np.ndarray, length: np.ndarray, own: np.ndarray, p: Parameters) -> np.ndarray:
-    """Sufficient statistics of each cut: first day's shares, transitions, mass and moments per state, log likelihood."""
+    """Sufficient statistics of each cut: first day's shares, transitions, mass and moments per state, log likelihood.
+
+    Cuts come in order of length, so those still running on a day are a slice. Days and states lead the arrays and cuts
+    trail, so that a step of the recursion runs over neighbouring memory.
+    """
     b_size, t_size, d = values.shape
     k = p.initial.shape[1]
-    mask = np.arange(t_size) < length[:, None]
-    means, variances, moves = p.means[own], p.variances[own], p.transition[own]
-    gap = (values[:, :, None, :] - means[:, None]) ** 2
-    log_b = -0.5 * (np.log(2 * np.pi * variances).sum(2)[:, None] + (gap / variances[:, None]).sum(3))
-    peak = log_b.max(2)
-    b = np.exp(log_b - peak[:, :, None])
-    alpha, scales = np.empty_like(b), np.ones((b_size, t_size))
+    x = np.ascontiguousarray(values.transpose(2, 1, 0))
+    means, variances = (np.ascontiguousarray(a[own].transpose(1, 2, 0)) for a in (p.means, p.variances))
+    moves, initial = np.ascontiguousarray(p.transition[own].transpose(1, 2, 0)), p.initial[own].T
+    live = np.searchsorted(length, np.arange(t_size + 1), side="right")
+    mask = np.arange(t_size)[:, None] < length
+    log_b = np.empty((t_size, k, b_size))
+    for j in range(k):
+        log_b[:, j] = -0.5 * np.log(2 * np.pi * variances[j]).sum(0)
+        for e in range(d):
+            log_b[:, j] -= (x[e] - means[j, e]) ** 2 * (0.5 / variances[j, e])
+    peak = log_b.max(1)
+    b = np.exp(log_b - peak[:, None])
+    alpha, scales = np.zeros_like(b), np.ones((t_size, b_size))
     for t in range(t_size):
-        here = (p.initial[own] if t == 0 else np.matmul(alpha[:, t - 1, None, :], moves)[:, 0]) * b[:, t]
-        total = here.sum(1)
-        live = mask[:, t]
-        scales[live, t] = total[live]
-        step = here / np.where(total > 0, total, 1)[:, None]
-        alpha[:, t] = np.where(live[:, None], step, alpha[:, t - 1] if t else step)
+        s = live[t]
+        here = (initial if t == 0 else (alpha[t - 1, :, None, s:] * moves[:, :, s:]).sum(0)) * b[t, :, s:]
+        total = here.sum(0)
+        scales[t, s:] = total
+        alpha[t, :, s:] = here / np.where(total > 0, total, 1)
     with np.errstate(divide="ignore"):
-        level = np.where(mask, np.log(scales) + peak, 0.0).sum(1)
-    beta, counts = np.ones_like(alpha), np.zeros((b_size, k, k))
+        level = np.where(mask, np.log(scales) + peak, 0.0).sum(0)
+    beta, counts = np.ones_like(alpha), np.zeros((k, k, b_size))
     for t in range(t_size - 2, -1, -1):
-        live = mask[:, t + 1]
-        ahead = np.where(live[:, None], b[:, t + 1] * beta[:, t + 1] / scales[:, t + 1, None], 0.0)
-        beta[:, t] = np.where(live[:, None], np.matmul(moves, ahead[:, :, None])[:, :, 0], 1.0)
-        counts += alpha[:, t, :, None] * ahead[:, None, :]
+        s = live[t + 1]
+        ahead = b[t + 1, :, s:] * beta[t + 1, :, s:] / scales[t + 1, s:]
+        beta[t, :, s:] = (moves[:, :, s:] * ahead).sum(1)
+        counts[:, :, s:] += alpha[t, :, None, s:] * ahead
     gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-300)
-    gamma *= mask[:, :, None]
-    block = np.concatenate([gamma.sum(1)[:, :, None], np.matmul(gamma.transpose(0, 2, 1), values), np.einsum("btk,btkd->bkd", gamma, gap)], 2)
-    return np.concatenate([gamma[:, 0], (counts * moves).reshape(b_size, -1), block.reshape(b_size, -1), level[:, None]], 1)
+    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
+    block = np.empty((k, 2 * d + 1, b_size))
+    for j in range(k):
+        block[j, 0] = gamma[:, j].sum(0)
+        for e in range(d):
+            block[j, 1 + e] = (gamma[:, j] * x[e]).sum(0)
+            block[j, 1 + d + e] = (gamma[:, j] * (x[e] - means[j, e]) ** 2).sum(0)
+    return np.concatenate([gamma[0], (counts * moves).reshape(k * k, -1), block.reshape(-1, b_size), level[None]]).T
+
+
+def whole_arrays(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(values, calendar positions, series) of whole sequences, some tens of thousands of rows at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def cut(last: bool):
+        nonlocal held
+        joined = tuple(np.concatenate(part) for part in zip(*held))
+        name = joined[2]
+        changes = np.flatnonzero(name[1:] != name[:-1]) + 1
+        end = len(name) if last else changes[-1] if len(changes) else 0
+        held = [tuple(part[end:] for part in joined)]
+        return tuple(part[:end] for part in joined)
+
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+        if len(flat) != batch.num_rows * d:
+            raise ValueError(f"a row without {d} values")
+        held.append((flat.reshape(-1, d), batch.column("i").to_numpy(zero_copy_only=False), batch.column("series_id").to_numpy(zero_copy_only=False)))
+        waiting += batch.num_rows
+        if waiting >= ROWS_AT_ONCE:
+            out = cut(False)
+            # A series longer than that waits for twice as many rows before it is looked at again.
+            waiting = 0 if len(out[0]) else -len(held[0][0])
+            if len(out[0]):
+                yield out
+    if held and len((out := cut(True))[0]):
+        yield out
 
 
 def chain_sums(placed: DataFrame, spans: dict[int, Span], chains: dict, k: int, d: int) -> DataFrame:
     """Partial sums per partition for every (span, restart)."""
     stride = k + k * k + k * (2 * d + 1) + 1
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Parameters(spans, chains)
         sums = np.zeros((len(p.names), stride))
-        for pdf in sequence.whole_sequences(batches):
-            data, at, name = np.stack(pdf["x"].to_numpy()).astype(float), pdf["i"].to_numpy(), pdf["series_id"].to_numpy()
+        for data, at, name in whole_arrays(batches, d):
             starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
             if (np.diff(at) == 0)[name[1:] == name[:-1]].any():
                 raise ValueError("a sequence holds the same day twice")
             first, length, own = cuts(at, starts, p)
             order = np.argsort(length, kind="stable")
-            a = 0
+            sizes, a = length[order], 0
             while a < len(order):
-                z = a + 1
-                while z < len(order) and (z + 1 - a) * length[order[z]] * k * max(d, k) <= sequence.BATCH_CELLS:
-                    z += 1
+                # As many cuts as their padded cells allow, one at least.
+                fits = np.arange(1, len(order) - a + 1) * sizes[a:] * k * max(d, k) <= STEP_CELLS
+                z = a + max(1, int(fits.sum()))
                 some = order[a:z]
-                rows = np.minimum(first[some, None] + np.arange(length[some].max()), len(data) - 1)
+                rows = np.minimum(first[some, None] + np.arange(sizes[z - 1]), len(data) - 1)
                 values = (data[rows] - p.mean[own[some], None]) / p.sd[own[some], None]
                 values[np.arange(values.shape[1]) >= length[some, None]] = 0.0
-                np.add.at(sums, own[some], smoothed(values, length[some], own[some], p))
+                found = smoothed(values, length[some], own[some], p)
+                if np.isfinite(found).all():
+                    sums += (np.arange(len(sums))[:, None] == own[some]).astype(float) @ found
+                else:
+                    np.add.at(sums, own[some], found)
                 a = z
-        yield from slots(dict(zip(p.names, sums)), stride)
+        for part in slots(dict(zip(p.names, sums)), stride):
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-    return placed.mapInPandas(add, SLOT_SCHEMA)
+    return placed.select("series_id", "i", "x").mapInArrow(add, SLOT_SCHEMA)
 
 
 def with_positions(rows: DataFrame, days: DataFrame) -> DataFrame:

@@ -246,3 +246,18 @@ def test_drawing_starts_moves_no_vectors(spark):
     assert (one[0] == other[0]).all() and one[0].shape == (2, 3, 1)
     with pytest.raises(ValueError):
         draws.starting_rows(rows.limit(2), "row_id", "x", 3, 2)
+
+
+def test_passes_take_whole_sequences_from_cut_batches(monkeypatch):
+    """Batches end anywhere; what a pass takes up ends with a sequence, also one longer than a pass would like."""
+    import pyarrow as pa
+
+    from panelloom.operators import windowed
+
+    names = np.repeat([1, 2, 3, 4], [5, 40, 1, 14])
+    x = np.arange(120.0).reshape(60, 2)
+    table = pa.table({"series_id": names, "i": np.arange(60), "x": list(x)})
+    monkeypatch.setattr(windowed, "ROWS_AT_ONCE", 10)
+    got = list(windowed.whole_arrays(iter(table.to_batches(max_chunksize=7)), 2))
+    assert np.array_equal(np.concatenate([g[0] for g in got]), x)
+    assert len(got) > 1 and sum(len(np.unique(g[2])) for g in got) == 4
