@@ -52,3 +52,18 @@ def test_very_unlikely_days_and_repeated_days(spark):
         assert [(r["dt"], r["state"]) for r in scan.decode(df, CHAIN, method=method, block_rows=9).orderBy("dt").collect()] == whole
     with pytest.raises(Exception, match="same day twice"):
         scan.decode(df.union(df.limit(1)), CHAIN, block_rows=100).collect()
+
+
+def test_many_short_blocks_share_a_task(spark):
+    """Tasks follow the rows, not the blocks: of 600 short series in blocks of 3 rows each task takes very many."""
+    rows = [(f"s{i:03}", dt.date(2000, 1, 1) + dt.timedelta(days=j), [float(i % 5), float(j)]) for i in range(600) for j in range(4)]
+    df = spark.createDataFrame(rows, "series_id string, dt date, x array<double>")
+    placed = scan.in_blocks(df, "series_id", "dt", "x", 3)
+    assert len(placed.select("part").distinct().collect()) <= 4 and placed.select("block").distinct().count() >= 800
+    for method in ("viterbi",):
+        whole = {(r["series_id"], r["dt"]): r for r in sequence.decode(df, CHAIN, method=method).collect()}
+        got = scan.decode(df, CHAIN, method=method, block_rows=3).collect()
+        assert len(got) == len(whole)
+        for row in got:
+            other = whole[row["series_id"], row["dt"]]
+            assert np.allclose(row["p"], other["p"], atol=1e-9) and row["state"] == other["state"]
