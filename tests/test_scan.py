@@ -60,7 +60,7 @@ def test_many_short_blocks_share_a_task(spark):
     df = spark.createDataFrame(rows, "series_id string, dt date, x array<double>")
     placed = scan.in_blocks(df, "series_id", "dt", "x", 3)
     assert len(placed.select("part").distinct().collect()) <= 4 and placed.select("block").distinct().count() >= 800
-    for method in ("viterbi",):
+    for method in ("viterbi", "posterior"):
         whole = {(r["series_id"], r["dt"]): r for r in sequence.decode(df, CHAIN, method=method).collect()}
         got = scan.decode(df, CHAIN, method=method, block_rows=3).collect()
         assert len(got) == len(whole)
