@@ -67,3 +67,7 @@ def test_many_short_blocks_share_a_task(spark):
         for row in got:
             other = whole[row["series_id"], row["dt"]]
             assert np.allclose(row["p"], other["p"], atol=1e-9) and row["state"] == other["state"]
+    moved = sequence.maximise(scan.statistics(placed, CHAIN), CHAIN)
+    known = sequence.improve(sequence.ordered(df), {0: {0: CHAIN}}, 1)[0][0]
+    for part in ("initial", "transition", "means", "variances"):
+        assert np.allclose(getattr(moved, part), getattr(known, part)), part
