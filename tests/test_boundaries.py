@@ -1,6 +1,7 @@
 """Cases at the edges: texts that could be confused, layouts that meet, blocks that must not see each other."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,17 @@ def test_deliveries_of_one_date_are_kept(spark, tmp_path):
     for batch in ("a", "b", "b"):
         jobs.landed(lake, "source", one, "2024-01-06", batch)
     assert spark.read.parquet(lake.land("source", one, "2024-01-06", "c")).count() == 3
+
+
+def test_cells_of_a_line_are_counted_in_linear_time(spark):
+    """As commas outside quotes are found by looking ahead to the end of the line, also where a quote has no pair."""
+    from panelloom.sources.files import cells
+
+    rng = random.Random(4)
+    lines = ["", "a", ",", 'a,"b,c",d', '"', '","', 'a,"b', 'a,b",c', *("".join(rng.choice('a,"') for _ in range(rng.randint(1, 14))) for _ in range(500))]
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    ahead = F.size(F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    assert df.where(cells("value") != ahead).collect() == []
+    # One look-ahead per comma would take minutes on this line.
+    long = spark.createDataFrame([(",".join(['"a,b"', "c"] * 100_000),)], "value string")
+    assert long.select(cells("value").alias("n")).first()["n"] == 200_000
