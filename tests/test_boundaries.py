@@ -163,3 +163,11 @@ def test_cells_of_a_line_are_counted_in_linear_time(spark):
     # One look-ahead per comma would take minutes on this line.
     long = spark.createDataFrame([(",".join(['"a,b"', "c"] * 100_000),)], "value string")
     assert long.select(cells("value").alias("n")).first()["n"] == 200_000
+
+
+def test_a_report_line_is_parsed_once(spark, tmp_path):
+    """Also where rows without values are set aside by what their cells hold."""
+    (tmp_path / "a.csv").write_text(",".join(["M", "010102", "2001-01-02", *["1"] * (len(files.REPORT_COLUMNS) - 3)]) + "\n")
+    frame = files.read_positions(spark, str(tmp_path))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert frame.count() == 1
