@@ -30,6 +30,8 @@ REGULARISATION = 1e-4
 SMOOTHING = 1e-2
 STAY, LEAVE = 0.85, 0.05
 BATCH_CELLS = 4_000_000
+# Rows that are worth a task of their own in every pass.
+TASK_ROWS = 1 << 12
 
 
 @dataclass
@@ -58,6 +60,11 @@ def ordered(
     return named.repartition(slots, "grp", "series_id").sortWithinPartitions("grp", "series_id", "dt")
 
 
+def gathered(placed: DataFrame) -> DataFrame:
+    """Persisted sequences in no more tasks than their rows fill: hundreds of passes pay for each task, empty ones too."""
+    return placed.coalesce(max(1, math.ceil(placed.count() / TASK_ROWS)))
+
+
 def whole_sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Regroup a stream of ordered rows so that no sequence is cut between two frames."""
     rest = None

@@ -244,15 +244,16 @@ def placed_rows(rows: DataFrame) -> DataFrame:
 
 def fit_chains(rows: DataFrame, spans: dict[int, Span], k: int, restarts: int, iterations: int, d: int, tol: float = 1e-4, seed: int = 42) -> dict[int, sequence.Chain]:
     """Best of `restarts` sequence models for every span, fitted on its scaled rows (series_id, dt, i, x)."""
-    placed = placed_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    held = placed_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        placed = sequence.gathered(held)
         row_id = F.concat_ws("/", F.col("series_id").cast("string"), F.col("dt").cast("string"))
         starts = draws.starting_rows(placed.withColumn("row_id", row_id), "row_id", "x", k, restarts, seed, spans)
         spread = {g: s * s * (max(n - 1, 0) / max(n, 1)) for g, (n, _, s) in moments(placed, spans, d).items()}
         chains = {g: {r: sequence.starting_chain(spans[g].scaled(starts[g][r]), spread[g]) for r in range(restarts)} for g in starts}
         fitted = sequence.improve(placed, chains, iterations, tol, lambda active: chain_sums(placed, spans, active, k, d))
     finally:
-        placed.unpersist()
+        held.unpersist()
     return {g: sequence.best_of(by) for g, by in fitted.items()}
 
 

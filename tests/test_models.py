@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from panelloom.operators import labels, mixture, sequence
+from panelloom.operators import labels, mixture, sequence, windowed
 from panelloom.plans import scoring
 from panelloom.operators.folds import FoldPlan
 
@@ -261,3 +261,28 @@ def test_passes_take_whole_sequences_from_cut_batches(monkeypatch):
     got = list(windowed.whole_arrays(iter(table.to_batches(max_chunksize=7)), 2))
     assert np.array_equal(np.concatenate([g[0] for g in got]), x)
     assert len(got) > 1 and sum(len(np.unique(g[2])) for g in got) == 4
+
+
+def counted_tasks(monkeypatch):
+    seen, improve = [], sequence.improve
+    monkeypatch.setattr(sequence, "improve", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or improve(rows, *a))
+    return seen
+
+
+def two_series(spark):
+    rng = np.random.default_rng(4)
+    return spark.createDataFrame(
+        [(s, day(i), i, [float(v) for v in rng.normal(2 * ((i // 8) % 2), 0.5, 2)]) for s in ("a", "b") for i in range(40)],
+        "series_id string, dt date, i int, x array<double>").repartition(3)
+
+
+def test_window_passes_take_tasks_by_rows(spark, monkeypatch):
+    """Few rows are one task however many partitions a shuffle has; the fit does not depend on it."""
+    seen, frame, spans = counted_tasks(monkeypatch), two_series(spark), {0: windowed.Span(0, 30), 3: windowed.Span(10, 40)}
+    few = windowed.fit_chains(frame, spans, 2, 2, 5, 2)
+    monkeypatch.setattr(sequence, "TASK_ROWS", 1)
+    many = windowed.fit_chains(frame, spans, 2, 2, 5, 2)
+    assert seen == [1, int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    for g in spans:
+        np.testing.assert_allclose(few[g].means, many[g].means, rtol=1e-9)
+        assert math.isclose(few[g].log_likelihood, many[g].log_likelihood, rel_tol=1e-9)
