@@ -286,8 +286,9 @@ def fit_groups(
     restarts: int = 5, iterations: int = 200, tol: float = 1e-4, seed: int = 42, group: str | None = None,
 ) -> dict[int, Chain]:
     """Best of `restarts` fits per group; series of a group share its parameters."""
-    placed = ordered(rows, series, date, x, group).persist(StorageLevel.MEMORY_AND_DISK)
+    held = ordered(rows, series, date, x, group).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        placed = gathered(held)
         d = placed.select(F.size("x")).first()[0]
         row_id = F.concat_ws("/", F.col("series_id").cast("string"), F.col("dt").cast("string"))
         starts = starting_rows(placed.withColumn("row_id", row_id), "row_id", "x", k, restarts, seed)
@@ -297,7 +298,7 @@ def fit_groups(
         }
         fitted = improve(placed, chains, iterations, tol)
     finally:
-        placed.unpersist()
+        held.unpersist()
     return {g: best_of(by) for g, by in fitted.items()}
 
 

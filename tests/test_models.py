@@ -286,3 +286,13 @@ def test_window_passes_take_tasks_by_rows(spark, monkeypatch):
     for g in spans:
         np.testing.assert_allclose(few[g].means, many[g].means, rtol=1e-9)
         assert math.isclose(few[g].log_likelihood, many[g].log_likelihood, rel_tol=1e-9)
+
+
+def test_fit_passes_take_tasks_by_rows(spark, monkeypatch):
+    seen, frame = counted_tasks(monkeypatch), two_series(spark)
+    few = sequence.fit(frame, k=2, restarts=2, iterations=5)
+    monkeypatch.setattr(sequence, "TASK_ROWS", 1)
+    many = sequence.fit(frame, k=2, restarts=2, iterations=5)
+    assert seen == [1, int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    np.testing.assert_allclose(few.means, many.means, rtol=1e-9)
+    assert math.isclose(few.log_likelihood, many.log_likelihood, rel_tol=1e-9)
