@@ -70,16 +70,16 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
     lines = lines.withColumn("named", F.col("value").rlike('^\\s*"?Market_and_Exchange_Names'))
-    # The number of cells a line should have comes with its file, so that the optimiser cannot test lines of one file
-    # against the layout of another before they are told apart. The headers of the files are looked for once.
+    # The headers of the files are looked for once. A layout takes only the files it belongs to: by their names Spark drops
+    # the other files before it reads them, and the names are no more than its own list of the folder.
     heads = stored(lines.where("named").groupBy("file").agg(F.min("value").alias("head"), F.max(cells("value")).alias("wanted")), "report-heads")
-    rows = lines.where("not named").join(heads, "file", "left")
     # One row per layout that occurs, of which a vendor has a few.
-    layouts = [r["head"] for r in heads.select("head").distinct().collect()]
-    parts = [_report_rows(rows.where(F.col("head").isNull()), REPORT_COLUMNS)]
-    for head in layouts:
-        names = [cell.strip().strip('"') for cell in head.split(",")]
-        parts.append(_report_rows(rows.where(F.col("head") == head), names))
+    layouts = heads.groupBy("head", "wanted").agg(F.collect_list("file").alias("files")).collect()
+    rows = lines.where("not named")
+    parts = [_report_rows(rows.where(~F.col("file").isin([f for r in layouts for f in r["files"]])), REPORT_COLUMNS, len(REPORT_COLUMNS))]
+    for r in layouts:
+        names = [cell.strip().strip('"') for cell in r["head"].split(",")]
+        parts.append(_report_rows(rows.where(F.col("file").isin(r["files"])), names, r["wanted"]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -89,15 +89,14 @@ def cells(line: str) -> Column:
     From the end, quoted stretches drop out in pairs of quotes, and so does all before a quote without its pair.
     """
     bare = F.when(F.col(line).contains('"'), F.regexp_replace(F.reverse(F.col(line)), '"[^"]*(?:"|$)', "")).otherwise(F.col(line))
-    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    return F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _report_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+def _report_rows(rows: DataFrame, names: list[str], wanted: int) -> DataFrame:
     if not (REQUIRED_REPORT_FIELDS <= set(names) or NEWER_REPORT_FIELDS <= set(names)):
         raise ValueError(f"unknown report layout: {names[:6]}")
     message = F.concat(F.lit("report line with another number of cells: "), F.substring("value", 1, 80))
-    whole = cells("value") == F.coalesce("wanted", F.lit(len(names)))
-    line = F.when(whole, F.col("value")).otherwise(F.raise_error(message))
+    line = F.when(cells("value") == wanted, F.col("value")).otherwise(F.raise_error(message))
     # A generator's row is read once; conditions on a plain column's cells would parse the line again for each of them.
     parsed = rows.select(F.inline(F.array(F.from_csv(line, ", ".join(f"`{n}` STRING" for n in names)))))
     frame = parsed.select(*[F.trim(F.col(f"`{n}`")).alias(n) for n in names])

@@ -171,3 +171,22 @@ def test_a_report_line_is_parsed_once(spark, tmp_path):
     frame = files.read_positions(spark, str(tmp_path))
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
     assert frame.count() == 1
+
+
+def test_a_layout_reads_only_its_own_files(spark, tmp_path):
+    """Whatever the files are called, and however many layouts there are."""
+    older = "Market_and_Exchange_Names,Report_Date_as_YYYY-MM-DD,Noncommercial_Positions_Long_All,Noncommercial_Positions_Short_All,Open_Interest_All"
+    for n, name in enumerate(("a", "b 1%20.csv", "c,[d].csv")):
+        (tmp_path / name).write_text(",".join([f"P{n}", "010102", "2001-01-02", *["1"] * (len(files.REPORT_COLUMNS) - 3)]) + "\n")
+    (tmp_path / "e %C3.csv").write_text(f"{older}\nE,2001-01-02,7,8,20\n")
+    (tmp_path / "f{1}.csv").write_text(f"Market_and_Exchange_Names,Else,{older.split(',', 1)[1]}\nF,x,2001-01-02,7,8,20\n")
+    frame = files.read_positions(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted(tuple(r)[:3] for r in frame.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == [("E", "2001-01-02", "7"), ("F", "2001-01-02", "7"), *[(f"P{n}", "2001-01-02", "3.0") for n in range(3)]]
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    metrics = [leaves.apply(i).metrics() for i in range(leaves.size())]
+    assert sum(m.apply("numFiles").value() for m in metrics if m.contains("numFiles")) == 5
