@@ -165,7 +165,8 @@ def in_blocks(rows: DataFrame, series: str, date: str, x: str, block_rows: int)
 
     A part is what a task takes: at least a block, at most `BLOCK_ROWS` rows where blocks are smaller, however many blocks there are.
     """
-    named = rows.select(F.col(series).alias("series_id"), F.col(date).alias("dt"), F.col(x).alias("x"))
+    # Counted, sampled for the ranges and dealt: stored first, so that whatever the rows come from is worked out once.
+    named = stored(rows.select(F.col(series).alias("series_id"), F.col(date).alias("dt"), F.col(x).alias("x")), "sequence-rows")
     total, slots = named.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = max(1, math.ceil(total / max(block_rows, min(BLOCK_ROWS, math.ceil(total / slots)))))
     dealt = named.repartitionByRange(many, "series_id", "dt").withColumn("part", F.spark_partition_id()).sortWithinPartitions("series_id", "dt")

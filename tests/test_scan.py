@@ -71,3 +71,16 @@ def test_many_short_blocks_share_a_task(spark):
     known = sequence.improve(sequence.ordered(df), {0: {0: CHAIN}}, 1)[0][0]
     for part in ("initial", "transition", "means", "variances"):
         assert np.allclose(getattr(moved, part), getattr(known, part)), part
+
+
+def test_rows_to_decode_are_worked_out_once(spark, panel):
+    """Counting rows, sampling their ranges and dealing them share one pass over what the rows come from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = scan.decode(panel.mapInArrow(watched, panel.schema), CHAIN, block_rows=100).collect()
+    assert len(got) == 908 and seen.value == 908
