@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,18 +183,37 @@ def in_blocks(rows: DataFrame, series: str, date: str, x: str, block_rows: int)
     return stored(dealt.mapInArrow(number, T.StructType([*dealt.schema, T.StructField("block", T.LongType())])), "sequence-blocks")
 
 
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values."""
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """(rows, d) of lists of one length, without an object per row."""
+    held = column.combine_chunks()
+    if held.null_count or len(pc.unique(pc.list_value_length(held))) > 1:
+        raise ValueError("vectors of a sequence are missing or of unlike lengths")
+    return held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), -1)
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """Rows of values as an Arrow column."""
+    flat = values.reshape(len(values), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel(), pa.float64()))
+
+
 class Part:
     """Rows of a task in order of series and day, and its blocks: neighbouring rows of one series and block."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.rows = pdf.sort_values(["series_id", "dt"], ignore_index=True)
-        name, block, day = (self.rows[c].to_numpy() for c in ("series_id", "block", "dt"))
+    def __init__(self, table: pa.Table):
+        self.rows = table.sort_by([("series_id", "ascending"), ("dt", "ascending")])
+        name, day, block = codes(self.rows["series_id"]), codes(self.rows["dt"]), self.rows["block"].to_numpy()
         same = name[1:] == name[:-1]
         if (same & (day[1:] == day[:-1])).any():
             raise ValueError("a sequence holds the same day twice")
-        self.x = np.stack(self.rows["x"].to_numpy()).astype(float)
+        self.x = vectors(self.rows["x"])
         self.first = np.flatnonzero(np.r_[True, ~same | (block[1:] != block[:-1])])
-        self.length = np.diff(np.r_[self.first, len(self.rows)])
+        self.length = np.diff(np.r_[self.first, len(self.x)])
 
     def batches(self, cells_per_row: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(blocks, row numbers, padded values, lengths) of blocks of similar length, within the cell limit (one block at least)."""
@@ -218,25 +238,25 @@ def surroundings(placed: DataFrame, chain: Chain) -> DataFrame:
     names = [placed.schema[c] for c in ("series_id", "part", "block")]
     number = T.ArrayType(T.DoubleType())
 
-    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = Part(pdf)
+    def matrices(table: pa.Table) -> pa.Table:
+        part = Part(table)
         n = len(part.first)
         first, log_first, share, score = np.empty((n, k)), np.empty((n, k)), np.empty((n, k, k)), np.empty((n, k, k))
         for some, _, x, length in part.batches(k * max(d, k)):
             log_b, b, mask = stretches(x, length, chain)
             first[some], log_first[some] = b[:, 0, 0], log_b[:, 0, 0]
             share[some], score[some] = joined(b[:, :, 0], (parts := products(log_b, b, mask, chain))[0], log_b[:, :, 0], parts[1], mask[:, :, 0], chain)
-        out = part.rows.loc[part.first, ["series_id", "part", "block", "dt"]].rename(columns={"dt": "since"})
-        return out.assign(first=list(first), log_first=list(log_first), share=list(share.reshape(n, -1)), score=list(score.reshape(n, -1)))
+        keys = part.rows.select(["series_id", "part", "block", "dt"]).take(pa.array(part.first))
+        return pa.Table.from_arrays([*keys.columns, *map(lists, (first, log_first, share, score))], names=schema.names)
 
     schema = T.StructType([*names, T.StructField("since", placed.schema["dt"].dataType), *[T.StructField(n, number) for n in ("first", "log_first", "share", "score")]])
-    runs = stored(placed.groupBy("part").applyInPandas(matrices, schema), "block-matrices")
-    slots = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed_runs = runs.withColumn("grp", F.lit(0)).repartition(slots, "series_id").sortWithinPartitions("series_id", "since")
+    runs = stored(placed.groupBy("part").applyInArrow(matrices, schema), "block-matrices")
+    # No number of partitions is given, so few matrices share a task instead of filling every partition of the shuffle.
+    placed_runs = runs.withColumn("grp", F.lit(0)).repartition("series_id").sortWithinPartitions("series_id", "since")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_sequences(frames):
-            name = pdf["series_id"].to_numpy()
+            name = pd.factorize(pdf["series_id"], use_na_sentinel=False)[0]
             start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
             size = np.diff(np.r_[start, len(pdf)])
             columns = [np.stack(pdf[c].to_numpy()).astype(float) for c in ("first", "log_first", "share", "score")]
@@ -257,13 +277,13 @@ def surroundings(placed: DataFrame, chain: Chain) -> DataFrame:
     return placed_runs.mapInPandas(fold, out)
 
 
-def around(part: Part, known: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def around(part: Part, known: pa.Table) -> tuple[np.ndarray, ...]:
     """What surrounds the blocks of a part, in their order."""
-    known = known.sort_values(["series_id", "block"])
+    known = known.sort_by([("series_id", "ascending"), ("block", "ascending")])
     if not np.array_equal(known["block"].to_numpy(), part.rows["block"].to_numpy()[part.first]):
         raise ValueError("blocks and their surroundings differ")
-    stack = lambda c: np.stack(known[c].to_numpy()).astype(float)
-    return stack("before"), known["opening"].to_numpy(bool), stack("behind"), stack("best_before"), known["end"].to_numpy(int)
+    before, behind, best_before = (vectors(known[c]) for c in ("before", "behind", "best_before"))
+    return before, known["opening"].to_numpy(), behind, best_before, known["end"].to_numpy().astype(int)
 
 
 def decode(
@@ -279,21 +299,21 @@ def decode(
     placed = in_blocks(rows, series, date, x, block_rows)
     known = stored(surroundings(placed, chain), "block-entries")
 
-    def label(pdf: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
-        part = Part(pdf)
+    def label(table: pa.Table, beside: pa.Table) -> pa.Table:
+        part = Part(table)
         context = around(part, beside)
-        shares, states = np.empty((len(pdf), k)), np.empty(len(pdf), "int32")
+        shares, states = np.empty((len(part.x), k)), np.empty(len(part.x), "int32")
         for some, at, values, length in part.batches(k * max(d, k)):
             found = finished(values, length, chain, *[c[some] for c in context])
             mask = np.arange(at.shape[1]) < length[:, None]
             own = found["alpha" if method == "filtered" else "gamma"][mask]
             shares[at[mask]] = own
             states[at[mask]] = found["path"][mask] if method == "viterbi" else own.argmax(1)
-        return part.rows[["series_id", "dt"]].assign(p=list(shares), state=states)
+        return pa.Table.from_arrays([part.rows["series_id"], part.rows["dt"], lists(shares), pa.array(states)], names=schema.names)
 
     schema = T.StructType([placed.schema["series_id"], placed.schema["dt"], T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("state", T.IntegerType())])
     both = placed.groupBy("part").cogroup(known.groupBy("part"))
-    return both.applyInPandas(label, schema).withColumnsRenamed({"series_id": series, "dt": date})
+    return both.applyInArrow(label, schema).withColumnsRenamed({"series_id": series, "dt": date})
 
 
 def statistics(placed: DataFrame, chain: Chain) -> np.ndarray:
@@ -302,8 +322,8 @@ def statistics(placed: DataFrame, chain: Chain) -> np.ndarray:
     stride = k + k * k + k * (2 * d + 1) + 1
     known = stored(surroundings(placed, chain), "block-entries")
 
-    def add(pdf: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
-        part = Part(pdf)
+    def add(table: pa.Table, beside: pa.Table) -> pa.Table:
+        part = Part(table)
         context, sums = around(part, beside), np.zeros(stride)
         for some, _, values, length in part.batches(k * max(d, k)):
             before, opening, *rest = (c[some] for c in context)
@@ -312,7 +332,7 @@ def statistics(placed: DataFrame, chain: Chain) -> np.ndarray:
             gap = np.stack([gamma[:, j] @ (flat - chain.means[j]) ** 2 for j in range(k)])
             block = np.concatenate([gamma.sum(0)[:, None], gamma.T @ flat, gap], 1)
             sums += np.concatenate([found["gamma"][opening, 0].sum(0), found["counts"].ravel(), block.ravel(), [found["level"]]])
-        return pd.DataFrame({"grp": 0, "slot": np.arange(stride), "value": sums}).astype({"grp": "int32", "slot": "int32"})
+        return pa.table({"grp": np.zeros(stride, "int32"), "slot": np.arange(stride, dtype="int32"), "value": sums})
 
     both = placed.groupBy("part").cogroup(known.groupBy("part"))
-    return sum_slots(both.applyInPandas(add, SLOT_SCHEMA), stride)[0]
+    return sum_slots(both.applyInArrow(add, SLOT_SCHEMA), stride)[0]

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelloom.operators import scan, sequence
 
@@ -84,3 +85,17 @@ def test_rows_to_decode_are_worked_out_once(spark, panel):
 
     got = scan.decode(panel.mapInArrow(watched, panel.schema), CHAIN, block_rows=100).collect()
     assert len(got) == 908 and seen.value == 908
+
+
+def test_matrices_of_few_blocks_share_a_task(spark):
+    """The fold takes tasks by its matrices, not one for every partition of the shuffle."""
+    rows = [(i, dt.date(2000, 1, 1) + dt.timedelta(days=j), [float(i % 5), float(j)]) for i in range(600) for j in range(4)]
+    df = spark.createDataFrame(rows, "series_id long, dt date, x array<double>")
+    slots = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        placed = scan.in_blocks(df, "series_id", "dt", "x", 100)
+        tasks = scan.surroundings(placed, CHAIN).select(F.spark_partition_id().alias("task")).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", slots)
+    assert 1 <= len(tasks) <= 8
